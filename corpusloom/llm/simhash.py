@@ -151,14 +151,14 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
 
 
 def _prepare(with_fp: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(fp, component): every distinct fingerprint with the smallest document id of its component."""
+    """(fp, root, component_id): every distinct fingerprint with the smallest document id of its component."""
     distinct = scratch.save(with_fp.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("first_id")), "distinct")
     edges = links(distinct.select("fp"), scratch)
     roots = components(edges, scratch)
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     labelled = scratch.save(labelled, "labelled")
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return scratch.save(labelled.join(smallest, "root").select("fp", "first_id", "component_id"), "components")
+    return scratch.save(labelled.join(smallest, "root").select("fp", "root", "component_id"), "components")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -179,11 +179,12 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.save(with_fingerprint(df, text, shingle=shingle, out="_loom_fp").withColumn("_loom_row", F.expr("uuid()")), "rows")
     slim = prints.select(F.col("_loom_fp").alias("fingerprint"), F.col(key))
-    found = _prepare(slim, key, scratch).where("component_id IS NULL OR first_id <=> component_id")
+    found = _prepare(slim, key, scratch)
+    first = F.min(F.struct(F.col("_loom_key").isNull(), "_loom_key", "_loom_fp", "_loom_row"))
     chosen = (
         prints.select("_loom_row", "_loom_fp", F.col(key).alias("_loom_key"))
-        .join(found, (F.col("_loom_fp") == found.fp) & F.col("_loom_key").eqNullSafe(found.component_id))
-        .groupBy("_loom_key", F.when(F.col("_loom_key").isNull(), F.col("_loom_fp")).alias("_loom_null"))
-        .agg(F.min("_loom_row").alias("_loom_row"))
+        .join(found, F.col("_loom_fp") == found.fp)
+        .groupBy("root")
+        .agg(first["_loom_row"].alias("_loom_row"))
     )
     return prints.join(chosen.select("_loom_row"), "_loom_row", "left_semi").select(*df.columns)
