@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, line_dedup, mixing, simhash
+from . import ann, bpe, chat, imatch, langid, line_dedup, mixing, simhash, toxicity, urlgraph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,39 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_imatch": op6_imatch,
+    "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
+    "op9_language": op9_language,
+    "op10_ann": op10_ann,
 }
 
 ORACLES: dict[str, str] = {
