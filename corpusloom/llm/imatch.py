@@ -45,6 +45,8 @@ _SEEDS = np.array([xxhash.xxh64_intdigest(b"lexicon %d" % k) for k in range(len(
 _TRIM = ".,;:!?\"'()[]{}<>|*#-_&%$"
 #: Term hashes that a task counts before it passes them on.
 FLUSH_TERMS = 1_000_000
+#: Rows aimed at in a range of ids, and the most ranges.
+RANGE_ROWS, MAX_RANGES = 2048, 4096
 _FIRST = -(1 << 63)
 
 
@@ -145,7 +147,7 @@ def _neighbours(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt by ranges of the key, sorted; each range ends with a copy of the next range's first row (last = 1)."""
     keys = df.select(F.coalesce(F.col(key), F.lit(_FIRST)).alias("k"))
     n = keys.count()
-    cuts = sorted(set(keys.stat.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m))) if (m := min(4096, max(1, n // 2048))) > 1 else []
+    cuts = sorted(set(keys.stat.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m))) if (m := min(MAX_RANGES, max(1, n // RANGE_ROWS))) > 1 else []
     cuts = np.array(cuts, np.float64)
 
     @F.pandas_udf(T.IntegerType())
