@@ -4,8 +4,10 @@ Every document of a source, in an order shuffled by a hash, is a packet of its
 size in words.  Its virtual finish time is the source's cumulative words over
 the source's target; a source that must repeat goes through the same order
 again, up to ``MAX_COPIES`` times.  All copies are sorted by finish time over
-the whole corpus and the queue is cut where the total budget is used up, so
-each source ends within one document of its target.
+the whole corpus and the queue is cut where the total budget is used up: a
+source reaches its target at time 1, and no source runs beyond it.  A document
+that would not end in time leaves a gap, so the queue is run again over what is
+left, with the gaps as targets; documents larger than a gap stand back.
 
 Both running sums are computed in two levels, so that no source and no stretch
 of the queue lies in one task: shuffle order is split by the hash's first three
@@ -14,7 +16,8 @@ over the small table of parts.
 
 Defined results: null text has size 0; documents of size 0 take nothing; null
 source is a source, the last one; targets of an empty corpus are 0; repeated
-rows are documents of their own; ties go by source, round, hash, id and size.
+rows are documents of their own; ties go by source, round, hash, id and size;
+reruns agree, for nothing depends on the order of the input rows.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from .scratch import Scratch
 # The weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
+#: Queues that are run one after the other; each but the first fills what is left with documents that fit.
+PASSES = 3
+#: Ranges of finish time in the global sort.
+SPANS = 4096
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,37 +64,46 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return capped.select("source", "rank", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _pass(state: DataFrame, targets: DataFrame, scratch: Scratch, number: int, copies: int) -> DataFrame:
+    """One queue over the copies that are left and fit; adds what it takes to ``turns``."""
+    spent = state.groupBy("rank").agg(F.sum(F.col("turns") * F.col("size")).alias("spent"))
+    rooms = scratch.save(targets.join(spent, "rank").select("rank", "spent", (F.col("target") - F.col("spent")).alias("room")), f"rooms{number}")
+    budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("b")).crossJoin(rooms.agg(F.coalesce(F.sum("spent"), F.lit(0)).alias("s")))
+    offers = (
+        state.join(rooms.drop("spent"), "rank")
+        .where((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("turns") < copies))
+        .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(copies - 1) - F.col("turns").cast("int"))))
+        .withColumn("stretch", F.concat(F.col("round").cast("string"), F.col("part")))
+    )
+    offers = scratch.save(offers, f"offers{number}")
+    sums = offers.groupBy("rank", "stretch").agg(F.sum("size").alias("stretch_size"))
+    before = F.sum("stretch_size").over(W.partitionBy("rank").orderBy("stretch").rowsBetween(W.unboundedPreceding, 0)) - F.col("stretch_size")
+    offsets = sums.select("rank", "stretch", before.alias("before"))
+    within = F.sum("size").over(W.partitionBy("rank", "stretch").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    finish = (F.col("before") + F.col("within")).cast("double") / F.col("room")
+    timed = offers.withColumn("within", within).join(offsets, ["rank", "stretch"]).withColumn("finish", finish)
+    # a source stops at its own target, where its finish time is 1; the ranges of the global sort divide what is before
+    queue = scratch.save(timed.where("finish <= 1").withColumn("span", F.floor(F.col("finish") * SPANS).cast("int")), f"queue{number}")
+    along = W.partitionBy(F.lit(0)).orderBy("span").rowsBetween(W.unboundedPreceding, 0)
+    ahead = queue.groupBy("span").agg(F.sum("size").alias("span_size")).select("span", (F.sum("span_size").over(along) - F.col("span_size")).alias("ahead"))
+    order = W.partitionBy("span").orderBy("finish", "rank", "round", "part", "place").rowsBetween(W.unboundedPreceding, 0)
+    used = queue.join(ahead, "span").withColumn("used", F.col("ahead") + F.sum("size").over(order))
+    taken = used.crossJoin(F.broadcast(budget)).where("used <= b - s").groupBy("rank", "part", "place").agg(F.count("*").alias("now"))
+    added = state.join(taken, ["rank", "part", "place"], "left").withColumn("turns", F.col("turns") + F.coalesce("now", F.lit(0))).drop("now")
+    return scratch.save(added, f"state{number}")
+
+
 def _queue(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...], copies: int) -> DataFrame:
     """``slim`` (source, size, doc_id, mix_order, ...) with source_size, target and ``turns``, the copies that the queue takes."""
     targets = scratch.save(source_targets(slim, weights, copies), "targets")
-    parts = slim.withColumn("part", F.substring("mix_order", 1, 3))
-    sums = parts.groupBy(F.col("source").alias("s"), F.col("part").alias("p")).agg(F.sum("size").alias("part_size"))
-    before = F.sum("part_size").over(W.partitionBy("s").orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("part_size")
-    offsets = sums.select("s", "p", before.alias("before"))
-    inside = W.partitionBy("source", "part").orderBy("mix_order", "doc_id", "size")
-    placed = (
-        parts.withColumn("place", F.row_number().over(inside))
-        .withColumn("within", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-        .withColumn("end", F.col("before") + F.col("within"))
-        .drop("s", "p", "before", "within")
-    )
-    known = targets.withColumnRenamed("source", "of_source")
-    placed = scratch.save(placed.join(known, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source"), "placed")
-    total = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
-    finish = F.when(F.col("target") > 0, (F.col("round") * F.col("source_size") + F.col("end")).cast("double") / F.col("target")).otherwise(F.lit(0.0))
-    stretch = F.when(F.col("finish") <= 1, F.floor(F.col("finish") * 4096)).otherwise(4096 + F.floor(F.log2("finish") * 1024))
-    queue = (
-        placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("finish", finish).withColumn("stretch", stretch.cast("long"))
-    )
-    spans = queue.groupBy(F.col("stretch").alias("span")).agg(F.sum("size").alias("span_size"))
-    along = F.sum("span_size").over(W.partitionBy(F.lit(0)).orderBy("span").rowsBetween(W.unboundedPreceding, 0)) - F.col("span_size")
-    ahead = spans.select("span", along.alias("ahead"))
-    order = W.partitionBy("stretch").orderBy("finish", "rank", "round", "mix_order", "doc_id", "size")
-    used = F.col("ahead") + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    cut = queue.join(ahead, F.col("stretch") == F.col("span")).withColumn("used", used).crossJoin(F.broadcast(total))
-    taken = cut.withColumn("taken_now", (F.col("used") <= F.col("budget")).cast("long"))
-    return taken.groupBy(*slim.columns, "part", "place", "source_size", "target").agg(F.sum("taken_now").alias("turns")).drop("part", "place")
+    known = targets.select(F.col("source").alias("of"), "rank", "source_size", "target")
+    parts = slim.withColumn("part", F.substring("mix_order", 1, 3)).join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    place = F.row_number().over(W.partitionBy("rank", "part").orderBy("mix_order", "doc_id", "size"))
+    full = scratch.save(parts.withColumn("place", place), "placed")
+    state = full.select("rank", "part", "place", "size", F.lit(0).cast("long").alias("turns"))
+    for number in range(PASSES):
+        state = _pass(state, targets, scratch, number, copies)
+    return full.join(state.drop("size"), ["rank", "part", "place"]).select(*slim.columns, "source_size", "target", "turns")
 
 
 def _slim(df: DataFrame, key: str, source: str, text: str, *more: str) -> DataFrame:
@@ -124,16 +140,19 @@ levels AS (SELECT *, CAST(CAST(sum(source_size) OVER () - (sum(room) OVER f - ro
            FROM room WINDOW f AS (ORDER BY CAST(room AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 water AS (SELECT min_by(level, (CAST(room AS DOUBLE) / weight, rank)) AS water FROM levels WHERE level * weight <= room),
 targets AS (SELECT source, rank, source_size, coalesce(least(water * weight, CAST(room AS DOUBLE)), 0.0) AS target FROM levels CROSS JOIN water),
-placed AS (SELECT d.*, rank, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY mix_order, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS stop
-           FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-queue AS (SELECT *, CASE WHEN target > 0 THEN CAST(round * source_size + stop AS DOUBLE) / target ELSE 0.0 END AS finish
-          FROM placed CROSS JOIN (SELECT unnest([0, 1, 2]) AS round)),
-used AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, round, mix_order, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS used FROM queue)
-SELECT doc_id, size, source_size, target,
-       CAST(sum(CASE WHEN used <= (SELECT sum(size) FROM d) THEN size ELSE 0 END) AS BIGINT) AS taken
-FROM used GROUP BY rid, doc_id, size, source_size, target
+state0 AS (SELECT d.*, rank, source_size, target, CAST(0 AS BIGINT) AS turns, target AS room FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source){passes}
+SELECT doc_id, size, source_size, target, CAST(turns * size AS BIGINT) AS taken FROM state{last}
 """
 
+_PASS_SQL = r""",
+offer{k} AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rank ORDER BY round, mix_order, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS DOUBLE) / room AS finish
+             FROM state{k} CROSS JOIN (SELECT unnest([0, 1, 2]) AS round) WHERE size > 0 AND size <= room AND round < 3 - turns),
+used{k} AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, round, mix_order, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS used FROM offer{k} WHERE finish <= 1),
+got{k} AS (SELECT rid AS got_rid, count(*) AS now FROM used{k} WHERE used <= (SELECT sum(size) - sum(turns * size) FROM state{k}) GROUP BY rid),
+turn{k} AS (SELECT s.* EXCLUDE (turns, room), turns + coalesce(now, 0) AS turns FROM state{k} s LEFT JOIN got{k} ON rid = got_rid),
+state{j} AS (SELECT *, target - CAST(sum(turns * size) OVER (PARTITION BY rank) AS BIGINT) AS room FROM turn{k})"""
+
 
 def oracle(documents: str = "documents") -> str:
-    return SQL.format(documents=documents)
+    passes = "".join(_PASS_SQL.format(k=k, j=k + 1) for k in range(PASSES))
+    return SQL.format(documents=documents, passes=passes, last=PASSES)
