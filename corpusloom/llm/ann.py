@@ -4,14 +4,15 @@ Coarse centroids split the space into cells; what a vector differs from its
 centroid by (the residual) is cut into sub-vectors, each coded by its nearest
 codeword.  A query visits its nearest cells, estimates distances from a table
 of its own residual against the codewords (asymmetric: the query is not coded),
-keeps the best ``SHORTLIST`` and reranks them with the original vectors in
-double precision.
+keeps the best ``SHORTLIST`` of each block and reranks them with the original
+vectors in double precision.
 
 Equal vectors are indexed once, with the smallest ids that a result of k can
-show; so a vector with many copies costs no more than another.  Cells are cut
-into blocks of bounded size, and a block meets the queries of its cell in
-chunks of bounded size, so no task holds more than one block and one chunk,
-however full a cell is; blocks are cut, not capped: every vector is indexed.
+show; so a vector with many copies costs no more than another.  Cells are
+dealt to parts, parts are cut into blocks of bounded size, and a block meets
+the queries of its part in chunks of bounded size, so no task holds more than
+one block and one chunk, however full a cell is; blocks are cut, not capped:
+every vector is indexed.
 
 Centroids and codewords are fitted on at most ``SAMPLE`` vectors, chosen by a
 hash of the values; all vectors are indexed.  Recall against brute force is
@@ -46,6 +47,8 @@ MAX_CELLS, PROBE_SHARE = 1024, 0.55
 SUB_VECTORS, CODEWORDS = 16, 256
 SHORTLIST = 300
 BLOCK, CHUNK = 4096, 1024
+#: Parts that the cells are dealt to; a query gets one short list from each block of each part.
+PARTS = 32
 K, EVERY = 10, 100
 
 
@@ -147,53 +150,71 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "cell", "code"])
 
     coded = scratch.save(distinct.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, cell int, code binary"), "index")
-    sizes = coded.groupBy("cell").agg(F.count("*").alias("members"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    index_rows = coded.join(sizes, "cell").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-
+    grouped = coded.withColumn("part", F.col("cell") % PARTS)
+    sizes = grouped.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
     asked = rows.where((F.size("v") == width) & (F.col("id") % every == 0)).select(F.col("id").alias("query_id"), "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and part of the cells, with the cells that the query visits there."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             near = np.argsort(distances(_vectors(batch.column(1), width), sent.value.centres), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "v", "cells"])
-
-    routed = asked.mapInArrow(route, "query_id long, v array<double>, cells array<int>").select("query_id", "v", F.explode("cells").alias("cell"))
-    routed = scratch.save(routed, "routed")
-    chunk_count = routed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
-    plan = sizes.select("cell", blocks.alias("blocks")).join(chunk_count, "cell")
+            at, part, cells = [], [], []
+            for i, own in enumerate(near):
+                for p in np.unique(own % PARTS).tolist():
+                    at.append(i)
+                    part.append(p)
+                    cells.append(own[own % PARTS == p].astype(np.int32).tolist())
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "part", "cells"])
+
+    routed = scratch.save(asked.mapInArrow(route, "query_id long, v array<double>, part int, cells array<int>"), "routed")
+    chunk_count = routed.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
     q = (
-        routed.join(plan, "cell")
+        routed.join(sizes.join(chunk_count, "part"), "part")
         .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cell", "block", "chunk", "query_id", "v")
+        .select("part", "block", "chunk", "query_id", "v", "cells")
+    )
+    d = (
+        grouped.join(sizes, "part")
+        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+        .join(chunk_count, "part")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("part", "block", "chunk", "cell", "v", "ids", "code")
     )
-    d = index_rows.join(chunk_count, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "block", "chunk", "v", "ids", "code")
 
-    def scan(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "estimate": [], "ids": [], "score": []}
+    def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """The best of one block for one chunk of queries: a shortlist by estimate, reranked by exact distance."""
+        out = {"query_id": [], "ids": [], "score": []}
         if len(asked) and len(held):
             q, x = np.stack(asked["v"].to_numpy()), np.stack(held["v"].to_numpy())
             codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-            smallest = np.array([i[0] for i in held["ids"]])
+            cell, smallest = held["cell"].to_numpy(), np.array([i[0] for i in held["ids"]])
+            members = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
+            visits = [set(c.tolist()) for c in asked["cells"]]
             for at in range(0, len(q), 64):
-                est = sent.value.estimate(q[at : at + 64], int(key[0]), codes)
-                for i, row in enumerate(est):
-                    best = np.argpartition(row, shortlist)[:shortlist] if len(row) > shortlist else np.arange(len(row))
-                    best = best[np.lexsort((smallest[best], row[best]))]
-                    exact = np.sqrt(((x[best] - q[at + i]) ** 2).sum(axis=1))
-                    out["query_id"] += [int(asked["query_id"].iloc[at + i])] * len(best)
-                    out["estimate"] += row[best].tolist()
-                    out["ids"] += [held["ids"].iloc[b] for b in best]
-                    out["score"] += exact.tolist()
+                some = range(at, min(len(q), at + 64))
+                est = np.full((len(some), len(x)), np.inf, np.float32)
+                for c, own in members.items():
+                    here = [i - at for i in some if c in visits[i]]
+                    if here:
+                        est[np.ix_(here, own)] = sent.value.estimate(q[[at + i for i in here]], c, codes[own])
+                for i, row in zip(some, est, strict=True):
+                    best = np.flatnonzero(np.isfinite(row))
+                    if len(best) > shortlist:
+                        best = best[np.lexsort((smallest[best], row[best]))[:shortlist]]
+                    exact = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
+                    # one distinct vector more than k: the query's own may be among them
+                    first = np.lexsort((smallest[best], exact))[: k + 1]
+                    out["query_id"] += [int(asked["query_id"].iloc[i])] * len(first)
+                    out["ids"] += [held["ids"].iloc[b] for b in best[first]]
+                    out["score"] += exact[first].tolist()
         return pd.DataFrame(out)
 
-    schema = "query_id long, estimate float, ids array<long>, score double"
-    found = q.groupBy("cell", "block", "chunk").cogroup(d.groupBy("cell", "block", "chunk")).applyInPandas(scan, schema)
-    by_estimate = W.partitionBy("query_id").orderBy("estimate", F.col("ids")[0])
-    short = found.withColumn("n", F.row_number().over(by_estimate)).where(F.col("n") <= shortlist)
+    keys = ["part", "block", "chunk"]
+    short = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(scan, "query_id long, ids array<long>, score double")
     ids = short.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ids = ids.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     final = W.partitionBy("query_id").orderBy("score", "vec_id")
