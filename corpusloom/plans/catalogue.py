@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fusion, urls  # noqa: F401  (importing registers the queries)
+from . import dedup, fusion, retrieval, urls  # noqa: F401  (importing registers the queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
