@@ -28,7 +28,8 @@ _PRIME = (1 << 61) - 1
 
 
 def exact_key(text: Column) -> Column:
-    return F.md5(X.metric_normal(text))
+    """Null text counts as empty."""
+    return F.md5(X.metric_normal(F.coalesce(text, F.lit(""))))
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
