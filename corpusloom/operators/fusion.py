@@ -128,55 +128,70 @@ def solve_rho(pool: DataFrame, target: int) -> float:
     return min((r for r in (low, high) if r > 0), key=lambda r: (abs(total(r) - target), r))
 
 
-def threshold_counts(pool: DataFrame, score: str, low: Column, high: Column, target: int, steps: int = 60) -> DataFrame:
+def threshold_counts(pool: DataFrame, score: str, low: Column, high: Column, target: int, bins: int = 1000, last: int = 50_000) -> DataFrame:
     """One global threshold so that the clipped counts above it sum to ``target``: (query_id, n, k).
 
     The threshold is a place in the order (score descending, query, document).
-    Bisection narrows the score on one aggregate at a time; the few pairs left
-    at the threshold are then split by their order.
+    Only pairs whose place in their own list lies between the bounds change the
+    clipped sum, each by one; so the threshold is the pair of a known number in
+    the order of those pairs.  Histograms of the score narrow it down, and only
+    the last bin is sorted.
     """
     bounds = pool.groupBy("query_id").agg(F.count("*").alias("size")).withColumn("low", low).withColumn("high", high)
-    rows = pool.select("query_id", "doc_id", F.col(score).alias("s")).join(bounds, "query_id").persist()
-
-    def total(above: Column) -> int:
-        n = rows.groupBy("query_id", "low", "high").agg(F.count_if(above).alias("n"))
-        return n.agg(F.sum(F.least(F.greatest("n", "low"), "high"))).first()[0]
-
-    ends = rows.agg(F.min("s"), F.max("s")).first()
-    lo, hi = ends[0], ends[1]  # count above hi is too few, at lo enough
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        if mid in (lo, hi):
+    place = F.row_number().over(per_query(F.col(score).desc(), "doc_id"))
+    rows = pool.select("query_id", "doc_id", F.col(score).cast("double").alias("s"), place.alias("j")).join(bounds, "query_id").persist()
+    given, most = bounds.agg(F.sum("low"), F.sum("high")).first()
+    if not given <= target <= most:
+        raise ValueError(f"target {target} outside [{given}, {most}]")
+    wanted = target - given
+    active = rows.where((F.col("j") > F.col("low")) & (F.col("j") <= F.col("high"))).select("s", "query_id", "doc_id")
+    cut = None
+    while wanted and cut is None:
+        n, a, b = active.agg(F.count("*"), F.min("s"), F.max("s")).first()
+        if n <= last or a == b:
+            order = [F.col("s").desc(), F.col("query_id"), F.col("doc_id")]
+            numbered = active.withColumn("i", F.row_number().over(W.orderBy(*order)))
+            cut = numbered.where(F.col("i") == wanted).first()
             break
-        lo, hi = (mid, hi) if total(F.col("s") > mid) >= target else (lo, mid)
-    t = rows.where(F.col("s") <= hi).agg(F.max("s")).first()[0]
-    # ties at t: in order of query and document, one more pair at a time until the sum is reached
-    tied = rows.where(F.col("s") == t).select("query_id", "doc_id").orderBy("query_id", "doc_id").withColumn("_i", F.row_number().over(W.orderBy("query_id", "doc_id"))).persist()
-    a, b = 0, tied.count()
-    joined = rows.join(tied, ["query_id", "doc_id"], "left")
-    while a < b:
-        mid = (a + b) // 2
-        taken = (F.col("s") > t) | (F.col("_i") <= mid)
-        n = joined.groupBy("query_id", "low", "high").agg(F.count_if(taken).alias("n"))
-        if n.agg(F.sum(F.least(F.greatest("n", "low"), "high"))).first()[0] < target:
-            a = mid + 1
-        else:
-            b = mid
-    taken = (F.col("s") > t) | F.coalesce(F.col("_i") <= a, F.lit(False))
-    n = joined.groupBy("query_id", "low", "high").agg(F.count_if(taken).alias("n"))
+        bin_ = F.least(F.floor((F.lit(b) - F.col("s")) / F.lit((b - a) / bins)), F.lit(bins - 1))
+        before = 0
+        for number, count in sorted((r[0], r[1]) for r in active.groupBy(bin_.alias("bin")).count().collect()):
+            if before + count >= wanted:
+                active, wanted = active.where(bin_ == number), wanted - before
+                break
+            before += count
+    above = F.lit(False)
+    if cut is not None:
+        before_cut = (F.col("query_id") < cut.query_id) | ((F.col("query_id") == cut.query_id) & (F.col("doc_id") <= cut.doc_id))
+        above = (F.col("s") > cut.s) | ((F.col("s") == cut.s) & before_cut)
+    n = rows.groupBy("query_id", "low", "high").agg(F.count_if(above).alias("n"))
     return n.select("query_id", "n", F.least(F.greatest("n", "low"), "high").alias("k"))
 
 
-def allocate_total(sizes: DataFrame, raw: str, low: str, high: str, target: int) -> DataFrame:
-    """Whole numbers between the bounds that sum to ``target``, in proportion to ``raw``: largest remainders take the rest."""
+def allocate_total(sizes: DataFrame, raw: str, low: str, high: str, target: int, rounds: int = 11, tries: int = 32) -> DataFrame:
+    """Whole numbers between the bounds that sum to ``target``, in proportion to ``raw``: largest remainders take the rest.
+
+    The common factor is bracketed by trying many values in each aggregate.
+    """
     held = sizes.select("query_id", F.col(raw).cast("double").alias("raw"), F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high")).persist()
     clipped = lambda c: F.least(F.greatest(F.lit(c) * F.col("raw"), F.col("low")), F.col("high"))
-    total = lambda c: held.agg(F.sum(clipped(c))).first()[0]
-    top = 1.0
-    while total(top) < target:
-        top *= 2
-    _, c = bisect(total, target, 0.0, top, steps=60)
-    x = held.withColumn("x", clipped(c)).withColumn("base", F.least(F.floor(F.col("x") + 1e-9), F.floor("high")).cast("long"))
+
+    def totals(values: list[float]) -> list[float]:
+        return list(held.agg(*[F.sum(clipped(c)) for c in values]).first())
+
+    grown = [2.0**k for k in range(tries)]
+    reach = next((c for c, t in zip(grown, totals(grown), strict=True) if t >= target), None)
+    if reach is None:
+        raise ValueError(f"target {target} cannot be reached")
+    a, b = 0.0, reach
+    for _ in range(rounds):
+        values = [a + (b - a) * k / tries for k in range(1, tries)]
+        for c, t in zip(values, totals(values), strict=True):
+            if t >= target:
+                b = c
+                break
+            a = c
+    x = held.withColumn("x", clipped(b)).withColumn("base", F.least(F.floor(F.col("x") + 1e-9), F.floor("high")).cast("long"))
     left = target - x.agg(F.sum("base")).first()[0]
     w = W.orderBy(F.when(F.col("base") < F.col("high"), 0).otherwise(1), F.round(F.col("base") - F.col("x"), 6), "query_id")
     return x.withColumn("_r", F.row_number().over(w)).select("query_id", (F.col("base") + (F.col("_r") <= left).cast("long")).alias("n"))

@@ -32,7 +32,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     A query is a set of terms.  Only postings of query terms are built: the
     vocabulary of the queries filters the exploded words before any grouping.
     """
-    tokens = X.words(F.col(text))
+    docs = docs.select(F.col(key), X.words(F.col(text)).alias("_tokens"))
+    tokens = F.col("_tokens")
     asked = queries.select(F.col(query_key).alias("item"), F.explode(F.array_distinct(X.words(F.col(text)))).alias("term"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
     words = docs.select(F.col(key).alias("doc_id"), F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
@@ -48,7 +49,11 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
 
 def containment(docs: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
     """Documents that share n-word grams with a query: (item_id, doc_id, matched, cover)."""
-    grams = lambda df, key: df.select(key, F.explode(X.shingles(X.words(F.col("text")), n)).alias("gram"))
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        # the words are a column of their own: inside the shingles' lambda they would be split again for every shingle
+        return df.select(key, X.words(F.col("text")).alias("w")).select(key, F.explode(X.shingles(F.col("w"), n)).alias("gram"))
+
     q = grams(queries, "item_id")
     sizes = q.groupBy("item_id").agg(F.count("*").alias("grams"))
     hits = q.join(grams(docs, "doc_id"), "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"))

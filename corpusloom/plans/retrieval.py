@@ -149,8 +149,8 @@ def verbatim_match(spark, sf):
     # any four whole words inside the needle stand side by side in a text that contains it; first and last word may be cut
     inner = F.slice(F.split("needle", " "), 2, 3)
     keyed = needle.withColumn("gram", F.array_join(inner, " "))
-    parts = F.split("text", " ")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, 3), " ")))).alias("gram"))
+    parts = F.col("parts")
+    grams = docs.select("doc_id", F.split("text", " ").alias("parts")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, 3), " ")))).alias("gram"))
     pairs = keyed.join(grams, "gram").join(docs.select("doc_id", "text"), "doc_id")
     found = pairs.withColumn("at", F.expr("position(needle, text)").cast("long")).where("at > 0")
     return found.select("item_id", "doc_id", "at", F.expr("substr(text, at + length(needle), 40)").alias("after"))

@@ -182,3 +182,32 @@ def test_zstd_shards(spark, tmp_path):
     schema = T.StructType.fromDDL("url string, n long")
     got = files.read_zstd_shards(spark, str(tmp_path), schema)
     assert sorted(map(tuple, got.collect())) == sorted((r["url"], r["n"]) for r in rows)
+
+
+def test_allocation_and_thresholds_against_plain_ones(spark):
+    rng = random.Random(5)
+    pairs = [(q, d, float(rng.randint(0, 30))) for q in range(12) for d in rng.sample(range(100), rng.randint(1, 25))]
+    pool = spark.createDataFrame(pairs, "query_id long, doc_id long, s double")
+    sizes = {q: sum(1 for p in pairs if p[0] == q) for q in range(12)}
+    low, high = {q: min(2, n) for q, n in sizes.items()}, {q: min(8, n) for q, n in sizes.items()}
+    clip = lambda n: {q: min(max(n.get(q, 0), low[q]), high[q]) for q in sizes}
+    order = sorted(pairs, key=lambda p: (-p[2], p[0], p[1]))
+    for target in (sum(low.values()), sum(low.values()) + 7, sum(high.values())):
+        at = next(i for i in range(len(order) + 1) if sum(clip({q: sum(1 for p in order[:i] if p[0] == q) for q in sizes}).values()) >= target)
+        want = {q: sum(1 for p in order[:at] if p[0] == q) for q in sizes}
+        for last in (50_000, 5):
+            got = fusion.threshold_counts(pool, "s", F.least(F.lit(2), F.col("size")), F.least(F.lit(8), F.col("size")), target, bins=4, last=last).collect()
+            assert {r.query_id: r.n for r in got} == want and {r.query_id: r.k for r in got} == clip(want)
+    rows = [(q, rng.random() * 10, 1, rng.randint(3, 20)) for q in range(40)]
+    table = spark.createDataFrame(rows, "query_id long, raw double, low int, high int")
+    got = {r.query_id: r.n for r in fusion.allocate_total(table, "raw", "low", "high", 200).collect()}
+    assert sum(got.values()) == 200 and all(r[2] <= got[r[0]] <= r[3] for r in rows)
+    free = [r for r in rows if r[2] < got[r[0]] < r[3]]
+    assert all(abs(got[a[0]] / a[1] - got[b[0]] / b[1]) * min(a[1], b[1]) < 2.01 for a in free for b in free)
+
+
+def test_fair_share_reaches_its_target(spark):
+    rows = [(q, d, 1.0 / (d + 1)) for q in range(30) for d in range(q + 1)]
+    pool = spark.createDataFrame(rows, "query_id long, doc_id long, p double")
+    rho = fusion.solve_rho(pool, 200)
+    assert abs(fusion.carriers_fair(pool, "p", rho).count() - 200) <= 5
