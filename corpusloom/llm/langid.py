@@ -108,6 +108,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     scratch = Scratch(df.sparkSession, "langid")
     usable = df.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     ids = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"))
+    # the smallest hashes of each language lie below a bound that its count gives; only those few are ranked
+    share = F.lit(2.0 * per_language + 200) / F.col("of")
+    small = (F.col("h").cast("double") / 2.0**64 + 0.5) < share
+    ids = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(bound)), "lang").where(small).drop("of")
     ranked = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "key"))).where(F.col("n") <= per_language)
     chosen = scratch.save(ranked.orderBy("n", "lang").limit(bound).select(F.col("key").alias("chosen"), F.col("lang").alias("of")).distinct(), "chosen")
     texts = df.join(F.broadcast(chosen), (F.col(key) == F.col("chosen")) & (F.col(lang) == F.col("of")))

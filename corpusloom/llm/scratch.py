@@ -1,17 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-Iterative operators cut their lineage by writing a Parquet table and reading it
-back.  The folder is the one named by ``spark.checkpoint.dir``; only where that
-is unset (a single-machine session, as in tests) is a temporary folder made.
-Unlike a local checkpoint the table survives the loss of any executor.
-"""
+"""What the operators of this subpackage share: written intermediate tables and small Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
+
+from ..sources.scratch import Scratch, shared_root
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["BATCH_ROWS", "Scratch", "shared_root", "small_batches"]
 
 #: Rows in an Arrow batch handed to a Python worker; with texts of 100 KB this bounds a batch near 25 MB.
 BATCH_ROWS = 256
@@ -20,30 +15,3 @@ BATCH_ROWS = 256
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small; results do not depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Named tables of one operator call under the shared folder."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        schema = df.schema
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

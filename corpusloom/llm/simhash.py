@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .scratch import Scratch, small_batches
 
 BITS = 2
@@ -119,37 +120,6 @@ def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, dense: int = DE
     return scratch.save(pairs.unionByName(through).distinct(), "links")
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
-    """(node, root): each node of ``edges`` (a, b: long) with the smallest node reachable.
-
-    Alternates large-star and small-star until the edges form stars.  Each round
-    is a written table; the only value that reaches the driver is a checksum.
-    """
-    state = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star0")
-    seen = None
-    for k in range(rounds):
-        both = state.select(F.col("u"), F.col("v")).unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        up = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(up, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        state = scratch.save(small, f"star{k + 1}")
-        now = state.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))"), F.lit(0).cast("decimal(38,0)"))).first()
-        scratch.drop(f"star{k}")
-        if seen == now:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _prepare(with_fp: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(fp, root, component_id): every distinct fingerprint with the smallest document id of its component."""
     distinct = scratch.save(with_fp.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("first_id")), "distinct")
