@@ -22,6 +22,7 @@ rows of equal ids are ordered by their texts' hash; a null id sorts first.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -50,12 +51,28 @@ RANGE_ROWS, MAX_RANGES = 2048, 4096
 _FIRST = -(1 << 63)
 
 
+#: Words whose hashes a worker remembers; emptied when full.
+CACHE_WORDS = 1 << 19
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    """Hash of a word without the punctuation around it; 0 if nothing is left."""
+    bare = word.strip(_TRIM)
+    if len(_hashes) >= CACHE_WORDS:
+        _hashes.clear()
+    _hashes[word] = h = xxhash.xxh64_intdigest(bare) if bare else 0
+    return h
+
+
 def terms(text: str | None) -> np.ndarray:
     """Sorted distinct term hashes of a text."""
-    words = {w.strip(_TRIM) for w in set((text or "").lower().split())}
-    words.discard("")
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(w) for w in words], np.uint64))
+    known = _hashes.get
+    found = {known(w) or _hash(w) for w in set((text or "").lower().split())}
+    found.discard(0)
+    out = np.fromiter(found, np.uint64, len(found))
+    out.sort()
+    return out
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
@@ -93,20 +110,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(found: np.ndarray, lex: np.ndarray) -> str:
+def memberships(found: np.ndarray) -> np.ndarray:
+    """Which sub-lexicons hold each term, as packed bits."""
+    parts = [np.packbits(_mix(found[at : at + 8192, None] ^ _SEEDS) < _LIMIT, axis=1) for at in range(0, len(found), 8192)]
+    return np.concatenate(parts) if parts else np.zeros((0, -(-len(_P) // 8)), np.uint8)
+
+
+class Lexicon:
+    """The terms in the band with their memberships, worked out once for each worker."""
+
+    def __init__(self, found: np.ndarray):
+        self.terms = found
+        self.bits = memberships(found)
+
+    def select(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lexicon terms among ``found`` (all of them if there is none) and their packed memberships."""
+        if len(self.terms) and len(found):
+            at = np.searchsorted(self.terms, found)
+            at[at == len(self.terms)] = 0
+            inside = self.terms[at] == found
+            if inside.any():
+                return found[inside], self.bits[at[inside]]
+        return found, memberships(found)
+
+
+@functools.lru_cache(maxsize=2)
+def _lexicon(sent) -> Lexicon:
+    return Lexicon(sent.value)
+
+
+def fingerprint(found: np.ndarray, lex: Lexicon) -> str:
     """16 hex digits for the whole lexicon, then 5 for each sub-lexicon: its number of terms (15: more) and 4 of their hash."""
-    if len(lex) and len(found):
-        at = np.searchsorted(lex, found)
-        at[at == len(lex)] = 0
-        inside = found[lex[at] == found]
-        found = inside if len(inside) else found
+    found, bits = lex.select(found)
     whole = xxhash.xxh64_hexdigest(found.tobytes())
-    member = _mix(found[:, None] ^ _SEEDS) < _LIMIT
-    counts = member.sum(axis=0).tolist()
-    parts = [
-        f"{min(n, 15):x}{xxhash.xxh64_hexdigest(found[member[:, k]].tobytes())[:4]}" if n else "00000" for k, n in enumerate(counts)
-    ]
-    return whole + "".join(parts)
+    member = np.unpackbits(bits, axis=1, count=len(_P)).T
+    # the sorted terms of one sub-lexicon after those of another
+    held = memoryview(found[np.nonzero(member)[1]].tobytes())
+    out, at, digest = [whole], 0, xxhash.xxh64_intdigest
+    for n in member.sum(axis=1).tolist():
+        out.append(f"{min(n, 15):x}{digest(held[at : at + 8 * n]) & 0xFFFF:04x}" if n else "00000")
+        at += 8 * n
+    return "".join(out)
 
 
 def likeness(a: str, b: str) -> float:
@@ -179,7 +223,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(terms(t), lex.value) for t in batch.column(1).to_pylist()]
+            made = [fingerprint(terms(t), _lexicon(lex)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -198,7 +242,7 @@ def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     arrow = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexed, open_row = lex.value, None
+        lexed, open_row = _lexicon(lex), None
         for batch in batches:
             rows, ids = [], []
             for k, (t, part, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
