@@ -1,6 +1,6 @@
 """I-Match document fingerprints with randomised lexicons.
 
-Terms are the lower-cased words of a text, trimmed of punctuation.  Document
+Terms are the lower-cased words of a text.  Document
 frequencies are counted over all documents; the lexicon keeps the terms whose
 inverse document frequency lies in a band, which drops words that every text
 has and words of no evidence.  A fingerprint hashes the sorted distinct lexicon
@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,6 @@ DENSITIES = ((1 / 8, 8), (1 / 24, 16), (1 / 72, 24), (1 / 216, 16), (1 / 650, 8)
 _P = np.array([p for p, n in DENSITIES for _ in range(n)])
 _LIMIT = (_P * 2.0**64).astype(np.uint64)
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"lexicon %d" % k) for k in range(len(_P))], np.uint64)
-_TRIM = ".,;:!?\"'()[]{}<>|*#-_&%$"
 #: Term hashes that a task counts before it passes them on.
 FLUSH_TERMS = 1_000_000
 #: Rows aimed at in a range of ids, and the most ranges.
@@ -51,28 +51,52 @@ RANGE_ROWS, MAX_RANGES = 2048, 4096
 _FIRST = -(1 << 63)
 
 
-#: Words whose hashes a worker remembers; emptied when full.
-CACHE_WORDS = 1 << 19
-_hashes: dict[str, int] = {}
+#: Bytes of a text that are worked on at a time; a word longer than that counts as several.
+SEGMENT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 
 
-def _hash(word: str) -> int:
-    """Hash of a word without the punctuation around it; 0 if nothing is left."""
-    bare = word.strip(_TRIM)
-    if len(_hashes) >= CACHE_WORDS:
-        _hashes.clear()
-    _hashes[word] = h = xxhash.xxh64_intdigest(bare) if bare else 0
-    return h
+@functools.cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse modulo 2^64, up to 2^bits of them."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        row = np.ones(1 << bits, np.uint64)
+        for k in range(bits):
+            row[1 << k : 2 << k] = row[: 1 << k] * np.uint64(pow(base, 1 << k, 1 << 64))
+        out.append(row)
+    return out[0], out[1]
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words in UTF-8 bytes: polynomials over running sums, each shifted back to its word's start."""
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    up, down = _powers(max(10, int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up[: len(data)], out=sums[1:])
+    return _mix((sums[stops] - sums[starts]) * down[starts])
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Sorted distinct term hashes of a text."""
-    known = _hashes.get
-    found = {known(w) or _hash(w) for w in set((text or "").lower().split())}
-    found.discard(0)
-    out = np.fromiter(found, np.uint64, len(found))
+    """Sorted distinct hashes of the words of a text: runs of ASCII letters and digits and of all non-ASCII characters."""
+    data = np.frombuffer((text or "").lower().encode("utf-8"), np.uint8)
+    found, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + SEGMENT)
+        if stop < len(data):
+            gaps = np.flatnonzero(~_WORD[data[at:stop]])
+            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
+        found.append(_word_hashes(data[at:stop]))
+        at = stop
+    if not found:
+        return np.zeros(0, np.uint64)
+    out = found[0] if len(found) == 1 else np.concatenate(found)
     out.sort()
-    return out
+    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
@@ -110,10 +134,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def memberships(found: np.ndarray) -> np.ndarray:
-    """Which sub-lexicons hold each term, as packed bits."""
-    parts = [np.packbits(_mix(found[at : at + 8192, None] ^ _SEEDS) < _LIMIT, axis=1) for at in range(0, len(found), 8192)]
-    return np.concatenate(parts) if parts else np.zeros((0, -(-len(_P) // 8)), np.uint8)
+def memberships(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sub-lexicons that hold each term: how many, and their numbers one term after the other."""
+    many, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for at in range(0, len(found), 8192):
+        member = _mix(found[at : at + 8192, None] ^ _SEEDS) < _LIMIT
+        many.append(member.sum(axis=1))
+        numbers.append(np.nonzero(member)[1].astype(np.uint8))
+    return np.concatenate(many), np.concatenate(numbers)
 
 
 class Lexicon:
@@ -121,17 +149,22 @@ class Lexicon:
 
     def __init__(self, found: np.ndarray):
         self.terms = found
-        self.bits = memberships(found)
+        self.many, self.numbers = memberships(found)
+        self.starts = np.cumsum(self.many) - self.many
 
-    def select(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lexicon terms among ``found`` (all of them if there is none) and their packed memberships."""
+    def select(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lexicon terms among ``found`` (all of them if there is none) and their memberships."""
         if len(self.terms) and len(found):
             at = np.searchsorted(self.terms, found)
             at[at == len(self.terms)] = 0
             inside = self.terms[at] == found
             if inside.any():
-                return found[inside], self.bits[at[inside]]
-        return found, memberships(found)
+                at = at[inside]
+                many = self.many[at]
+                ends = np.cumsum(many)
+                places = np.repeat(self.starts[at] - ends + many, many) + np.arange(ends[-1])
+                return found[inside], many, self.numbers[places]
+        return found, *memberships(found)
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,39 +172,48 @@ def _lexicon(sent) -> Lexicon:
     return Lexicon(sent.value)
 
 
-def fingerprint(found: np.ndarray, lex: Lexicon) -> str:
-    """16 hex digits for the whole lexicon, then 5 for each sub-lexicon: its number of terms (15: more) and 4 of their hash."""
-    found, bits = lex.select(found)
-    whole = xxhash.xxh64_hexdigest(found.tobytes())
-    member = np.unpackbits(bits, axis=1, count=len(_P)).T
+@dataclass(frozen=True)
+class Signature:
+    """Hash of all lexicon terms; for each sub-lexicon 20 bits: its number of terms (15: more) and 16 bits of their hash."""
+
+    whole: int
+    codes: np.ndarray
+
+    def __str__(self) -> str:
+        return f"{self.whole:016x}" + "".join([f"{c:05x}" for c in self.codes.tolist()])
+
+    @staticmethod
+    def parse(text: str) -> Signature:
+        return Signature(int(text[:16], 16), np.array([int(text[k : k + 5], 16) for k in range(16, len(text), 5)], np.int64))
+
+
+def signature(found: np.ndarray, lex: Lexicon) -> Signature:
+    found, many, numbers = lex.select(found)
     # the sorted terms of one sub-lexicon after those of another
-    held = memoryview(found[np.nonzero(member)[1]].tobytes())
-    out, at, digest = [whole], 0, xxhash.xxh64_intdigest
-    for n in member.sum(axis=1).tolist():
-        out.append(f"{min(n, 15):x}{digest(held[at : at + 8 * n]) & 0xFFFF:04x}" if n else "00000")
+    held = memoryview(np.repeat(found, many)[np.argsort(numbers, kind="stable")].tobytes())
+    counts = np.bincount(numbers, minlength=len(_P))
+    codes, at, digest = [], 0, xxhash.xxh64_intdigest
+    for n in counts.tolist():
+        codes.append(digest(held[at : at + 8 * n]) & 0xFFFF if n else 0)
         at += 8 * n
-    return "".join(out)
+    return Signature(xxhash.xxh64_intdigest(found.tobytes()), np.minimum(counts, 15) << 16 | np.array(codes, np.int64))
 
 
-def likeness(a: str, b: str) -> float:
+def share(a: Signature, b: Signature) -> float:
     """The share of common terms that best explains which sub-lexicon hashes agree; 1 for equal fingerprints, 0 if none agrees.
 
     A sub-lexicon that holds u terms of the texts agrees with chance s ** u for
     a share s; the likelihood over all sub-lexicons that hold any is maximised
     by bisection.
     """
-    if a == b:
+    same = a.codes == b.codes
+    if a.whole == b.whole and same.all():
         return 1.0
-    agree, differ = 0, [0] * 16
-    for k in range(16, len(a), 5):
-        x, y = a[k : k + 5], b[k : k + 5]
-        if x == y:
-            agree += int(x[0], 16)
-        else:
-            differ[max(int(x[0], 16), int(y[0], 16))] += 1
+    agree = int((a.codes[same] >> 16).sum())
     if not agree:
         return 0.0
-    rest = [(u, n) for u, n in enumerate(differ) if n]
+    differ = np.bincount(np.maximum(a.codes, b.codes)[~same] >> 16, minlength=16).tolist()
+    rest = [(u, n) for u, n in enumerate(differ) if n and u]
     low, high = 0.0, 1.0
     for _ in range(14):
         s = (low + high) / 2
@@ -182,6 +224,11 @@ def likeness(a: str, b: str) -> float:
     return low
 
 
+def likeness(a: str, b: str) -> float:
+    """``share`` of two fingerprints as texts."""
+    return share(Signature.parse(a), Signature.parse(b))
+
+
 def edited(text: str, following: str) -> str:
     q = len(text) // 4
     return text[: len(text) - q] + following[:q]
@@ -223,7 +270,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(terms(t), _lexicon(lex)) for t in batch.column(1).to_pylist()]
+            made = [str(signature(terms(t), _lexicon(lex))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -247,14 +294,14 @@ def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             rows, ids = [], []
             for k, (t, part, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
                 t = t or ""
-                own = fingerprint(terms(t), lexed) if open_row or not last else ""
+                own = signature(terms(t), lexed)
                 if open_row is not None and open_row[0] == part:
                     _, ident, before, print_before = open_row
                     changed = edited(before, t)
-                    print_edited = fingerprint(terms(changed), lexed)
+                    print_edited = signature(terms(changed), lexed)
                     ids.append(ident)
                     rows.append(
-                        (len(before), hashlib.sha256(changed.encode()).hexdigest(), print_before, print_edited, likeness(print_before, print_edited), likeness(print_before, own))
+                        (len(before), hashlib.sha256(changed.encode()).hexdigest(), str(print_before), str(print_edited), share(print_before, print_edited), share(print_before, own))
                     )
                 open_row = None if last else (part, batch.column(0)[k], t, own)
             columns = [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(arrow)]

@@ -53,6 +53,18 @@ def test_frequencies_and_lexicon(spark):
     assert imatch.lexicon(df).view(np.int64).tolist() == [key("b")]
 
 
+def test_terms_do_not_depend_on_segments(monkeypatch):
+    text = "Ünï code, words-and 12 numbers! " * 50 + "x" * 300
+    whole = imatch.terms(text)
+    assert len(whole) == 7 + 0
+    assert imatch.terms("NUMBERS 12 and words code ünï " + "x" * 300).tolist() == whole.tolist()
+    monkeypatch.setattr(imatch, "SEGMENT", 310)
+    assert imatch.terms(text).tolist() == whole.tolist()
+    rng = random.Random(8)
+    many = {"".join(rng.choices("abcdefghé", k=rng.randint(1, 12))) for _ in range(20000)}
+    assert len(imatch.terms(" ".join(many))) == len(many)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(5, "only one text here, four parts")]])
 def test_small_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
