@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from .fusion import bisect, per_query
+from .ranking import place
 
 
 def join_complete(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,8 +100,9 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def quantile_map(rows: DataFrame, source: str, target: str) -> DataFrame:
     """Maps each value of one score to the value of the other at the same place of its sorted order."""
-    at = lambda c, name: rows.select(F.col(c).alias(name), F.row_number().over(W.orderBy(c, "doc_id")).alias("i"), "query_id", "doc_id")
-    return at(source, "from").select("query_id", "doc_id", "from", "i").join(at(target, "to").select("to", "i"), "i").drop("i")
+    one = place(rows.select("query_id", "doc_id", F.col(source).alias("from")), ["from", "doc_id", "query_id"], "i")
+    other = place(rows.select("query_id", "doc_id", F.col(target).alias("to")), ["to", "doc_id", "query_id"], "i").select("to", "i")
+    return one.join(other, "i").drop("i")
 
 
 def tail_mass(rows: DataFrame, p: str, order: str, fit: int, block: int, most: int) -> DataFrame:

@@ -11,12 +11,16 @@ from pyspark.sql.window import Window as W
 from ..functions import urls as U
 
 
-def group_urls(df: DataFrame, key: str, url: str) -> DataFrame:
-    """One row for each normalised url: ids sorted; the representative is https first, then short, then of small id."""
+def group_urls(df: DataFrame, key: str, url: str, ids: bool = False) -> DataFrame:
+    """One row for each normalised url with the number of its ids and the first; the representative is https first, then short, then of small id.
+
+    ``ids`` adds the sorted list of them all, which grows with the group.
+    """
     u = F.col(url)
     better = F.struct((~F.lower(u).startswith("https://")).cast("int"), F.length(u), F.col(key))
     rows = df.select(F.col(key), u, U.normal(u).alias("url_norm"), U.domain(u).alias("domain"), better.alias("order"))
-    return rows.groupBy("url_norm").agg(F.min_by(url, "order").alias("url"), F.min_by("domain", "order").alias("domain"), F.sort_array(F.collect_list(key)).alias("ids"))
+    found = [F.min_by(url, "order").alias("url"), F.min_by("domain", "order").alias("domain"), F.count("*").alias("n_ids"), F.min(key).alias("first_id")]
+    return rows.groupBy("url_norm").agg(*found, *([F.sort_array(F.collect_list(key)).alias("ids")] if ids else []))
 
 
 def with_section(pages: DataFrame) -> DataFrame:

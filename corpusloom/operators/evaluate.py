@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from .ranking import average_ranks, place
 
 
 def document_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -66,20 +67,15 @@ def passage_scores(pred: DataFrame, gold: DataFrame, both_sides: bool) -> DataFr
     return out.select("query_id", pr.alias("p"), rc.alias("r"), X.f2(pr, rc).alias("f2"))
 
 
-def average_rank(score: Column, *partition: str) -> Column:
-    """Rank with ties sharing their mean."""
-    w = W.partitionBy(*partition)
-    return F.rank().over(w.orderBy(score)) + (F.count("*").over(w.partitionBy(*partition, score)) - 1) / 2
-
-
 def spearman(df: DataFrame, a: str, b: str, *group: str) -> DataFrame:
-    ranked = df.withColumn("_a", average_rank(F.col(a), *group)).withColumn("_b", average_rank(F.col(b), *group))
-    return ranked.groupBy(*group).agg(F.round(F.corr("_a", "_b"), 6).alias("rho"))
+    """Rank correlation within groups; rows with a missing score take no part."""
+    ranked = average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*group, a, b), list(group), a, "_a")
+    return average_ranks(ranked, list(group), b, "_b").groupBy(*group).agg(F.round(F.corr("_a", "_b"), 6).alias("rho"))
 
 
 def auc(df: DataFrame, score: str, label: str, *group: str) -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half, by the rank sum."""
-    ranked = df.withColumn("_r", average_rank(F.col(score), *group))
+    ranked = average_ranks(df.where(F.col(score).isNotNull()).select(*group, score, label), list(group), score, "_r")
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) != 1)
     total = F.sum(F.when(F.col(label) == 1, F.col("_r")).otherwise(0))
     return ranked.groupBy(*group).agg(F.round(F.try_divide(total - pos * (pos + 1) / 2, pos * neg), 6).alias("auc"))
@@ -100,6 +96,5 @@ def out_of_fold_rate(df: DataFrame, key: str, hit: str, fold: Column, strength:
 
 def recall_curve(df: DataFrame, order: list, relevant: str, fractions: list[float]) -> DataFrame:
     """Share of the relevant rows among the first ceil(f n) in the order, for each fraction."""
-    w = W.partitionBy(F.lit(0))
-    ranked = df.select(F.col(relevant).alias("y"), F.row_number().over(w.orderBy(*order)).alias("i"), F.count("*").over(w).alias("n"))
+    ranked = place(df, order, "i").select(F.col(relevant).alias("y"), "i").crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
     return ranked.agg(*[F.round(F.sum(F.when(F.col("i") <= F.ceil(F.lit(f) * F.col("n")), F.col("y"))) / F.sum("y"), 6).alias(f"recall_{round(f * 100)}") for f in fractions])

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..operators import evaluate as E
+from ..operators import ranking
 from .registry import query, table
 
 _SETS = """
@@ -107,7 +108,9 @@ def beta_prior_oof(spark, sf):
 
 @query("id_bins_prior", "WITH t AS (SELECT doc_id, quality AS y, ntile(20) OVER (ORDER BY doc_id) AS bin FROM labels) SELECT bin, count(*) AS n, round((sum(y) + 5 * (SELECT avg(y) FROM t)) / (count(*) + 5), 6) AS rate FROM t GROUP BY bin")
 def id_bins_prior(spark, sf):
-    rows = table(spark, sf, "labels").select("quality", F.ntile(20).over(W.orderBy("doc_id")).cast("long").alias("bin"))
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    n = labels.agg(F.count("*").alias("all"))
+    rows = ranking.place(labels, ["doc_id"], "i").crossJoin(F.broadcast(n)).select("quality", ranking.tile(F.col("i"), F.col("all"), 20).alias("bin"))
     per = rows.groupBy("bin").agg(F.sum("quality").alias("h"), F.count("*").alias("n"))
     mean = per.agg((F.sum("h") / F.sum("n")).alias("mean"))
     return per.crossJoin(F.broadcast(mean)).select("bin", "n", F.round((F.col("h") + 5 * F.col("mean")) / (F.col("n") + 5), 6).alias("rate"))

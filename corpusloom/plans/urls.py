@@ -50,8 +50,7 @@ def url_variants(spark, sf):
     FROM u GROUP BY url_norm""",
 )
 def url_groups(spark, sf):
-    g = corpus.group_urls(table(spark, sf, "pages"), "page_id", "url")
-    return g.select("url_norm", "url", "domain", F.size("ids").cast("long").alias("n_ids"), F.element_at("ids", 1).alias("first_id"))
+    return corpus.group_urls(table(spark, sf, "pages"), "page_id", "url")
 
 
 @query(
