@@ -223,3 +223,34 @@ def quota(sizes: dict[str, int], n: int, cap: int | None) -> dict[str, int]:
         given |= {g: x + (g in by_rest) for g, x in low.items()}
         break
     return given
+
+
+def calibrate_threshold(pool: DataFrame, score: str, target_mean: float, floor: int, ceil: int, steps: int = 6, tries: int = 24) -> float:
+    """The threshold whose floor-and-ceiling cut keeps ``target_mean`` documents a query; each step tries many values in one aggregate."""
+    held = pool.select("query_id", F.col(score).alias("s")).persist()
+    low, high = held.agg(F.min("s"), F.max("s")).first()
+
+    def means(values: list[float]) -> list[float]:
+        n = F.count("*")
+        per = held.groupBy("query_id").agg(*[F.least(F.greatest(F.least(F.lit(floor), n), F.count_if(F.col("s") >= v)), F.lit(ceil)).alias(f"k{i}") for i, v in enumerate(values)])
+        return list(per.agg(*[F.avg(f"k{i}") for i in range(len(values))]).first())
+
+    for _ in range(steps):
+        values = [low + (high - low) * k / tries for k in range(tries + 1)]
+        found = means(values)
+        above = max((i for i, m in enumerate(found) if m >= target_mean), default=0)
+        low, high = values[above], values[min(above + 1, tries)]
+    return low
+
+
+def variable_keep(pool: DataFrame, score: str, base: Column, threshold: float, low: float, high: float) -> DataFrame:
+    """(query_id, keep): documents at or above a threshold, between bounds relative to the base depth, and the geometric mean of the two."""
+    n = pool.groupBy("query_id").agg(F.count_if(F.col(score) >= threshold).alias("n"), F.count("*").alias("size")).withColumn("base", base)
+    clip = lambda x: F.least(F.greatest(x, F.ceil(F.lit(low) * F.col("base") - 1e-9)), F.floor(F.lit(high) * F.col("base") + 1e-9), F.col("size"))
+    return n.select("query_id", clip(F.col("n")).cast("long").alias("thr"), clip(F.bround(F.sqrt(F.col("n") * F.col("base")))).cast("long").alias("mix"))
+
+
+def merge_lanes(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Two scored lists as one: a document's best score counts, the k best stay; (query_id, doc_id, score, position)."""
+    both = a.select("query_id", "doc_id", "score").unionByName(b.select("query_id", "doc_id", "score"))
+    return with_rank(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), "score", "position").where(F.col("position") <= k)

@@ -211,3 +211,45 @@ def test_fair_share_reaches_its_target(spark):
     pool = spark.createDataFrame(rows, "query_id long, doc_id long, p double")
     rho = fusion.solve_rho(pool, 200)
     assert abs(fusion.carriers_fair(pool, "p", rho).count() - 200) <= 5
+
+
+def test_structured_chunks():
+    from corpusloom.operators import structure
+
+    text = "# Intro\nSome words here.\n- one item\n- two items\na | b | c\n1 | 2 | 3\nUsage:\n" + "long. " * 100
+    chunks = structure.structured(text, 12)
+    assert [c["section"] for c in chunks][:2] == ["Intro", "Intro"] and chunks[-1]["section"] == "Usage"
+    assert all(len(text[c["start"] : c["stop"]].split()) <= 24 for c in chunks)
+    assert "".join(text[c["start"] : c["stop"]] for c in chunks).replace("\n", "").replace(" ", "") == text.replace("\n", "").replace(" ", "")
+    assert structure.structured("", 10) == []
+
+
+def test_qa_chunks_and_growth():
+    from corpusloom.operators import structure
+
+    made = structure.qa_chunks("Q?", ["a b\nc d", "e"], 2)
+    assert [(c["kind"], c["text"]) for c in made] == [("qa", "Q?\n\na b"), ("answer", "c d"), ("answer", "e"), ("span_qa", "Q?\n\ne")]
+    assert structure.qa_chunks("Q?", [], 5) == [{"kind": "question", "text": "Q?"}] and structure.qa_chunks("", [], 5) == []
+    assert structure.grow([1, 1, 1, 1, 1], [0.1, 0.9, 0.5, 0.2, 0.8], 2, 3) == (1, 3)
+    assert structure.grow([5, 5], [0, 0], 0, 4) == (0, 0)
+
+
+def test_tail_cut_and_language_shingles(spark):
+    from corpusloom.operators import structure
+
+    row = spark.createDataFrame([(["a", "related", "b", "c", "Related ", "d"], "漢字 漢字かな", "zh")], "l array<string>, t string, lang string")
+    got = row.select(structure.cut_point(F.col("l"), ["related"], 0.6).alias("cut"), structure.char_or_word_shingles(F.col("t"), F.col("lang"), 5).alias("s")).first()
+    assert got.cut == 4 and got.s == ["漢字漢字か".replace("", " ").strip(), "字漢字かな".replace("", " ").strip()]
+
+
+def test_places_and_tiles(spark):
+    from corpusloom.operators import ranking
+
+    rows = [(i, i * 7919 % 1009) for i in range(1, 504)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    got = {r.id: (r.i, r.b) for r in ranking.place(df, ["v", "id"], "i").withColumn("b", ranking.tile(F.col("i"), F.lit(503), 20)).collect()}
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    want = {i: k + 1 for k, i in enumerate(order)}
+    assert {i: p for i, (p, _) in got.items()} == want
+    tiles = [got[i][1] for i in order]
+    assert tiles == sorted(tiles) and set(tiles) == set(range(1, 21)) and [tiles.count(k) for k in (1, 3, 4, 20)] == [26, 26, 25, 25]
