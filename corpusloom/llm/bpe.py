@@ -34,6 +34,8 @@ from .scratch import small_batches
 SHORT_WORD_BYTES = 96
 #: Words remembered by one worker; the cache is emptied when full.
 CACHE_WORDS = 1 << 19
+#: Characters of a text that are cut into words at a time; results do not depend on it.
+PART_CHARS = 1 << 19
 _NONE = 1 << 60
 
 # Fixed value: the word pattern of the byte-level vocabulary.
@@ -53,6 +55,9 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+_GAP = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
+
+
 class RankArrayBPE:
     """Encoder and decoder of one vocabulary file in the tokenizers format."""
 
@@ -137,7 +142,17 @@ class RankArrayBPE:
 
     def ordinary(self, text: str) -> bytes:
         cached, word = self.cache.get, self.word
-        return b"".join([cached(w) or word(w) for w in self.words(text)])
+        if len(text) <= PART_CHARS:
+            return b"".join([cached(w) or word(w) for w in self.words(text)])
+        return b"".join([b"".join([cached(w) or word(w) for w in self.words(part)]) for part in self.pieces(text)])
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A long text in parts.  A white space after another character always starts a word, so no word is cut."""
+        at = 0
+        while len(text) - at > PART_CHARS and (gap := _GAP.search(text, at + PART_CHARS)):
+            yield text[at : gap.start()]
+            at = gap.start()
+        yield text[at:]
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text; special tokens' strings are the tokens."""
@@ -152,8 +167,9 @@ class RankArrayBPE:
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids; unknown ids give nothing, bytes that are no UTF-8 the replacement character."""
-        get = self.token_bytes.get
-        return b"".join([get(i, b"") for i in array("I", packed)]).decode("utf-8", "replace")
+        get, step = self.token_bytes.get, 4 * PART_CHARS
+        parts = (array("I", packed[k : k + step]) for k in range(0, len(packed), step))
+        return b"".join([b"".join([get(i, b"") for i in part]) for part in parts]).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)

@@ -56,7 +56,7 @@ ATTACHMENT = T.StructType(
 )
 
 _TEXT, _ROLE, _ESCAPED = re.compile(r"[\\#<]"), re.compile(r"[\\#<:\n]"), re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\:\n]++|\\.)*+):\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 _MARK = re.compile(r"(?<!\\)(?:\\\\)*(<(?:image|audio|document) \d+>)")
 
 

@@ -45,9 +45,19 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return _LETTER[np.minimum(codes, len(_LETTER) - 1)]
 
 
+#: Characters of a text that are counted at a time; a word over the edge counts as two.
+PART_CHARS = 1 << 18
+
+
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed n-gram counts of a whole text, or None if it has no letter."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    text = text or ""
+    parts = [c for k in range(0, len(text), PART_CHARS) if (c := _counts(text[k : k + PART_CHARS])) is not None]
+    return sum(parts[1:], parts[0]) if parts else None
+
+
+def _counts(text: str) -> np.ndarray | None:
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letters = _letters(codes)
     if not letters.any():
         return None
@@ -105,6 +115,7 @@ class Model:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, bound: int = SAMPLE) -> Model:
     """Fits on a bounded sample of the labelled rows outside the held-out ones; the driver sees count vectors, no texts."""
     small_batches(df.sparkSession)
+    df = df.select(key, text, lang)
     scratch = Scratch(df.sparkSession, "langid")
     usable = df.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     ids = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"))

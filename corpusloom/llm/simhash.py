@@ -43,6 +43,7 @@ SHINGLE = 3
 #: Distinct fingerprints under one block key beyond which they are linked through neighbours instead of pairs.
 DENSE = 64
 _BLOCKS = [0xFFFF << (16 * k) for k in range(4)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MASKS = [_BLOCKS[i] | _BLOCKS[j] for i in range(4) for j in range(i)]
 
 
@@ -52,19 +53,27 @@ def _signed(x: int) -> int:
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of one text."""
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z only, and exactly the six ASCII white spaces
-    if not words:
+    data = np.frombuffer((text or "").encode("utf-8").lower(), np.uint8)  # bytes: A-Z only
+    # words with one space between: of each run of white space the first byte after a word stays, as a space
+    space = _SPACE[data]
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[:1] = False
+    line = np.where(space, np.uint8(32), data)[~space | first]
+    line = line[:-1] if len(line) and line[-1] == 32 else line
+    if not len(line):
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    n = max(1, len(words) - shingle + 1)
-    starts = [0, *ends[: n - 1]]
-    stops = [e - 1 for e in ends[min(shingle, len(words)) - 1 :]]
+    gaps = np.flatnonzero(line == 32)
+    words = len(gaps) + 1
+    n = max(1, words - shingle + 1)
+    starts = np.concatenate(([0], gaps + 1))[:n]
+    stops = np.concatenate((gaps, [len(line)]))[min(shingle, words) - 1 :]
+    line = line.tobytes()
     digest, view = xxhash.xxh64_intdigest, memoryview(line)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 8192):
-        part = range(at, min(n, at + 8192))
-        hashes = np.array([digest(view[starts[i] : stops[i]], 42) for i in part], np.uint64)
+        some = zip(starts[at : at + 8192].tolist(), stops[at : at + 8192].tolist(), strict=True)
+        hashes = np.array([digest(view[a:b], 42) for a, b in some], np.uint64)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])

@@ -59,6 +59,20 @@ NEGATION_SPAN = 3
 NEGATED, REPORTED, TARGETED = 0.5, 0.6, 1.25
 
 
+#: Characters of a text that are read at a time.
+PART_CHARS = 1 << 19
+_GAP = re.compile(r"\s")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts cut at white space, where a clause may be cut in two."""
+    at = 0
+    while len(text) - at > PART_CHARS and (gap := _GAP.search(text, at + PART_CHARS)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 @dataclass
 class Grammar:
     """The composed transducers.  ``insults``: accepted prefix (a whole word ends in $) to weight."""
@@ -113,14 +127,16 @@ class Grammar:
         return matched
 
     def features(self, text: str | None) -> list[float]:
-        text = (text or "").lower()
-        words = _WORD.findall(text)
         get, symbol = self.cache.get, self.symbol
-        bad = sum(1 for w in words if (get(w) or symbol(w))[0] in (INSULT, THREAT))
-        matched = self.clauses(text + "\n") if bad else []
+        n, matched = 0, []
+        for part in _parts((text or "").lower()):
+            words = _WORD.findall(part)
+            n += len(words)
+            if any((get(w) or symbol(w))[0] in (INSULT, THREAT) for w in words):
+                matched += self.clauses(part + "\n")
         insult, threat = sum(m[0] for m in matched), sum(m[1] for m in matched)
-        rate = insult / (len(words) + 20)
-        return [1.0, math.log1p(insult), math.log1p(100 * rate), math.log1p(len(matched)), math.log1p(threat), float(bool(matched)), math.log1p(len(words)) / 5]
+        rate = insult / (n + 20)
+        return [1.0, math.log1p(insult), math.log1p(100 * rate), math.log1p(len(matched)), math.log1p(threat), float(bool(matched)), math.log1p(n) / 5]
 
 
 N_FEATURES = 7
@@ -202,6 +218,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns the insult acceptor and the logistic model.  The driver sees at most ``bound`` short rows and ``MAX_ENTRIES`` entries."""
     scratch = Scratch(df.sparkSession, "toxicity")
     small_batches(df.sparkSession)
+    df, labels = df.select(key, text), labels.select(key, label)
     sample = sample_labelled(df, labels, scratch, key, text, label, bound)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

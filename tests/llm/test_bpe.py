@@ -30,6 +30,17 @@ def test_equals_library_on_random_texts(library):
         assert own.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_parts_do_not_change_the_ids(monkeypatch, library):
+    rng = random.Random(6)
+    monkeypatch.setattr(bpe, "PART_CHARS", 7)
+    own = bpe.load(PATH)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "be", " ", "  ", "\n", "'s", "é", "1", "<|endoftext|>", "\u3000"]) for _ in range(rng.randint(0, 60)))
+        packed = own.encode(text)
+        assert list(array("I", packed)) == library.encode(text, add_special_tokens=False).ids
+        assert own.decode(packed) == text
+
+
 def test_long_and_short_merges_agree():
     own, rng = bpe.load(PATH), random.Random(4)
     for _ in range(200):

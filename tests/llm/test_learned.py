@@ -191,3 +191,13 @@ def test_propagation_equals_dense_iteration(spark):
         for _ in range(10):
             score = 0.15 * np.array(seed) + 0.85 * matrix @ score
         assert [got[n][kind] for n in names] == pytest.approx(score.tolist())
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    text = "grub " * 50 + "word, " * 400 + "grub."
+    whole = toxicity.Grammar({"grub$": 1.0}).features(text)
+    monkeypatch.setattr(toxicity, "PART_CHARS", 101)
+    assert toxicity.Grammar({"grub$": 1.0}).features(text)[-1] == whole[-1]
+    assert toxicity.Grammar({"grub$": 1.0}).features(text)[1] == whole[1]
+    monkeypatch.setattr(langid, "PART_CHARS", 100)
+    assert langid.counts("abc " * 100).sum() >= 400 and langid.counts("12 " * 100) is None

@@ -33,6 +33,7 @@ def plain_components(prints):
 def test_fingerprints_match_plain_ones():
     rng = random.Random(1)
     texts = ["", None, "one", "One two", "a b c", "A b C\x1cd e", " x\n\ty\x0bz  z z z z"]
+    texts += ["\n a  b\t\tc d\x0b", "   ", "\t", "x" * 40000, "a " * 30000]
     texts += [" ".join(rng.choice(["ab", "Cd", "é", "zz"]) for _ in range(rng.randint(1, 60))) for _ in range(50)]
     for t in texts:
         assert simhash.fingerprint_of(t) == plain_fingerprint(t)
