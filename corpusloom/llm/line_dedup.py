@@ -12,6 +12,11 @@ L / ratio boilerplate lines, whatever P is.  Texts are never shuffled unless
 that table is beyond ``BROADCAST_LINES``; then hosts are salted, so that a host
 with a third of all pages is dealt over many tasks.
 
+With ``distinct_texts`` a line counts once for each distinct text of the host,
+and the host's distinct texts are what it is divided by, so that a group of
+exact copies is one page and is left to near-dedup.  The operator's own query
+counts rows, as its SQL does.
+
 Defined results: lines are what lies between \\n; lines of spaces only are never
 counted nor dropped; null text stays null and counts as a page; pages of null
 host form a host of their own; a repeated row is another page.
@@ -40,10 +45,13 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct_texts: bool = False) -> DataFrame:
     """(host, h1, h2, pages, host_pages): the boilerplate lines of each host, by hash."""
-    pages = df.select(F.col(host).alias("host"), F.filter(F.array_distinct(_lines(F.col(text))), lambda x: F.trim(x) != "").alias("lines"))
-    lines = pages.select("host", F.explode("lines").alias("line")).select("host", _line_key(F.col("line")).alias("k"))
+    page = [_line_key(F.col(text)).alias("page")] if distinct_texts else []
+    pages = df.select(F.col(host).alias("host"), *page, F.filter(F.array_distinct(_lines(F.col(text))), lambda x: F.trim(x) != "").alias("lines"))
+    lines = pages.select(*pages.columns[:-1], F.explode("lines").alias("line")).select(*pages.columns[:-1], _line_key(F.col("line")).alias("k"))
+    if distinct_texts:
+        lines, df = lines.distinct(), df.select(F.col(host), *page).distinct()
     counts = lines.groupBy("host", "k.h1", "k.h2").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = df.groupBy(F.col(host).alias("of_host")).agg(F.count("*").alias("host_pages"))
     return (
@@ -54,11 +62,11 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio:
 
 
 def drop_boilerplate(
-    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True, distinct_texts: bool = False
 ) -> DataFrame:
     """``df`` with boilerplate lines cut out of ``text``; with ``counts``, also n_lines and n_dropped (long)."""
     scratch = Scratch(df.sparkSession, "lines")
-    found = scratch.save(boilerplate(df, host, text, ratio, min_pages), "boilerplate")
+    found = scratch.save(boilerplate(df, host, text, ratio, min_pages, distinct_texts), "boilerplate")
     by_host = found.groupBy(F.col("host").alias("_loom_host")).agg(F.collect_list(F.struct("h1", "h2")).alias("_loom_keys"))
     if found.count() <= BROADCAST_LINES:
         joined = df.join(F.broadcast(by_host), df[host].eqNullSafe(by_host["_loom_host"]), "left")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from corpusloom.llm import line_dedup, mixing, queries
 from tests import oracle
 
@@ -62,3 +63,13 @@ def test_empty_tables(spark):
 def test_registered_query_equals_its_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     oracle.same(queries.QUERIES[name](spark, sf), oracle.connect(sf), queries.ORACLES[name])
+
+
+def test_pipeline_lines_of_a_copy_group_stay(spark):
+    """A third of a source are copies of one text; a line of many distinct texts still goes."""
+    copy = "copied head\ncopied body"
+    rows = [(i, copy, "s") for i in range(50)] + [(100 + i, f"own {i}\nmenu", "s") for i in range(100)]
+    rows += [(300 + i, copy if i < 6 else f"lone {i}", "t") for i in range(100)] + [(500 + i, None, "t") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
+    assert got == {i: f"own {i - 100}" if 100 <= i < 200 else text for i, text, _ in rows}
