@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,12 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.IntegerType())
+def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words that two arrays share as multisets: no LCS is longer."""
+    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def passage_scores(pred: DataFrame, gold: DataFrame, both_sides: bool) -> DataFrame:
     """(query_id, p, r, f2) of passages: only passages of one document are compared; 5 LCS >= 2 len(gold), and of the other side too if ``both_sides``.
 
@@ -52,7 +60,9 @@ def passage_scores(pred: DataFrame, gold: DataFrame, both_sides: bool) -> DataFr
     """
     g = gold.where(F.size("tokens") > 0).select("query_id", "doc_id", F.col("chunk").alias("g"), F.col("tokens").alias("gt"))
     p = pred.select("query_id", "doc_id", F.col("chunk").alias("c"), F.col("tokens").alias("ct"))
-    pairs = p.join(g, ["query_id", "doc_id"]).withColumn("l", lcs("gt", "ct"))
+    need = 2 * (F.greatest(F.size("gt"), F.size("ct")) if both_sides else F.size("gt"))
+    pairs = p.join(g, ["query_id", "doc_id"]).where(5 * F.least(F.size("gt"), F.size("ct")) >= need)
+    pairs = pairs.where(5 * overlap("gt", "ct") >= need).withColumn("l", lcs("gt", "ct"))
     match = 5 * F.col("l") >= 2 * F.size("gt")
     if both_sides:
         match = match & (5 * F.col("l") >= 2 * F.size("ct"))

@@ -41,7 +41,7 @@ def macro_f2(spark, sf):
 
 
 def _chunks(spark, sf, role):
-    words = F.slice(X.words(F.col("text")), 1, 24)
+    words = X.words(F.col("text"))
     return table(spark, sf, "conversations").where(F.col("role") == role).select(F.col("conv_id").alias("query_id"), F.lit(0).alias("doc_id"), F.col("turn").alias("chunk"), words.alias("tokens"))
 
 

@@ -38,6 +38,17 @@ def test_passage_scores(spark):
     assert both[2] == 0.0 and both[1] > 0
 
 
+def test_chunk_match_compares_whole_turns(spark, tmp_path):
+    from corpusloom.plans import catalogue
+
+    same, other = " ".join(f"s{i}" for i in range(24)), " ".join(f"o{i}" for i in range(24))
+    tail, far = " ".join(f"t{i}" for i in range(60)), " ".join(f"f{i}" for i in range(60))
+    rows = [(1, 0, "user", f"{same} {tail}"), (1, 1, "assistant", f"{same} {far}"), (2, 0, "user", f"{same} {tail}"), (2, 1, "assistant", f"{other} {tail}")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("chunk_match_v1", "chunk_match_v2"):
+        assert {r.query_id: r.f2 for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == {1: 0.0, 2: 1.0}
+
+
 def test_chunks_cover_and_fit():
     rng = random.Random(1)
     for _ in range(60):
