@@ -20,7 +20,8 @@ measured in the tests.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; a query finds all candidates
-if they are fewer than k; ties go to the smaller id; repeated rows of an id
+if they are fewer than k, for it visits cells until they hold k + 1 distinct
+vectors; ties go to the smaller id; repeated rows of an id
 count as one candidate for each different vector; a null id takes no part.
 """
 
@@ -44,6 +45,8 @@ SAMPLE = 16_384
 #: Cells: the square root of the number of distinct vectors, up to MAX_CELLS; a query visits this share of them.
 #: Vectors without clusters (as in the tests' tables) need a large share for a recall of 0.9; clustered ones need far less.
 MAX_CELLS, PROBE_SHARE = 1024, 0.55
+#: Cells that a query visits at least, if there are so many; with up to about 4,200 distinct vectors that is all of them.
+LEAST_PROBES = 64
 SUB_VECTORS, CODEWORDS = 16, 256
 SHORTLIST = 300
 BLOCK, CHUNK = 4096, 1024
@@ -139,7 +142,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     picked = distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toArrow()
     sample = _vectors(picked.column("v").combine_chunks(), width)
     quantiser = fit(sample, max(1, min(MAX_CELLS, int(n**0.5), len(sample))))
-    probes = max(1, round(len(quantiser.centres) * probe_share))
+    probes = max(min(LEAST_PROBES, len(quantiser.centres)), round(len(quantiser.centres) * probe_share))
     sent = spark.sparkContext.broadcast(quantiser)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +153,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "cell", "code"])
 
     coded = scratch.save(distinct.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, cell int, code binary"), "index")
+    held = np.zeros(len(quantiser.centres), np.int64)
+    for r in coded.groupBy("cell").count().collect():
+        held[r.cell] = r["count"]
     grouped = coded.withColumn("part", F.col("cell") % PARTS)
     sizes = grouped.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
     asked = rows.where((F.size("v") == width) & (F.col("id") % every == 0)).select(F.col("id").alias("query_id"), "v")
@@ -159,7 +165,10 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(distances(_vectors(batch.column(1), width), sent.value.centres), axis=1, kind="stable")[:, :probes]
+            near = np.argsort(distances(_vectors(batch.column(1), width), sent.value.centres), axis=1, kind="stable")
+            # further cells until k vectors besides the query's own are in them
+            enough = (np.cumsum(held[near], axis=1) <= k).sum(axis=1) + 1
+            near = [own[: max(probes, n)] for own, n in zip(near, enough.tolist(), strict=True)]
             at, part, cells = [], [], []
             for i, own in enumerate(near):
                 for p in np.unique(own % PARTS).tolist():

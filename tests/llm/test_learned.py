@@ -201,3 +201,18 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     assert toxicity.Grammar({"grub$": 1.0}).features(text)[1] == whole[1]
     monkeypatch.setattr(langid, "PART_CHARS", 100)
     assert langid.counts("abc " * 100).sum() >= 400 and langid.counts("12 " * 100) is None
+
+
+@pytest.mark.parametrize("least", [ann.LEAST_PROBES, 1])
+def test_nearest_few_distinct_vectors_lose_no_rows(spark, monkeypatch, least):
+    monkeypatch.setattr(ann, "LEAST_PROBES", least)
+    for n in (4, 11, 60):
+        x = np.random.default_rng(n).normal(size=(n, 8))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df, every=1).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        exact = ann.brute_force(np.arange(n), x, every=1)
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in exact.items()}
+        if least > 1:
+            assert got == {q: {i for i, _ in v} for q, v in exact.items()}
