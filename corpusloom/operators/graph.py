@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .skew import join_counted
+
+#: Neighbours beyond which a node is a hub whose edges stay where they lie, and the most hubs that are broadcast.
+HUB, MAX_HUBS = 10_000, 200_000
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, hub: int = HUB) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b: long) with the smallest node reachable.
 
-    Alternates large-star and small-star until the edges form stars.  Each round
-    is a written table; the only value that reaches the driver is a checksum.
+    Alternates large-star and small-star until the edges form stars, however
+    many rounds that takes (the square of the logarithm of the nodes at most).
+    Each round is a written table; the only value that reaches the driver is a
+    checksum.  A node of many neighbours is a hub: what its edges need to know,
+    one row, is broadcast to them.  The bound rises with the edges, so at most
+    ``MAX_HUBS`` rows are broadcast.
+
+    Defined results: loops, repeated edges and edges with a null end change
+    nothing; no edges give no rows.
     """
-    state = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star0")
-    seen = None
-    for k in range(rounds):
-        both = state.select(F.col("u"), F.col("v")).unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        up = large.groupBy("u").agg(F.min("v").alias("m"))
+    given = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v AND a IS NOT NULL AND b IS NOT NULL").distinct()
+    state, now, seen = scratch.save(given, "star0"), None, None
+    for k in count():
+        n = state.count() if now is None else now[0]
+        crowded = max(hub, 2 * n // MAX_HUBS)
+        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_counted(both, least, ["u"], "n", crowded).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.save(large, f"large{k}")
+        up = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(up, "u")
+            join_counted(large, up, ["u"], "n", crowded)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
@@ -31,9 +47,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
         state = scratch.save(small, f"star{k + 1}")
         now = state.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))"), F.lit(0).cast("decimal(38,0)"))).first()
         scratch.drop(f"star{k}")
+        scratch.drop(f"large{k}")
         if seen == now:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -14,15 +14,24 @@ from pyspark.sql.window import Window as W
 from ..sources.scratch import Scratch
 
 
-def running_total(df: DataFrame, order: list[Column | str], value: Column, out: str) -> DataFrame:
-    """``df`` with the sum of ``value`` up to and including each row, in a total order."""
-    scratch = Scratch(df.sparkSession, "order")
-    placed = scratch.save(df.withColumn("_v", value).orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+def running_totals(df: DataFrame, order: list[Column | str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums of ``values`` up to and including each row, in a total order."""
+    scratch, names = Scratch(df.sparkSession, "order"), list(values)
+    inner = {n: f"_v{i}" for i, n in enumerate(names)}
+    placed = scratch.save(df.withColumns({inner[n]: v for n, v in values.items()}).orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
     placed = placed.withColumn("_p", F.shiftright("_m", 33))
-    sums = placed.groupBy("_p").agg(F.sum("_v").alias("_s"))
-    before = sums.select("_p", (F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_b"))
-    within = F.sum("_v").over(W.partitionBy("_p").orderBy("_m").rowsBetween(W.unboundedPreceding, 0))
-    return placed.withColumn("_w", within).join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_w")).drop("_p", "_m", "_v", "_w", "_b")
+    sums = placed.groupBy("_p").agg(*[F.sum(inner[n]).alias(f"_s{i}") for i, n in enumerate(names)])
+    # one row for each partition of the sort
+    along = W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    before = sums.select("_p", *[(F.sum(f"_s{i}").over(along) - F.col(f"_s{i}")).alias(f"_b{i}") for i in range(len(names))])
+    rows = W.partitionBy("_p").orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
+    within = placed.withColumns({f"_w{i}": F.sum(inner[n]).over(rows) for i, n in enumerate(names)})
+    added = within.join(F.broadcast(before), "_p").withColumns({n: F.col(f"_b{i}") + F.col(f"_w{i}") for i, n in enumerate(names)})
+    return added.drop("_p", "_m", *inner.values(), *(f"_w{i}" for i in range(len(names))), *(f"_b{i}" for i in range(len(names))))
+
+
+def running_total(df: DataFrame, order: list[Column | str], value: Column, out: str) -> DataFrame:
+    return running_totals(df, order, {out: value})
 
 
 def place(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
