@@ -2,10 +2,17 @@
 
 Coarse centroids split the space into cells; what a vector differs from its
 centroid by (the residual) is cut into sub-vectors, each coded by its nearest
-codeword.  A query visits its nearest cells, estimates distances from a table
-of its own residual against the codewords (asymmetric: the query is not coded),
-keeps the best ``SHORTLIST`` of each block and reranks them with the original
-vectors in double precision.
+codeword.  A query visits its nearest cells and estimates distances there from
+a table of its own residual against the codewords (asymmetric: the query is not
+coded).  The estimates of all its cells make one short list for each query, and
+only that list is compared with the original vectors, in double precision.
+
+How many cells a query visits and how long its short list is are measured on
+the fit sample: as many cells as hold ``CELL_RECALL`` of the sample's own
+neighbours, and twice the place at which 99 % of them stand by estimate.  Data
+with clusters get few cells; data without any, as in the tests' tables, need
+half of them, and then the work grows as queries times rows, on codes of
+``SUB_VECTORS`` bytes.
 
 Equal vectors are indexed once, with the smallest ids that a result of k can
 show; so a vector with many copies costs no more than another.  Cells are
@@ -15,14 +22,16 @@ one block and one chunk, however full a cell is; blocks are cut, not capped:
 every vector is indexed.
 
 Centroids and codewords are fitted on at most ``SAMPLE`` vectors, chosen by a
-hash of the values; all vectors are indexed.  Recall against brute force is
-measured in the tests.
+hash of the values; all vectors are indexed.  Codebooks are fitted in parallel,
+one task for each sub-vector.  Recall against brute force is measured in the
+tests.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; a query finds all candidates
 if they are fewer than k, for it visits cells until they hold k + 1 distinct
-vectors; ties go to the smaller id; repeated rows of an id
-count as one candidate for each different vector; a null id takes no part.
+vectors; ties go to the smaller id; repeated rows of an id count as one
+candidate for each different vector; a null id takes no part; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -34,23 +43,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .scratch import Scratch
 
 SAMPLE = 16_384
-#: Cells: the square root of the number of distinct vectors, up to MAX_CELLS; a query visits this share of them.
-#: Vectors without clusters (as in the tests' tables) need a large share for a recall of 0.9; clustered ones need far less.
-MAX_CELLS, PROBE_SHARE = 1024, 0.55
-#: Cells that a query visits at least, if there are so many; with up to about 4,200 distinct vectors that is all of them.
-LEAST_PROBES = 64
-SUB_VECTORS, CODEWORDS = 16, 256
-SHORTLIST = 300
-BLOCK, CHUNK = 4096, 1024
-#: Parts that the cells are dealt to; a query gets one short list from each block of each part.
+#: Cells: the square root of the number of distinct vectors, up to MAX_CELLS.
+MAX_CELLS = 1024
+#: Share of the sample's true neighbours that the visited cells must hold, and the cells visited at least.
+CELL_RECALL, LEAST_PROBES = 0.96, 8
+SUB_VECTORS, CODEWORDS = 32, 256
+#: The short list is never shorter than so many times k.
+LEAST_LIST = 4
+#: Vectors of the sample whose neighbours the calibration looks for.
+ASKED = 256
+BLOCK, CHUNK = 16_384, 1024
+#: Parts that the cells are dealt to.
 PARTS = 32
 K, EVERY = 10, 100
 
@@ -64,10 +74,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
         own = d.argmin(axis=1)
         n = np.bincount(own, minlength=len(centres))
         total = np.stack([np.bincount(own, weights=x[:, j], minlength=len(centres)) for j in range(x.shape[1])], axis=1)
-        far = np.argsort(-d[np.arange(len(x)), own], kind="stable")
         centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
-        empty = np.flatnonzero(n == 0)
-        centres[empty] = x[far[: len(empty)]]
+        if len(empty := np.flatnonzero(n == 0)):
+            far = np.argsort(-d[np.arange(len(x)), own], kind="stable")
+            centres[empty] = x[far[: len(empty)]]
     return centres
 
 
@@ -80,9 +90,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Quantiser:
     centres: np.ndarray
     codebooks: np.ndarray  # sub-vector, codeword, dimension
-    width: int
 
     def split(self, x: np.ndarray) -> np.ndarray:
+        """Rows cut into sub-vectors, the last one filled with zeros."""
         padded = np.zeros((len(x), self.codebooks.shape[0] * self.codebooks.shape[2]))
         padded[:, : x.shape[1]] = x
         return padded.reshape(len(x), self.codebooks.shape[0], -1)
@@ -101,17 +111,53 @@ class Quantiser:
             out += distances(parts[:, m], book).astype(np.float32)[:, codes[:, m]]
         return out
 
+    def estimate_all(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """``estimate`` against coded vectors of any cells."""
+        out = np.full((len(queries), len(codes)), np.inf, np.float32)
+        for c in np.unique(cells):
+            own = np.flatnonzero(cells == c)
+            out[:, own] = self.estimate(queries, int(c), codes[own])
+        return out
+
 
-def fit(x: np.ndarray, cells: int) -> Quantiser:
+def fit(spark: SparkSession, x: np.ndarray, cells: int) -> Quantiser:
+    """Centroids on the driver, from a sample of bounded size; codebooks in tasks, one for each sub-vector."""
     width = x.shape[1]
     centres = kmeans(x, cells)
     residual = x - centres[distances(x, centres).argmin(axis=1)]
     m = min(SUB_VECTORS, width)
     step = -(-width // m)
+    m = -(-width // step)
     parts = np.zeros((len(x), m * step))
     parts[:, :width] = residual
-    books = np.stack([kmeans(parts[:, i * step : (i + 1) * step], min(CODEWORDS, len(x)), seed=i) for i in range(m)])
-    return Quantiser(centres, books, width)
+    sent = spark.sparkContext.broadcast(parts)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            books = [kmeans(sent.value[:, i * step : (i + 1) * step], CODEWORDS, seed=i).tobytes() for i in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(books, pa.binary())], ["id", "book"])
+
+    rows = sorted(spark.range(0, m, 1, m).mapInArrow(learn, "id long, book binary").collect())
+    return Quantiser(centres, np.stack([np.frombuffer(r.book).reshape(-1, step) for r in rows]))
+
+
+def calibrate(quantiser: Quantiser, x: np.ndarray, k: int) -> tuple[int, int]:
+    """(cells to visit, length of the short list) by which the sample's own neighbours are found."""
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1, LEAST_LIST
+    at = np.arange(0, len(x), max(1, len(x) // ASKED))[:ASKED]
+    exact = distances(x[at], x)
+    exact[np.arange(len(at)), at] = np.inf
+    near = np.argpartition(exact, k - 1, axis=1)[:, :k]
+    cells, codes = quantiser.encode(x)
+    visits = np.argsort(np.argsort(distances(x[at], quantiser.centres), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(visits, cells[near], 1) + 1
+    estimates = quantiser.estimate_all(x[at], cells, codes)
+    wanted = np.take_along_axis(estimates, near, 1)
+    places = np.stack([np.searchsorted(row, own) for row, own in zip(np.sort(estimates, axis=1), wanted, strict=True)])
+    return int(np.ceil(np.quantile(needed, CELL_RECALL))), max(LEAST_LIST * k, 2 * int(np.ceil(np.quantile(places, 0.99))))
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -125,8 +171,11 @@ def _vectors(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = K, probe_share: float = PROBE_SHARE, shortlist: int = SHORTLIST) -> DataFrame:
-    """For each row whose id is divisible by ``every``: its k nearest other rows as (query_id, rank, vec_id, score)."""
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = K, probe_share: float | None = None, shortlist: int | None = None) -> DataFrame:
+    """For each row whose id is divisible by ``every``: its k nearest other rows as (query_id, rank, vec_id, score).
+
+    ``probe_share`` (of the cells) and ``shortlist`` (vectors reranked for a query) are measured on the sample if not given.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "ann")
     rows = scratch.save(usable(df, key, vector).dropDuplicates(["id", "v"]), "rows")
@@ -137,35 +186,40 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     # the smallest ids of each distinct vector: k and one more, for the query itself may be among them
     first = F.row_number().over(W.partitionBy("v").orderBy("id"))
     few = rows.where(F.size("v") == width).withColumn("n", first).where(F.col("n") <= k + 1)
-    distinct = scratch.save(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
+    grouped = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # the smallest id and a hash name a distinct vector where the vector itself need not go
+    distinct = scratch.save(grouped.select(F.element_at("ids", 1).alias("first"), F.xxhash64("v").alias("h"), "v", "ids"), "distinct")
     n = distinct.count()
-    picked = distinct.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toArrow()
+    small = F.col("h").cast("double") / 2.0**64 + 0.5 <= min(1.0, (2.0 * SAMPLE + 1000) / n)
+    picked = distinct.where(small).orderBy("h", "v").limit(SAMPLE).select("v").toArrow()
     sample = _vectors(picked.column("v").combine_chunks(), width)
-    quantiser = fit(sample, max(1, min(MAX_CELLS, int(n**0.5), len(sample))))
-    probes = max(min(LEAST_PROBES, len(quantiser.centres)), round(len(quantiser.centres) * probe_share))
+    quantiser = fit(spark, sample, max(1, min(MAX_CELLS, int(n**0.5), len(sample))))
+    probes, listed = calibrate(quantiser, sample, k)
+    probes = max(probes if probe_share is None else round(len(quantiser.centres) * probe_share), min(LEAST_PROBES, len(quantiser.centres)))
+    listed = shortlist or listed
     sent = spark.sparkContext.broadcast(quantiser)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells, codes = sent.value.encode(_vectors(batch.column(0), width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["v", "ids", "cell", "code"])
+            cells, codes = sent.value.encode(_vectors(batch.column(2), width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["first", "h", "cell", "code"])
 
-    coded = scratch.save(distinct.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, cell int, code binary"), "index")
+    coded = scratch.save(distinct.select("first", "h", "v").mapInArrow(index, "first long, h long, cell int, code binary"), "index")
     held = np.zeros(len(quantiser.centres), np.int64)
     for r in coded.groupBy("cell").count().collect():
         held[r.cell] = r["count"]
-    grouped = coded.withColumn("part", F.col("cell") % PARTS)
-    sizes = grouped.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    asked = rows.where((F.size("v") == width) & (F.col("id") % every == 0)).select(F.col("id").alias("query_id"), "v")
+    parted = coded.withColumn("part", F.col("cell") % PARTS)
+    sizes = parted.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    asked = rows.where((F.size("v") == width) & (F.col("id") % every == 0)).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("qh"), "v")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each query and part of the cells, with the cells that the query visits there."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(distances(_vectors(batch.column(1), width), sent.value.centres), axis=1, kind="stable")
+            near = np.argsort(distances(_vectors(batch.column(2), width), sent.value.centres), axis=1, kind="stable")
             # further cells until k vectors besides the query's own are in them
             enough = (np.cumsum(held[near], axis=1) <= k).sum(axis=1) + 1
             near = [own[: max(probes, n)] for own, n in zip(near, enough.tolist(), strict=True)]
@@ -176,55 +230,62 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                     part.append(p)
                     cells.append(own[own % PARTS == p].astype(np.int32).tolist())
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "qh", "v", "part", "cells"])
 
-    routed = scratch.save(asked.mapInArrow(route, "query_id long, v array<double>, part int, cells array<int>"), "routed")
+    routed = scratch.save(asked.mapInArrow(route, "query_id long, qh long, v array<double>, part int, cells array<int>"), "routed")
     chunk_count = routed.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
     q = (
-        routed.join(sizes.join(chunk_count, "part"), "part")
+        routed.join(F.broadcast(sizes.join(chunk_count, "part")), "part")
         .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("part", "block", "chunk", "query_id", "v", "cells")
+        .select("part", "block", "chunk", "query_id", "qh", "v", "cells")
     )
     d = (
-        grouped.join(sizes, "part")
-        .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-        .join(chunk_count, "part")
+        parted.join(F.broadcast(sizes), "part")
+        .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+        .join(F.broadcast(chunk_count), "part")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("part", "block", "chunk", "cell", "v", "ids", "code")
+        .select("part", "block", "chunk", "cell", "first", "h", "code")
     )
 
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        """The best of one block for one chunk of queries: a shortlist by estimate, reranked by exact distance."""
-        out = {"query_id": [], "ids": [], "score": []}
+        """The best of one block for one chunk of queries, by estimate alone."""
+        out = {"query_id": [], "qh": [], "first": [], "h": [], "estimate": []}
         if len(asked) and len(held):
-            q, x = np.stack(asked["v"].to_numpy()), np.stack(held["v"].to_numpy())
+            q = np.stack(asked["v"].to_numpy())
             codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-            cell, smallest = held["cell"].to_numpy(), np.array([i[0] for i in held["ids"]])
+            cell, smallest, hashes = (held[c].to_numpy() for c in ("cell", "first", "h"))
             members = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
             visits = [set(c.tolist()) for c in asked["cells"]]
             for at in range(0, len(q), 64):
                 some = range(at, min(len(q), at + 64))
-                est = np.full((len(some), len(x)), np.inf, np.float32)
+                est = np.full((len(some), len(held)), np.inf, np.float32)
                 for c, own in members.items():
                     here = [i - at for i in some if c in visits[i]]
                     if here:
                         est[np.ix_(here, own)] = sent.value.estimate(q[[at + i for i in here]], c, codes[own])
                 for i, row in zip(some, est, strict=True):
                     best = np.flatnonzero(np.isfinite(row))
-                    if len(best) > shortlist:
-                        best = best[np.lexsort((smallest[best], row[best]))[:shortlist]]
-                    exact = np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1))
-                    # one distinct vector more than k: the query's own may be among them
-                    first = np.lexsort((smallest[best], exact))[: k + 1]
-                    out["query_id"] += [int(asked["query_id"].iloc[i])] * len(first)
-                    out["ids"] += [held["ids"].iloc[b] for b in best[first]]
-                    out["score"] += exact[first].tolist()
-        return pd.DataFrame(out)
+                    if len(best) > listed + 1:
+                        worst = np.partition(row[best], listed)[listed]
+                        best = best[row[best] <= worst]
+                        best = best[np.lexsort((hashes[best], smallest[best], row[best]))[: listed + 1]]
+                    out["query_id"].append(np.full(len(best), asked["query_id"].iloc[i], np.int64))
+                    out["qh"].append(np.full(len(best), asked["qh"].iloc[i], np.int64))
+                    out["first"].append(smallest[best])
+                    out["h"].append(hashes[best])
+                    out["estimate"].append(row[best])
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
     keys = ["part", "block", "chunk"]
-    short = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(scan, "query_id long, ids array<long>, score double")
-    ids = short.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    found = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(scan, "query_id long, qh long, first long, h long, estimate float")
+    # one list over all cells of a query; one vector more than asked for, since the query's own may be among them
+    by_estimate = W.partitionBy("query_id", "qh").orderBy("estimate", "first", "h")
+    short = found.withColumn("n", F.row_number().over(by_estimate)).where(F.col("n") <= listed + 1).select("query_id", "qh", "first", "h")
+    short = scratch.save(short, "short")
+    distance = F.sqrt(F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x))
+    pairs = short.join(distinct, ["first", "h"]).join(asked.withColumnRenamed("v", "q"), ["query_id", "qh"])
+    ids = pairs.select("query_id", distance.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ids = ids.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     final = W.partitionBy("query_id").orderBy("score", "vec_id")
     return ids.withColumn("rank", F.row_number().over(final).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
