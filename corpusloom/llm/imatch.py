@@ -1,6 +1,7 @@
 """I-Match document fingerprints with randomised lexicons.
 
-Terms are the lower-cased words of a text.  Document
+Terms are the lower-cased words of a text: runs of letters, digits and marks of
+any script, so that dashes, quotes and no-break spaces end a word.  Document
 frequencies are counted over all documents; the lexicon keeps the terms whose
 inverse document frequency lies in a band, which drops words that every text
 has and words of no evidence.  A fingerprint hashes the sorted distinct lexicon
@@ -17,13 +18,16 @@ sent to the workers as one sorted array of 8-byte hashes.
 
 Defined results: null text is the empty text; a text without lexicon terms is
 fingerprinted by all its terms; texts without any term are equal to each other;
-rows of equal ids are ordered by their texts' hash; a null id sorts first.
+a sub-lexicon's count of terms stops at 15 in the fingerprint, its hash covers
+all of them; rows of equal ids are ordered by their texts' hash; a null id sorts
+first; ids are integers, others are an error; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,10 +55,15 @@ RANGE_ROWS, MAX_RANGES = 2048, 4096
 _FIRST = -(1 << 63)
 
 
-#: Bytes of a text that are worked on at a time; a word longer than that counts as several.
+#: Characters of a text that are worked on at a time; results do not depend on it.
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
-_WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
+
+
+@functools.cache
+def _in_words() -> np.ndarray:
+    """Which code points stand in words: letters, digits and marks (categories L, N, M)."""
+    return np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x32000)])
 
 
 @functools.cache
@@ -69,32 +78,44 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words in UTF-8 bytes: polynomials over running sums, each shifted back to its word's start."""
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _WORD[data]
+def _word_hashes(codes: np.ndarray, open_hash: int, open_length: int) -> tuple[np.ndarray, int, int]:
+    """Polynomial hashes of the words that end in a segment, and the hash and length of the word that its end leaves open.
+
+    Running sums give the polynomial of each stretch, shifted back to its
+    start; a word that the segment before left open goes on at the first place.
+    """
+    table = _in_words()
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = table[np.minimum(codes, len(table) - 1)]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, stops = edges[::2], edges[1::2]
-    up, down = _powers(max(10, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * up[: len(data)], out=sums[1:])
-    return _mix((sums[stops] - sums[starts]) * down[starts])
+    up, down = _powers(max(10, int(len(codes)).bit_length()))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    hashes = (sums[stops] - sums[starts]) * down[starts]
+    if open_length and not (len(starts) and starts[0] == 0):
+        hashes = np.concatenate((np.array([open_hash], np.uint64), hashes))
+        open_length = 0
+    elif open_length:
+        hashes[0] = np.uint64((open_hash + pow(_BASE, open_length, 1 << 64) * int(hashes[0])) % (1 << 64))
+    if len(stops) and stops[-1] == len(codes):
+        length = int(stops[-1] - starts[-1]) + (open_length if len(stops) == 1 else 0)
+        return hashes[:-1], int(hashes[-1]), length
+    return hashes, 0, 0
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the words of a text: runs of ASCII letters and digits and of all non-ASCII characters."""
-    data = np.frombuffer((text or "").lower().encode("utf-8"), np.uint8)
-    found, at = [], 0
-    while at < len(data):
-        stop = min(len(data), at + SEGMENT)
-        if stop < len(data):
-            gaps = np.flatnonzero(~_WORD[data[at:stop]])
-            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
-        found.append(_word_hashes(data[at:stop]))
-        at = stop
+    """Sorted distinct hashes of the words of a text."""
+    text, found, left, length = (text or "").lower(), [], 0, 0
+    for at in range(0, len(text), SEGMENT):
+        codes = np.frombuffer(text[at : at + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        hashes, left, length = _word_hashes(codes, left, length)
+        found.append(hashes)
+    if length:
+        found.append(np.array([left], np.uint64))
     if not found:
         return np.zeros(0, np.uint64)
-    out = found[0] if len(found) == 1 else np.concatenate(found)
+    out = _mix(found[0] if len(found) == 1 else np.concatenate(found))
     out.sort()
     return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
 
@@ -234,31 +255,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _dealt(k: np.ndarray, h: np.ndarray, cut_k: np.ndarray, cut_h: np.ndarray) -> np.ndarray:
+    """The range of each row: how many of the sorted cuts (k, h) are at or before it."""
+    low, high = np.searchsorted(cut_k, k, side="left"), np.searchsorted(cut_k, k, side="right")
+    out = low.astype(np.int32)
+    within = np.flatnonzero(low < high)
+    for first in np.unique(low[within]).tolist():
+        rows = within[low[within] == first]
+        out[rows] = first + np.searchsorted(cut_h[first : high[rows[0]]], h[rows], side="right")
+    return out
+
+
 def _neighbours(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows dealt by ranges of the key, sorted; each range ends with a copy of the next range's first row (last = 1)."""
-    keys = df.select(F.coalesce(F.col(key), F.lit(_FIRST)).alias("k"))
+    """Rows dealt by ranges of (id, hash of the text), sorted; each range ends with a copy of the next range's first row (last = 1).
+
+    The cuts between ranges come from a sample of rows; where they lie has no
+    effect on the result.  An id with many rows is cut by the hashes.
+    """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is not of an integer type")
+    keys = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)).alias("k"), F.xxhash64(text).alias("h"))
     n = keys.count()
-    cuts = sorted(set(keys.stat.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m))) if (m := min(MAX_RANGES, max(1, n // RANGE_ROWS))) > 1 else []
-    cuts = np.array(cuts, np.float64)
+    m = min(MAX_RANGES, max(1, n // RANGE_ROWS))
+    picked = sorted(set(map(tuple, keys.sample(min(1.0, 64.0 * m / n), seed=7).collect()))) if m > 1 else []
+    cuts = sorted({picked[len(picked) * i // m] for i in range(1, m)}) if picked else []
+    cut_k, cut_h = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
 
     @F.pandas_udf(T.IntegerType())
-    def dealt(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.float64), side="right").astype(np.int32))
+    def dealt(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_dealt(k.to_numpy(), h.to_numpy(), cut_k, cut_h))
 
-    firsts = [(r.part, r.first) for r in keys.groupBy(dealt("k").alias("part")).agg(F.min("k").alias("first")).orderBy("part").collect()]
+    firsts = [(r.part, (r["first"].k, r["first"].h)) for r in keys.groupBy(dealt("k", "h").alias("part")).agg(F.min(F.struct("k", "h")).alias("first")).orderBy("part").collect()]
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first range comes after the last
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ranges(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(np.float64), side="right").tolist()
-        return pd.Series([[p, before[x]] if x in before else [p] for p, x in zip(own, k.tolist(), strict=True)])
+    def ranges(k: pd.Series, h: pd.Series) -> pd.Series:
+        own = _dealt(k.to_numpy(), h.to_numpy(), cut_k, cut_h).tolist()
+        return pd.Series([[p, before[x]] if x in before else [p] for p, x in zip(own, zip(k.tolist(), h.tolist(), strict=True), strict=True)])
 
-    k = F.coalesce(F.col(key), F.lit(_FIRST))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), k.alias("k"), ranges(k).alias("ranges"))
+    k, h = F.coalesce(F.col(key).cast("long"), F.lit(_FIRST)), F.xxhash64(text)
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), k.alias("k"), h.alias("h"), ranges(k, h).alias("ranges"))
     return (
-        rows.select("key", "text", "k", F.posexplode("ranges").alias("last", "part"))
+        rows.select("key", "text", "k", "h", F.posexplode("ranges").alias("last", "part"))
         .repartition("part")
-        .sortWithinPartitions("part", "last", "k", F.xxhash64("text"))
+        .sortWithinPartitions("part", "last", "k", "h")
         .select("key", "text", "part", "last")
     )
 
