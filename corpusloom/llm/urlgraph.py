@@ -11,20 +11,28 @@ Edges are counted once for each pair of hosts, so a hub weighs no more rows
 than it has neighbours.  Besides hyperlinks, a host and its parent domain, both
 with pages, are joined both ways: a site vouches for its own subdomains.
 
-Each few rounds of propagation are written to the shared folder, so a lost
-executor costs those rounds at most.
+Rounds go on until what is still moving is at most ``TOLERANCE`` of the mass.
+Hosts without out-links give their mass back to the seeds: the scores of that
+process are those of plain propagation scaled to the seeds' mass, so they are
+scaled once at the end.  Each few rounds are written to the shared folder, so a
+lost executor costs those rounds at most.  A host of very many edges is met by
+broadcast of its score, so no task holds them all.
 
 Defined results: null urls and urls without :// have empty host and path, fit
-no rule, and are allowed; null html has no links; repeated rows are judged each.
+no rule, and are allowed; null html has no links; repeated rows are judged each;
+other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import MAX_HUBS
+from ..operators.skew import join_counted
 from .scratch import Scratch
 
 # Fixed values: (verdict, host, path) of the rules.
@@ -35,7 +43,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ROUNDS, WRITTEN, THRESHOLD = 0.85, 10, 2, 0.5
+DAMPING, ROUNDS, WRITTEN, THRESHOLD, TOLERANCE = 0.85, 10, 4, 0.5, 0.01
+#: Out-edges of a host beyond which its score is broadcast to them.
+HUB = 10_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,33 +85,62 @@ def host_edges(pages: DataFrame, hosts: DataFrame, html: str = "html") -> DataFr
     return links.unionByName(site.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """(host, trust, distrust).  ``seeds``: (host, trusted, blocked), the shares of a host's pages under such rules.
 
     Both flows run in one table: kind 0 is trust along the edges, kind 1 is
-    distrust along the reversed ones.
+    distrust along the reversed ones.  With a ``tolerance``, rounds go on until
+    what all further rounds could add is at most that share of the mass.
     """
     both = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
-    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    steps = scratch.save(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
+    out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"), F.count("*").alias("of"))
+    hub = max(HUB, 2 * edges.count() // MAX_HUBS)
+    shares = join_counted(both, out, ["kind", "src"], "of", hub).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share"), "of")
+    shares = scratch.save(shares, "steps")
+    steps, crowded = shares.where(F.col("of") <= hub).drop("of"), shares.where(F.col("of") > hub).drop("of")
+    hubs = scratch.save(crowded.select("kind", "src").distinct(), "hubs")
+    crowds = not hubs.isEmpty()
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit(1).alias("kind"), F.col("blocked").alias("seed")))).alias("s"))
     start = scratch.save(start.select("s.kind", "host", "s.seed").where("seed > 0"), "seeds")
     given = start.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    score = given
-    for k in range(1, rounds + 1):
+    score, last, before = given, None, {}
+    for k in count(1):
         held = score.withColumnRenamed("host", "src")
-        moved = held.join(steps, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        met = held.join(steps, ["kind", "src"])
+        if crowds:
+            of_hubs = F.broadcast(held.join(F.broadcast(hubs), ["kind", "src"]))
+            met = met.unionByName(crowded.join(of_hubs, ["kind", "src"]))
+        moved = met.select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         score = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % WRITTEN == 0 or k == rounds:
+        done = tolerance is None and k == rounds
+        if k % WRITTEN == 0 or done:
             score = scratch.save(score, f"round{k}")
-            scratch.drop(f"round{k - WRITTEN}")
+            if last:
+                scratch.drop(f"round{last}")
+            last = k
+            if tolerance is not None:
+                # scores only grow, and what W rounds add shrinks by damping ** W at least
+                mass = {r.kind: r.m for r in score.groupBy("kind").agg(F.sum("score").alias("m")).collect()}
+                shrink = damping**WRITTEN
+                done = k > WRITTEN and all((m - before.get(kind, 0.0)) * shrink / (1 - shrink) <= tolerance * m for kind, m in mass.items()) or not mass
+                before = mass
+        if done:
+            break
     value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return score.groupBy("host").agg(value(0).alias("trust"), value(1).alias("distrust"))
 
 
-def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def scaled(scores: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Trust and distrust scaled to the mass of their seeds, which gives back what hosts without out-links swallowed."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    mass = seeds.agg(zero("trusted").alias("_t"), zero("blocked").alias("_b")).crossJoin(scores.agg(zero("trust").alias("_ts"), zero("distrust").alias("_bs")))
+    part = lambda c, want, has: F.when(F.col(has) > 0, F.col(c) * F.col(want) / F.col(has)).otherwise(F.lit(0.0))
+    return scores.crossJoin(F.broadcast(mass)).select("host", part("trust", "_t", "_ts").alias("trust"), part("distrust", "_b", "_bs").alias("distrust"))
+
+
+def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each page: key, host, path, rule, verdict, and the host's trust and distrust."""
     scratch = Scratch(df.sparkSession, "urls")
     pages = df.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
@@ -109,8 +148,8 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "ht
     slim = scratch.save(ruled.drop("html"), "pages")
     share = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     hosts = scratch.save(slim.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "hosts")
-    scores = propagate(scratch.save(host_edges(ruled, hosts), "edges"), hosts, scratch)
-    scores = scores.select(F.col("host").alias("h"), "trust", "distrust")
+    scores = scratch.save(propagate(scratch.save(host_edges(ruled, hosts), "edges"), hosts, scratch, tolerance=tolerance), "scores")
+    scores = scaled(scores, hosts).select(F.col("host").alias("h"), "trust", "distrust")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     bad = (zero("distrust") > 0) & (zero("distrust") > threshold * (zero("trust") + zero("distrust")))
     verdict = F.coalesce("verdict", F.when(bad, "block").otherwise("allow"))
