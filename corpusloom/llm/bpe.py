@@ -10,8 +10,10 @@ square of the length, are merged through a heap with the same order.
 The vocabulary file is a parameter; every worker reads it once.
 
 Defined results: null text is the empty text (no tokens); a special token's
-string in the text is that token, as in the public library; extra columns of
-the input are kept, and input columns named like an output are replaced.
+string in the text is that token, as in the public library; in decoding, null
+ids give null, and null, negative and unknown ids give nothing; extra columns of
+the input are kept, and input columns named like an output are replaced.  A
+vocabulary file whose settings differ from those built in here is an error.
 """
 
 from __future__ import annotations
@@ -55,6 +57,24 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+# The settings of a vocabulary file that this encoder follows; absent ones are as good.
+_SETTINGS = {
+    "normalizer": (None,),
+    "pre_tokenizer": ({"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},),
+}
+_MODEL = {"type": ("BPE",), "dropout": (None, 0.0), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (False,), "ignore_merges": (False,)}
+_TOKEN_FLAGS = {"single_word": (False,), "lstrip": (False,), "rstrip": (False,), "normalized": (False,)}
+
+
+def check_settings(spec: dict) -> None:
+    """Raises if the file asks for anything that would give other ids than this encoder's."""
+    wrong = {k: spec.get(k) for k, allowed in _SETTINGS.items() if spec.get(k) not in allowed}
+    wrong |= {f"model.{k}": spec["model"][k] for k, allowed in _MODEL.items() if k in spec["model"] and spec["model"][k] not in allowed}
+    wrong |= {f"token {t['content']!r} {k}": t[k] for t in spec.get("added_tokens", []) for k, allowed in _TOKEN_FLAGS.items() if k in t and t[k] not in allowed}
+    if wrong:
+        raise ValueError(f"vocabulary settings that are not supported: {wrong}")
+
+
 _GAP = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 
 
@@ -64,6 +84,7 @@ class RankArrayBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         model, to_byte = spec["model"], byte_alphabet()
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
