@@ -9,8 +9,8 @@ Plan: one aggregation over 128-bit line hashes, combined before the shuffle, so
 a line that every page holds costs one row for each task.  What survives is
 small by construction: a host of P pages with L distinct lines each has at most
 L / ratio boilerplate lines, whatever P is.  Texts are never shuffled unless
-that table is beyond ``BROADCAST_LINES``; then hosts are salted, so that a host
-with a third of all pages is dealt over many tasks.
+that table is beyond ``BROADCAST_LINES``; then texts are dealt by host, and a
+host of more than ``PAGES_PER_TASK`` pages by so many salts that none has more.
 
 With ``distinct_texts`` a line counts once for each distinct text of the host,
 and the host's distinct texts are what it is divided by, so that a group of
@@ -33,7 +33,8 @@ RATIO = 0.05
 MIN_PAGES = 5
 #: Boilerplate lines (16 bytes each) up to which their table is broadcast.
 BROADCAST_LINES = 500_000
-SALTS = 32
+#: Pages of a host that one task takes where texts are shuffled, and the most hosts whose salts are broadcast.
+PAGES_PER_TASK, MAX_SALTED = 50_000, 200_000
 
 
 def _line_key(line):
@@ -71,10 +72,7 @@ def drop_boilerplate(
     if found.count() <= BROADCAST_LINES:
         joined = df.join(F.broadcast(by_host), df[host].eqNullSafe(by_host["_loom_host"]), "left")
     else:
-        salted = df.withColumn("_loom_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
-        by_host = by_host.withColumn("_loom_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same = salted[host].eqNullSafe(by_host["_loom_host"]) & (salted["_loom_salt"] == by_host["_loom_salt2"])
-        joined = salted.join(by_host, same, "left")
+        joined = _by_salted_host(df, found, host, text)
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_loom_keys"), _line_key(x)))
     untouched = F.col("_loom_keys").isNull() | F.col(text).isNull()
@@ -87,6 +85,21 @@ def drop_boilerplate(
     return joined.select(*columns, *(v.alias(k) for k, v in added.items()))
 
 
+def _by_salted_host(df: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
+    """``df`` with the boilerplate keys of each row's host in _loom_keys, every host dealt over tasks of bounded size."""
+    of_host = found.groupBy(F.col("host").alias("_loom_host")).agg(F.max("host_pages").alias("_loom_pages"), F.collect_list(F.struct("h1", "h2")).alias("_loom_keys"))
+    pages = found.select("host", "host_pages").distinct().agg(F.coalesce(F.sum("host_pages"), F.lit(0))).first()[0]
+    most = max(PAGES_PER_TASK, pages // MAX_SALTED)
+    salts = F.ceil(F.col("_loom_pages") / most).cast("int")
+    # hosts of more than ``most`` pages: at most MAX_SALTED
+    large = found.select("host", "host_pages").distinct().where(F.col("host_pages") > most)
+    large = F.broadcast(large.select(F.col("host").alias("_loom_large"), F.ceil(F.col("host_pages") / most).cast("int").alias("_loom_salts")))
+    salted = df.join(large, df[host].eqNullSafe(large["_loom_large"]) & F.col("_loom_salts").isNotNull(), "left")
+    salted = salted.withColumn("_loom_salt", F.pmod(F.xxhash64(text), F.coalesce("_loom_salts", F.lit(1))).cast("int"))
+    keys = of_host.withColumn("_loom_salt2", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(keys, salted[host].eqNullSafe(keys["_loom_host"]) & (salted["_loom_salt"] == keys["_loom_salt2"]), "left")
+
+
 #: DuckDB: the same rows from a table with columns doc_id, source and text.
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM {documents}),

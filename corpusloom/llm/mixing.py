@@ -12,7 +12,9 @@ left, with the gaps as targets; documents larger than a gap stand back.
 Both running sums are computed in two levels, so that no source and no stretch
 of the queue lies in one task: shuffle order is split by the hash's first three
 digits, the queue into ranges of finish time; sums of whole parts are added up
-over the small table of parts.
+over the small table of parts, which has at most 3 x 4,096 rows for a source
+and 4,096 for the queue, however many documents there are.  Targets are worked
+out in one task over one row for each source.
 
 Defined results: null text has size 0; documents of size 0 take nothing; null
 source is a source, the last one; targets of an empty corpus are 0; repeated
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import rows as named_rows
 from .scratch import Scratch
 
 # The weights of the sources in order, repeating.
@@ -123,10 +126,9 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, all columns kept."""
     scratch = Scratch(df.sparkSession, "mix")
-    rows = scratch.save(df.withColumn("_loom_row", F.expr("uuid()")), "rows")
-    slim = scratch.save(_slim(rows, key, source, text, "_loom_row"), "slim")
-    turns = _queue(slim, scratch, weights, copies).where("turns > 0").select("_loom_row", F.col("turns").cast("int").alias("_loom_turns"))
-    return rows.join(turns, "_loom_row").withColumn("_loom_turn", F.explode(F.sequence(F.lit(1), F.col("_loom_turns")))).select(*df.columns)
+    slim = scratch.save(_slim(named_rows.named(df, key), key, source, text, named_rows.KEY, named_rows.HASH), "slim")
+    per_name = _queue(slim, scratch, weights, copies).groupBy(named_rows.KEY, named_rows.HASH).agg(F.count("*").alias(named_rows.COPIES), F.sum("turns").alias("turns"))
+    return named_rows.repeat(df, scratch.save(per_name.where("turns > 0"), "turns"), key)
 
 
 #: DuckDB: the rows of ``mix``.

@@ -17,11 +17,13 @@ linked, so linking each to the smallest of them loses no connection.  That is
 exact, linear, and needs no pairs.
 
 Components are found by alternating large-star and small-star steps over
-written tables, on one node for each distinct fingerprint.
+written tables, on one node for each distinct fingerprint.  A key or a node that
+very many fingerprints share is met by broadcast of its one row.
 
 Defined results: null text is the empty text; texts without words get
 fingerprint zero and link like any other; repeated rows stay repeated; a null
-id never becomes a component id unless no document of the component has one.
+id never becomes a component id unless no document of the component has one;
+other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -35,13 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import components
+from ..operators.graph import MAX_HUBS, components
+from ..operators.skew import join_counted
+from . import rows as named_rows
 from .scratch import Scratch, small_batches
 
 BITS = 2
 SHINGLE = 3
 #: Distinct fingerprints under one block key beyond which they are linked through neighbours instead of pairs.
 DENSE = 64
+#: Fingerprints under one key beyond which the key's row is broadcast to them.
+CROWD = 100_000
 _BLOCKS = [0xFFFF << (16 * k) for k in range(4)]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MASKS = [_BLOCKS[i] | _BLOCKS[j] for i in range(4) for j in range(i)]
@@ -113,8 +119,9 @@ def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, dense: int = DE
     if bits != BITS:
         raise ValueError("the block tables are laid out for two differing bits")
     keyed = scratch.save(_keyed(prints), "keyed")
+    crowd = max(CROWD, keyed.count() // MAX_HUBS)
     groups = keyed.groupBy("table", "key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = scratch.save(keyed.join(groups, ["table", "key"]), "shared")
+    shared = scratch.save(join_counted(keyed, groups, ["table", "key"], "members", crowd), "shared")
     few = shared.where(F.col("members") <= dense)
     pairs = (
         few.select("table", "key", F.col("fp").alias("a"))
@@ -125,6 +132,7 @@ def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, dense: int = DE
     many = shared.where(F.col("members") > dense).select("table", "key", "fp", F.explode(_near_points(F.col("table"), F.col("fp"))).alias("point"))
     many = scratch.save(many.select("table", "point", "fp"), "points")
     hubs = many.groupBy("table", "point").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # a point lies within one bit of at most 33 members
     through = many.join(hubs, ["table", "point"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return scratch.save(pairs.unionByName(through).distinct(), "links")
 
@@ -156,14 +164,16 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     Rows repeated under the surviving key count as copies, so one of them stays.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    prints = scratch.save(with_fingerprint(df, text, shingle=shingle, out="_loom_fp").withColumn("_loom_row", F.expr("uuid()")), "rows")
-    slim = prints.select(F.col("_loom_fp").alias("fingerprint"), F.col(key))
-    found = _prepare(slim, key, scratch)
-    first = F.min(F.struct(F.col("_loom_key").isNull(), "_loom_key", "_loom_fp", "_loom_row"))
-    chosen = (
-        prints.select("_loom_row", "_loom_fp", F.col(key).alias("_loom_key"))
-        .join(found, F.col("_loom_fp") == found.fp)
-        .groupBy("root")
-        .agg(first["_loom_row"].alias("_loom_row"))
-    )
-    return prints.join(chosen.select("_loom_row"), "_loom_row", "left_semi").select(*df.columns)
+    named = named_rows.named(df, key).select(named_rows.KEY, named_rows.HASH, F.col(text).alias("_loom_text"))
+    prints = scratch.save(with_fingerprint(named, "_loom_text", shingle=shingle, out="fingerprint", keep=[named_rows.KEY, named_rows.HASH]), "rows")
+    found = _prepare(prints.select("fingerprint", F.col(named_rows.KEY).alias("key")), "key", scratch)
+    labelled = prints.join(found.select("fp", "root"), F.col("fingerprint") == F.col("fp"))
+    return named_rows.keep(df, scratch.save(first_of_each(labelled, "root", "fingerprint"), "chosen"), key)
+
+
+def first_of_each(labelled: DataFrame, root: str, tie: str) -> DataFrame:
+    """Of each ``root`` the row name of the smallest key (a null key last), then of the smallest ``tie`` and hash."""
+    order = F.struct(F.col(named_rows.KEY).isNull(), named_rows.KEY, tie, named_rows.HASH)
+    per_name = labelled.groupBy(root, named_rows.KEY, tie, named_rows.HASH).agg(F.count("*").alias(named_rows.COPIES))
+    best = per_name.groupBy(root).agg(F.min_by(F.struct(named_rows.KEY, named_rows.HASH, named_rows.COPIES), order).alias("best"))
+    return best.select("best.*")
