@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from array import array
 
@@ -71,3 +72,23 @@ def test_broken_ids_and_empty_table(spark):
     df = spark.createDataFrame([Row(ids=[None, 10**6, 39]), Row(ids=None)], "ids array<int>")
     assert sorted(r.decoded or "" for r in bpe.decode(df, PATH).collect()) == ["", "H"]
     assert bpe.encode_digests(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"model.ignore_merges": True}, {"model.byte_fallback": True}, {"token.lstrip": True},
+])
+def test_other_settings_are_refused(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_settings(spec)
+    for name, value in change.items():
+        of, _, inner = name.partition(".")
+        (spec[of] if of == "model" else spec["added_tokens"][0] if of == "token" else spec)[inner or of] = value
+    with pytest.raises(ValueError):
+        bpe.check_settings(spec)
+
+
+def test_decoding_skips_ids_that_stand_for_nothing(spark):
+    df = spark.createDataFrame([([15496, -1, None, 10**7, 995], 1), (None, 2), ([], 3)], "ids array<int>, decoded int")
+    assert [r.decoded for r in bpe.decode(df, PATH).collect()] == [bpe.load(PATH).decode(array("I", [15496, 995]).tobytes()), None, ""]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import types as T
 
 from corpusloom.llm import chat, queries
 
@@ -60,3 +61,67 @@ def test_query_adds_the_hostile_conversation(spark):
     got = {r.conv_id: r for r in queries.op3_chat(spark, "/root/testdata/sf0.001").collect()}
     n, turned, chars, lost = expected([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)])
     assert (got[-7].n_turns, got[-7].turns_sha256, got[-7].loss_chars, got[-7].loss_sha256) == (n, turned, chars, lost)
+
+
+def plain_conversation(turns, costs):
+    """Format, spans, references and tokens of a whole conversation, one string at a time."""
+    text, spans, refs, tokens = "", [], [], 0
+    for role, parts in turns:
+        text += "### " + "".join("\\" + c if c in "\\#<:\n" else c for c in role or "") + ":\n"
+        start = len(text)
+        for part in parts or []:
+            if part is None:
+                continue
+            kind = part[0] or "text"
+            if kind == "text":
+                tokens += costs.count_text(part[1] or "")
+                text += "".join("\\" + c if c in "\\#<" else c for c in part[1] or "")
+                continue
+            n = {"image": -(-(part[3] or 0) // costs.patch) * -(-(part[4] or 0) // costs.patch), "audio": int(-(-(part[5] or 0) * costs.sound_rate // 1)), "document": (part[6] or 0) * costs.page_tokens}[kind]
+            refs.append((kind, part[2], len(refs) + 1, len(text), n))
+            text += f"<{kind} {len(refs)}>"
+            tokens += n
+        if role == "assistant" and len(text) > start:
+            spans.append((start, len(text)))
+        text += "</turn>\n"
+    return text, spans, refs, tokens
+
+
+def test_whole_conversations_of_typed_parts(spark):
+    rng = random.Random(4)
+    costs = chat.Costs(patch=16, sound_rate=2, page_tokens=100, count_text=len)
+
+    def part():
+        kind = rng.choice(["text", None, "image", "audio", "document"])
+        return rng.choice([None, (kind, rng.choice([None, "a #<b> \\", HOSTILE]), rng.choice([None, "r"]), rng.choice([None, 30]), rng.choice([None, 17]), rng.choice([None, 1.5]), rng.choice([None, 3]))])
+
+    turns = {(c, t): (rng.choice(["user", "assistant", "a:b", None]), rng.choice([None, [], [part() for _ in range(rng.randint(1, 9))]])) for c in [*range(12), None] for t in range(5)}
+    turns |= {(50, t): ("assistant", [("image", None, "x", 16, 16, None, None)] * 2) for t in range(300)}  # numbers of several digits
+    rows = [(c, t, role, parts, "clash") for (c, t), (role, parts) in turns.items()]
+    rng.shuffle(rows)
+    schema = T.StructType.fromDDL("conv_id long, turn long, role string, formatted string")
+    schema = T.StructType([*schema.fields[:3], T.StructField("parts", T.ArrayType(chat.PART)), schema.fields[3]])
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    out = chat.format_conversations(df, costs=costs)
+    for r in sorted(out.collect(), key=lambda r: r.position):
+        got.setdefault(r.conv_id, []).append(r)
+    totals = {r.conv_id: r for r in chat.summaries(out).collect()}
+    assert set(got) == {c for c, _ in turns}
+    for c, made in got.items():
+        text, spans, refs, tokens = plain_conversation([turns[k] for k in sorted((k for k in turns if k[0] == c), key=lambda k: k[1])], costs)
+        assert [r.position for r in made] == list(range(1, len(made) + 1))
+        assert "".join(r.formatted for r in made) == text and all(text[r.starts_at :].startswith(r.formatted) for r in made)
+        assert [(s.start, s.stop) for r in made for s in r.loss_spans] == spans
+        assert [tuple(a) for r in made for a in r.attachments] == refs
+        t = totals[c]
+        assert (t.n_turns, t.formatted_chars, t.n_attachments, t.tokens) == (len(made), len(text), len(refs), tokens)
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_formatted_chars_and_unknown_parts(spark):
+    got = chat.conversation_digests(spark.createDataFrame([(1, 0, "user", "a#b"), (1, 1, "assistant", "")], "conv_id long, turn long, role string, text string")).first()
+    assert got.formatted_chars == len("### user:\na\\#b</turn>\n### assistant:\n</turn>\n")
+    text, _, refs, tokens = chat.format_turn("user", [{"type": "video", "ref": "v"}], numbered=4, strict=False)
+    assert text == "### user:\n<attachment 5></turn>\n" and (refs[0]["ref"], refs[0]["number"], tokens) == ("v", 5, 0)
+    assert chat.format_turn("user", [{"type": "image", "width": -3, "height": 9}, {"type": "audio", "seconds": float("nan")}])[3] == 0

@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -59,14 +62,63 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
-def test_clause_grammar():
+def test_clause_patterns():
     grammar = toxicity.Grammar({"idiot$": 2.0, "scu": 1.0})
-    assert grammar.clauses("idiot.") == [(2.0, 0.0)]
-    assert grammar.clauses("you idiot.") == [(2.0 * toxicity.TARGETED, 0.0)]
-    assert grammar.clauses("not an idiot.") == [(2.0 * toxicity.NEGATED, 0.0)]
-    assert grammar.clauses("they said: scum.") == [(1.0 * toxicity.REPORTED, 0.0)]
-    assert grammar.clauses("kill time.") == [] and grammar.clauses("kill you.") == [(0.0, 1.0)]
-    assert grammar.clauses("not at all so here idiot. fine") == [(2.0, 0.0)]
+    T = toxicity
+    assert grammar.clauses("you idiot.") == grammar.clauses("idiot that you are") == [(T.TARGETED, 2.5)]
+    assert grammar.clauses("idiot scum") == [(T.CHAIN, 3.0)]
+    assert grammar.clauses("a fine day, idiot of a day. fine") == [(T.EPITHET, 1.0)]
+    assert grammar.clauses("you are not an idiot.") == [(T.TARGETED, 2.5 * T.NEGATED)]
+    assert grammar.clauses("they said: you scum.") == [(T.TARGETED, 1.25 * T.REPORTED)]
+    assert grammar.clauses("she wrote. you scum") == [(T.TARGETED, 1.25)]
+    assert grammar.clauses("kill time.") == [] and grammar.clauses("kill you.") == [(T.THREATENED, 1.0)]
+    assert grammar.clauses("never kill you; you, kill") == [(T.THREATENED, T.NEGATED)]
+    assert grammar.clauses("not at all so here you idiot. fine") == [(T.TARGETED, 2.5)]
+    # a learned prefix hides no word of the fixed lists
+    assert toxicity.Grammar({"not$": 5.0, "nev": 5.0}).clauses("not never you") == []
+
+
+def plain_clauses(symbols):
+    """The three transducers one after the other, each over the whole sequence, with the clause pattern by its definition."""
+    weights = {toxicity.INSULT: 3.0, toxicity.THREAT: 1.0}
+    scales, since, report = [], 99, False
+    for s in symbols:
+        scales.append((toxicity.NEGATED if since <= toxicity.NEGATION_SPAN else 1.0) * (toxicity.REPORTED if report else 1.0))
+        since = 1 if s == toxicity.NEGATION else 99 if s in (toxicity.STOP, toxicity.PAUSE) else since + 1
+        report = s == toxicity.REPORT or (report and s != toxicity.STOP)
+    found, clause = [], []
+    for s, scale in [*zip(symbols, scales), (toxicity.STOP, 1.0)]:
+        if s not in (toxicity.STOP, toxicity.PAUSE):
+            clause.append((s, scale))
+            continue
+        kinds = [k for k, _ in clause]
+        insults, threat, target = kinds.count(toxicity.INSULT), toxicity.THREAT in kinds, toxicity.TARGET in kinds
+        pattern = toxicity.TARGETED if insults and target else toxicity.CHAIN if insults > 1 else toxicity.EPITHET if insults else toxicity.THREATENED if threat and target else None
+        if pattern:
+            found.append((pattern, pytest.approx(toxicity.PATTERN_SCALE[pattern] * sum(weights.get(k, 0.0) * c for k, c in clause))))
+        clause = []
+    return found
+
+
+def test_composed_machine_equals_the_transducers_one_by_one():
+    words = ["plain", "idiot", "kill", "you", "not", "said", ".", ","]
+    grammar = toxicity.Grammar({"idiot$": 3.0})
+    for length in range(6):
+        for sequence in itertools.product(range(8), repeat=length):
+            if length < 5 or hash(sequence) % 4 == 0:
+                assert grammar.clauses(" ".join(words[s] for s in sequence)) == plain_clauses(sequence)
+
+
+def test_compose_multiplies_scales_and_follows_both_states():
+    one, two = toxicity.negation_transducer(), toxicity.report_transducer()
+    both, rng = toxicity.compose(one, two), random.Random(5)
+    for _ in range(300):
+        a = b = c = 0
+        for s in rng.choices(range(8), k=20):
+            mid, x, a = one.step(a, s)
+            out, y, b = two.step(b, mid)
+            got, z, c = both.step(c, s)
+            assert (got, z) == (out, x * y)
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -193,14 +245,141 @@ def test_propagation_equals_dense_iteration(spark):
         assert [got[n][kind] for n in names] == pytest.approx(score.tolist())
 
 
-def test_long_texts_are_read_in_parts(monkeypatch):
-    text = "grub " * 50 + "word, " * 400 + "grub."
-    whole = toxicity.Grammar({"grub$": 1.0}).features(text)
-    monkeypatch.setattr(toxicity, "PART_CHARS", 101)
-    assert toxicity.Grammar({"grub$": 1.0}).features(text)[-1] == whole[-1]
-    assert toxicity.Grammar({"grub$": 1.0}).features(text)[1] == whole[1]
-    monkeypatch.setattr(langid, "PART_CHARS", 100)
-    assert langid.counts("abc " * 100).sum() >= 400 and langid.counts("12 " * 100) is None
+def test_results_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(8)
+    words = ["you", "idiot", "scum", "kill", "not", "said", "fine", ".", ",", "\n", ":", "Σas", "İx"]
+    signs = "ab cdé—« »1İΣ.\u0301"
+    for _ in range(40):
+        clauses = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 70)))
+        grammar = toxicity.Grammar({"idiot$": 2.0, "scu": 1.0})
+        monkeypatch.setattr(toxicity, "PART_CHARS", 1 << 19)
+        monkeypatch.setattr(langid, "PART_CHARS", 1 << 18)
+        whole, grams = grammar.features(clauses), langid.counts(text)
+        for n in range(1, 51):
+            monkeypatch.setattr(toxicity, "PART_CHARS", n)
+            monkeypatch.setattr(langid, "PART_CHARS", n)
+            assert grammar.features(clauses) == whole
+            got = langid.counts(text)
+            assert (got is None) == (grams is None) and (got is None or (got == grams).all())
+
+
+def test_negation_over_a_part_edge_counts(monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_CHARS", 100)
+    text = "x" * 98 + " you not a grub today."
+    assert toxicity.Grammar({"grub$": 1.0}).clauses(text) == [(toxicity.TARGETED, 1.25 * toxicity.NEGATED)]
+
+
+def plain_grams(text):
+    """Counts by plain loops over the padded code points."""
+    out = np.zeros(langid.DIMENSIONS)
+    codes = [0] + [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()] + [0]
+    wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    place = lambda g: (wrap((g ^ (g >> 15)) * 0x2C1B3C6D) >> 12) & (langid.DIMENSIONS - 1)
+    for i, c in enumerate(codes):
+        if c:
+            out[place(wrap(c * 0x27D4EB2F))] += 1
+        if i + 1 < len(codes) and (c or codes[i + 1]):
+            out[place(wrap(c * 0x9E3779B1 + codes[i + 1] * 0x85EBCA77))] += 1
+        if i + 2 < len(codes) and codes[i + 1]:
+            out[place(wrap(c * 0x9E3779B1 + codes[i + 1] * 0x85EBCA77 + codes[i + 2] * 0xC2B2AE3D))] += 1
+    return out
+
+
+def test_language_equals_plain_nearest_centroid(spark):
+    rng, rows = random.Random(2), []
+    for i in range(300):
+        lang, letters = rng.choice([("aa", "abcdefg"), ("bb", "uvwxyzé")])
+        rows.append((i, " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(rng.randint(3, 30))), lang))
+    rows += [(900, "жщш юяь", None), (901, "жщш юяь 日本 ab", None), (902, "42", None), (903, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    rejected = 0
+    for i, text, _ in rows:
+        grams = plain_grams(text or "")
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        v = [math.log1p(g) * w for g, w in zip(grams, model.idf.tolist())]
+        length = math.sqrt(sum(x * x for x in v))
+        cosines = [sum(a * b for a, b in zip(v, c)) / length for c in model.centres.tolist()]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[i].score == pytest.approx(max(0.0, cosines[best]), abs=1e-4)
+        if sorted(cosines)[-1] - sorted(cosines)[-2] > 1e-4 and cosines[best] > 1e-4:
+            assert got[i].lang_pred == model.languages[model.owner[best]]
+        if abs(cosines[best] - model.floors[best]) > 1e-4:
+            assert got[i].rejected == (cosines[best] < model.floors[best])
+        rejected += got[i].rejected
+    assert got[900].rejected and got[901].rejected and rejected <= 10
+    und = {r.doc_id: r.lang_pred for r in langid.predict(df, model, und_if_rejected=True).collect()}
+    assert all(und[i] == ("und" if r.rejected else r.lang_pred) for i, r in got.items())
+
+
+def test_scrambled_codes_lose_the_neighbours(spark, monkeypatch):
+    """The estimate by codes decides: with codebooks that say nothing the short list, 5 % of the rows, is worthless."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").toPandas()
+    exact = ann.brute_force(rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float))
+    recall = lambda got: sum(r.vec_id in {i for i, _ in exact[r.query_id]} for r in got) / sum(map(len, exact.values()))
+    assert recall(ann.nearest(df, shortlist=int(0.05 * len(rows))).collect()) >= 0.9
+    fit = ann.fit
+
+    def scrambled(*given):
+        quantiser = fit(*given)
+        return ann.Quantiser(quantiser.centres, np.random.default_rng(1).normal(scale=10, size=quantiser.codebooks.shape))
+
+    monkeypatch.setattr(ann, "fit", scrambled)
+    assert recall(ann.nearest(df, shortlist=int(0.05 * len(rows))).collect()) < 0.3
+
+
+def test_many_copies_of_one_vector(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 8))
+    rows = [(i, x[i].tolist()) for i in range(400)] + [(1000 + i, x[0].tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.array([i for i, _ in rows])
+    exact = ann.brute_force(ids, np.array([v for _, v in rows]))
+    assert set(got) == set(exact)
+    for q in (0, 1000, 3900):
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, 0.0) for i, _ in exact[q]]
+
+
+def test_propagation_to_the_end_gives_back_what_dangling_hosts_hold(spark):
+    from corpusloom.llm.scratch import Scratch
+
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("e", "a", 1.0)]  # d leads nowhere
+    seeds = [("a", 0.5, 0.0), ("c", 0.0, 1.0), ("e", 0.25, 0.0)]
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    s = spark.createDataFrame(seeds, "host string, trusted double, blocked double")
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.scaled(urlgraph.propagate(e, s, Scratch(spark, "t"), tolerance=1e-9), s).collect()}
+    names = "abcde"
+    m = np.zeros((5, 5))
+    for a, b, w in edges:
+        m[names.index(b), names.index(a)] = w
+    for kind, (matrix, seed) in enumerate([(m, np.array([0.5, 0, 0, 0, 0.25])), (m.T, np.array([0, 0, 1.0, 0, 0]))]):
+        total = matrix.sum(0)
+        matrix = np.where(total > 0, matrix / np.maximum(total, 1e-30), (seed / seed.sum())[:, None])
+        score = seed.copy()
+        for _ in range(400):
+            score = 0.15 * seed + 0.85 * matrix @ score
+        assert [got.get(n, (0, 0))[kind] for n in names] == pytest.approx(score.tolist(), abs=1e-6)
+
+
+def test_crowded_hosts_flow_like_others(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        hosts = {f"h{rng.randrange(20)}.net" for _ in range(3)} | {"hub.net"}
+        rows.append((i, f"http://{'hub.net' if i % 3 == 0 else f'h{i % 20}.net'}/{'x' if i % 7 else ''}", " ".join(f"<a href='//{h}/'>" for h in sorted(hosts)), i))
+    rows += [(100, "http://good.org/", "<a href=http://hub.net/x>", 1), (101, "http://bad.com/de/", "<a href=http://h3.net/x>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, trust int")
+    plain = sorted((r.page_id, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in urlgraph.judge(df).collect())
+    monkeypatch.setattr(urlgraph, "HUB", 3)
+    assert sorted((r.page_id, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in urlgraph.judge(df).collect()) == plain
 
 
 @pytest.mark.parametrize("least", [ann.LEAST_PROBES, 1])

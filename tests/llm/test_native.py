@@ -37,6 +37,28 @@ def test_line_dedup_salted_path_is_the_same(spark, monkeypatch):
     assert plain == oracle.rows_of(df.columns, [tuple(r) for r in line_dedup.drop_boilerplate(df, counts=False).collect()])
 
 
+def test_line_dedup_deals_large_hosts_over_tasks(spark, monkeypatch):
+    df = documents(spark)
+    plain = oracle.rows_of(df.columns, [tuple(r) for r in line_dedup.drop_boilerplate(df, counts=False).collect()])
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(line_dedup, "PAGES_PER_TASK", 7)
+    assert plain == oracle.rows_of(df.columns, [tuple(r) for r in line_dedup.drop_boilerplate(df, counts=False).collect()])
+
+
+def test_mixed_documents_equal_the_mix_and_reruns_agree(spark):
+    df = documents(spark, 300)
+    taken = {}
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    runs = [oracle.rows_of(df.columns, [tuple(r) for r in mixing.mixed_documents(df.repartition(n)).collect()]) for n in (1, 5)]
+    assert runs[0] == runs[1]
+    key, text = sorted(df.columns).index("doc_id"), sorted(df.columns).index("text")
+    words = {}
+    for row, n in runs[0].items():
+        words[row[key]] = words.get(row[key], 0) + n * len((row[text] or "").split())
+    assert words == {i: n for i, n in taken.items() if n}
+
+
 @pytest.mark.parametrize("n", [400, 12])
 def test_mix_equals_sql(spark, n):
     df = documents(spark, n)

@@ -60,6 +60,25 @@ def test_links_close_like_all_pairs(spark, dense):
     assert all(len({expected[i] for i in members}) == 1 for members in groups.values())
 
 
+def test_crowded_keys_and_hubs_are_met_by_broadcast(spark, monkeypatch):
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    values = sorted({base} | {base ^ 1 << i ^ 1 << j for i in range(14) for j in range(i)} | {rng.getrandbits(64) for _ in range(50)})
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    results = []
+    for crowd, hub in ((simhash.CROWD, 10_000), (5, 3)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        scratch = Scratch(spark, "test")
+        results.append({(r.node, r.root) for r in simhash.components(simhash.links(df, scratch, dense=4), scratch, hub).collect()})
+    assert results[0] == results[1] and len({root for _, root in results[0]}) == 1 and len(results[0]) == 91
+
+
+def test_survivors_do_not_change_between_runs(spark):
+    rows = [(1, "same words in here", "a"), (1, "same words in here", "b"), (1, "same words in here", "b"), (None, "same words in here", "a"), (None, None, None), (None, "", "x"), (5, "x y z w", "c")]
+    runs = [{tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect()} for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3
+
+
 def test_rows_and_survivors(spark):
     rng = random.Random(9)
     long = " ".join(str(rng.randrange(10**6)) for _ in range(4000))
