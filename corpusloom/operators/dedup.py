@@ -4,7 +4,10 @@ Exact classes come first: equal normalised texts share a key, and only one
 representative of each class goes further, so mass copies never meet in pairs.
 Near duplicates are pairs of representatives whose sets of five-word shingles
 have a Jaccard similarity of at least 0.8; MinHash bands propose candidates,
-the sets decide.
+the sets decide.  Shingles are 64-bit hashes from the start.
+
+Null text is the empty text; documents of fewer than 50 words and without id
+take no part in near links; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -17,14 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window as W
+
 from ..functions import text as X
 from ..sources.scratch import Scratch
 from . import graph
+from .grams import grams, lists, word_hashes
+from .skew import join_counted
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
 PERMUTATIONS, BANDS = 128, 32
 SHORT, TEMPLATE_DOCS, TEMPLATE_TITLES = 100, 3, 0.8
-_PRIME = (1 << 61) - 1
+#: Documents in a band's bucket beyond which they meet neighbours only, how many, and from how many on the bucket's row is broadcast.
+CROWD, STEP, HOT = 64, 6, 100_000
 
 
 def exact_key(text: Column) -> Column:
@@ -39,53 +47,111 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return keyed.join(classes, "k").select(key, "representative", "copies")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, shingles) of one document of each exact class that has enough words."""
-    words = X.words(X.metric_normal(F.col(text)))
-    one = docs.groupBy(exact_key(F.col(text)).alias("k")).agg(F.min_by(text, key).alias("text"), F.min(key).alias("doc_id"))
-    words = X.words(X.metric_normal(F.col("text")))
-    return one.select("doc_id", words.alias("w")).where(F.size("w") >= MIN_WORDS).select("doc_id", X.shingles(F.col("w"), SHINGLE).alias("shingles"))
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    """(doc_id, bands): one 64-bit key for each band of a MinHash signature, by vectorised permutations."""
+def _signature(found: np.ndarray) -> np.ndarray:
+    """The least of the gram hashes under each permutation."""
     rng = np.random.default_rng(42)
     a, b = rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[at : at + 1024, None] * a + b) >> np.uint64(20)).min(axis=0))
+    return least
+
+
+def _hashed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, w, ...): hashes of the words of the normalised texts that have enough words."""
+    words = word_hashes(X.words(X.metric_normal(F.coalesce(F.col(text), F.lit("")))))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), words.alias("w"), *more).where((F.size("w") >= MIN_WORDS) & F.col("doc_id").isNotNull())
+
+
+def banded(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written (doc_id, bands) of one document of each exact class that has enough words: a key for each band of a MinHash signature.
+
+    Texts are read where they lie; what is grouped are ids, keys and bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
+            words, ends = lists(batch.column(1))
             rows = []
-            for grams in batch.column(1).to_pylist():
-                h = np.array([digest(g) for g in grams], np.uint64)
-                least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 1024):
-                    least = np.minimum(least, ((h[at : at + 1024, None] * a + b) >> np.uint64(20)).min(axis=0))
-                rows.append([digest(part.tobytes()) >> 1 for part in least.reshape(BANDS, -1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "bands"])
-
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, bands array<long>")
-
-
-def near_pairs(sets: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of representatives at or above ``similarity``."""
-    bands = scratch.save(signatures(sets), "bands").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    left, right = bands.withColumnRenamed("doc_id", "a"), bands.withColumnRenamed("doc_id", "b")
-    pairs = scratch.save(left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct(), "candidates")
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}"))
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                least = _signature(np.unique(grams(words[s:e], SHINGLE)))
+                rows.append([xxhash.xxh64_intdigest(part.tobytes()) >> 1 for part in least.reshape(BANDS, -1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "bands", "k"])
+
+    rows = _hashed(docs, key, text, exact_key(F.col(text)).alias("k")).mapInArrow(run, "doc_id long, bands array<long>, k string")
+    one = rows.groupBy("k").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
+    return scratch.save(one.select("doc_id", "bands"), "bands")
+
+
+def candidates(bands: DataFrame, crowd: int | None = CROWD) -> DataFrame:
+    """Distinct (a, b), a < b, of documents that share a band.
+
+    In a bucket of more than ``crowd`` documents each one meets only its next
+    ``STEP`` in the order of another band, so the pairs grow with the members
+    and not with their square; ``crowd`` = None asks for all pairs.
+    """
+    entries = bands.select("doc_id", F.posexplode("bands").alias("band", "key"), F.col("bands").alias("_b"))
+    entries = entries.select("doc_id", "band", "key", F.element_at("_b", (F.col("band") + 1) % BANDS + 1).alias("other"))
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    met = join_counted(entries, shared, ["band", "key"], "members", HOT)
+    few = met if crowd is None else met.where(F.col("members") <= crowd)
+    left = few.select("band", "key", F.col("doc_id").alias("a"))
+    pairs = left.join(few.select("band", "key", F.col("doc_id").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
+    if crowd is not None:
+        order = W.partitionBy("band", "key").orderBy("other", "doc_id").rowsBetween(1, STEP)
+        many = met.where(F.col("members") > crowd).select(F.col("doc_id").alias("a"), F.collect_list("doc_id").over(order).alias("next")).select("a", F.explode("next").alias("b"))
+        pairs = pairs.unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return pairs.distinct()
+
+
+def near_pairs(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, crowd: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, jaccard, estimate), a < b: pairs of representatives at or above ``similarity``; the sets of hashed grams decide.
+
+    ``estimate`` is the share of equal places of the MinHash signatures.  With
+    ``crowd`` = None every pair that shares a band is looked at, and the result
+    has the square of a group's size; components need only ``crowd`` = CROWD.
+    A pair at a Jaccard of 0.8 shares one of the 32 bands of four with a chance
+    of 1 - 6e-8.
+    """
+    pairs = scratch.save(candidates(banded(docs, scratch, key, text), crowd), "candidates")
+    asked = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = lists(batch.column(1))
+            sets = [np.unique(grams(words[s:e], SHINGLE)) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x.view(np.int64) for x in sets], kind), pa.array([_signature(x).view(np.int64) for x in sets], kind)], ["doc_id", "grams", "signature"]
+            )
+
+    wanted = docs.join(asked.withColumnRenamed("doc_id", "_id"), F.col(key).cast("long") == F.col("_id"), "left_semi")
+    sets = scratch.save(_hashed(wanted, key, text).mapInArrow(run, "doc_id long, grams array<long>, signature array<long>"), "sets")
+    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("grams").alias(f"s_{side}"), F.col("signature").alias(f"m_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     jaccard = common / (F.size("s_a") + F.size("s_b") - common)
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
+    equal = F.size(F.filter(F.zip_with("m_a", "m_b", lambda x, y: x == y), lambda e: e))
+    return both.select("a", "b", jaccard.alias("jaccard"), (equal / PERMUTATIONS).alias("estimate")).where(F.col("jaccard") >= similarity)
 
 
-def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document with its cluster, the smallest id reachable over exact and near links: (doc_id, cluster_id)."""
+def linked_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cluster_id) of every document, the cluster being the smallest id reachable over exact and near links; and the near links."""
     scratch = Scratch(docs.sparkSession, "dedup")
     exact = scratch.save(exact_groups(docs, key, text), "exact")
-    pairs = near_pairs(scratch.save(representatives(docs, key, text), "sets"), scratch)
+    pairs = scratch.save(near_pairs(docs, scratch, crowd=CROWD, key=key, text=text), "pairs")
     roots = graph.components(pairs.select("a", "b"), scratch)
-    return exact.join(roots, exact.representative == roots.node, "left").select(key, F.coalesce("root", "representative").alias("cluster_id"))
+    return exact.join(roots, exact.representative == roots.node, "left").select(key, F.coalesce("root", "representative").alias("cluster_id")), pairs
+
+
+def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return linked_clusters(docs, key, text)[0]
+
+
+def least_likeness(docs: DataFrame) -> DataFrame:
+    """(cluster_id, min_jaccard, links) of the clusters that near links hold together."""
+    of, pairs = linked_clusters(docs)
+    return pairs.join(of, pairs.a == of.doc_id).groupBy("cluster_id").agg(F.min("jaccard").alias("min_jaccard"), F.count("*").alias("links"))
 
 
 def cluster_table(docs: DataFrame, of: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .passages import greedy, paragraphs, pieces, token_count
+from .passages import SLACK, Span, cut_down, joined, paragraphs, token_count
 
 _HEADING = re.compile(r"^(#{1,6}\s|\d+(\.\d+)*[.)]\s+\S.{0,80}$|[^.!?]{1,80}:$)")
 _ITEM = re.compile(r"^\s*([-*+•–]|\d+[.)]|[a-z]\))\s+")
@@ -15,7 +17,7 @@ _ITEM = re.compile(r"^\s*([-*+•–]|\d+[.)]|[a-z]\))\s+")
 
 def kind_of(line: str) -> str:
     """heading, item, row (a table line) or para."""
-    if line.count("|") >= 2:
+    if line.count("|") >= 2 or "\t" in line:
         return "row"
     if _ITEM.match(line) and len(line.split()) > 1 and not _HEADING.match(line):
         return "item"
@@ -24,45 +26,113 @@ def kind_of(line: str) -> str:
     return "item" if _ITEM.match(line) else "para"
 
 
+@dataclass
+class Block:
+    """Paragraphs that belong together: a run of items or of rows, or a single paragraph."""
+
+    kind: str
+    spans: list[Span]
+    sizes: list[int]
+
+    @property
+    def size(self) -> int:
+        return sum(self.sizes)
+
+
+def blocks_of(text: str) -> list[Block]:
+    parts = [(kind_of(text[s:e]), (s, e), token_count(text[s:e])) for s, e in paragraphs(text)]
+    out = []
+    for kind, run in itertools.groupby(parts, key=lambda p: p[0]):
+        run = list(run)
+        sets = [run] if kind in ("item", "row") else [[p] for p in run]
+        out += [Block(kind, [p[1] for p in some], [p[2] for p in some]) for some in sets]
+    return out
+
+
+def sections_of(blocks: list[Block]) -> list[list[Block]]:
+    """A heading opens a section; headings that follow one another open it together."""
+    opens = [i for i, b in enumerate(blocks) if i == 0 or (b.kind == "heading" and blocks[i - 1].kind != "heading")]
+    return [blocks[i:j] for i, j in zip(opens, [*opens[1:], len(blocks)], strict=True)]
+
+
+class Packed:
+    """Chunks made so far and the blocks of the open one."""
+
+    def __init__(self, text: str, target: int):
+        self.text, self.target = text, target
+        self.out: list[dict] = []
+        self.open: list[Block] = []
+        self.section: str | None = None
+
+    @property
+    def size(self) -> int:
+        return sum(b.size for b in self.open)
+
+    def put(self, spans: list[Span]) -> None:
+        self.out.append({"start": spans[0][0], "stop": spans[-1][1], "section": self.section})
+
+    def close(self) -> None:
+        if self.open:
+            self.put([s for b in self.open for s in b.spans])
+        self.open = []
+
+    def take(self, blocks: list[Block]) -> None:
+        if self.open and self.size + sum(b.size for b in blocks) > self.target:
+            self.close()
+        self.open += blocks
+
+    def pieces(self, head: list[Block], block: Block) -> None:
+        """A block that no chunk holds: its paragraphs packed, or cut down; what heads it stands at the start of the first piece."""
+        self.close()
+        made: list[Span] = []
+        run: list[tuple[Span, int]] = []
+        for span, size in [*zip(block.spans, block.sizes, strict=True), (None, 0)]:
+            if run and (span is None or size > SLACK * self.target or sum(n for _, n in run) + size > self.target):
+                made.append((run[0][0][0], run[-1][0][1]))
+                run = []
+            if span is not None and size > SLACK * self.target:
+                made += cut_down(self.text, span, self.target, token_count)
+            elif span is not None:
+                run.append((span, size))
+        first = head[0].spans[0][0] if head else made[0][0]
+        for i, (s, e) in enumerate(made):
+            self.put([(first if i == 0 else s, e)])
+
+
 def structured(text: str, target: int) -> list[dict]:
-    """Chunks {start, stop, section}: runs of items or rows stay together, headings go with what follows, sections are not mixed."""
-    out: list[dict] = []
-    section, held = None, []  # held: spans of the chunk that is being filled
-
-    def close() -> None:
-        if held:
-            out.append({"start": held[0][0], "stop": held[-1][1], "section": section})
-            held.clear()
-
-    def size(spans: list[tuple[int, int]]) -> int:
-        return sum(token_count(text[s:e]) for s, e in spans)
-
-    runs: list[tuple[str, list[tuple[int, int]]]] = []
-    for s, e in paragraphs(text):
-        kind = kind_of(text[s:e])
-        if runs and kind == runs[-1][0] and kind in ("item", "row"):
-            runs[-1][1].append((s, e))
-        else:
-            runs.append((kind, [(s, e)]))
-    for kind, spans in runs:
-        if kind == "heading":
-            close()
-            section = text[spans[0][0] : spans[0][1]].strip("#: ").strip()
-            held.extend(spans)
+    """Chunks {start, stop, section} that follow a text's structure; ``section`` is its last heading before the chunk's first block.
+
+    Runs of items or rows stay together; a heading goes with the block below it
+    and never ends a chunk, but for one at the end of the text, which goes to the
+    chunk before.  A section that fits is one chunk; sections are put together
+    only while the open chunk is under a quarter of the target.  Nothing is
+    repeated.
+    """
+    packed, sections = Packed(text, target), sections_of(blocks_of(text))
+    trailing = sections.pop() if len(sections) > 1 and all(b.kind == "heading" for b in sections[-1]) else None
+    for section in sections:
+        heads = list(itertools.takewhile(lambda b: b.kind == "heading", section))
+        size = sum(b.size for b in section)
+        if not (packed.open and packed.size < target / 4 and packed.size + size <= target):
+            packed.close()
+            if heads:
+                s, e = heads[-1].spans[0]
+                packed.section = text[s:e].strip("#: ").strip()
+        if size <= target:
+            packed.open += section
             continue
-        if held and size(held) + size(spans) > target and not (len(held) == 1 and kind_of(text[held[0][0] : held[0][1]]) == "heading"):
-            close()
-        for span in spans:
-            s, e = span
-            if token_count(text[s:e]) > 1.5 * target:
-                close()
-                out.extend({"start": s + a, "stop": s + b, "section": section} for a, b in pieces(text[s:e], target, token_count))
+        packed.close()
+        rest = section[len(heads) :]
+        for i, block in enumerate(rest or [Block("para", [], [])]):
+            head = heads if i == 0 else []
+            if block.spans and sum(b.size for b in [*head, block]) > target:
+                packed.pieces(head, block)
             else:
-                if held and size([*held, span]) > target and size(held) >= target / 4:
-                    close()
-                held.append(span)
-    close()
-    return out
+                packed.take([*head, *([block] if block.spans else [])])
+    packed.close()
+    if trailing:
+        packed.out[-1]["stop"] = trailing[-1].spans[-1][1]
+    return packed.out
 
 
 def qa_chunks(question: str, answers: list[str], target: int) -> list[dict]:
@@ -71,7 +141,7 @@ def qa_chunks(question: str, answers: list[str], target: int) -> list[dict]:
         return [{"kind": "question", "text": question}] if question else []
     out = []
     for k, answer in enumerate(answers):
-        spans = greedy(answer, paragraphs(answer) or [(0, len(answer))], target, token_count)
+        spans = joined(answer, paragraphs(answer) or [(0, len(answer))], target, token_count)
         for i, (s, e) in enumerate(spans):
             first = k == 0 and i == 0 and question
             out.append({"kind": "qa" if first else "answer", "text": f"{question}\n\n{answer[s:e]}" if first else answer[s:e]})

@@ -40,9 +40,12 @@ def exact_report(spark, sf):
 
 @query("minhash_lsh_pairs", _PAIRS + "SELECT a, b, round(j, 6) AS jaccard FROM p")
 def minhash_lsh_pairs(spark, sf):
-    scratch = Scratch(spark, "pairs")
-    pairs = D.near_pairs(scratch.save(D.representatives(table(spark, sf, "documents")), "sets"), scratch)
-    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return D.near_pairs(table(spark, sf, "documents"), Scratch(spark, "pairs")).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("cluster_min_jaccard", _CLUSTERS + ", m AS (SELECT cluster_id, min(j) AS j FROM p JOIN c ON p.a = c.doc_id GROUP BY 1) SELECT cluster_id, round(j, 6) AS min_jaccard FROM m")
+def cluster_min_jaccard(spark, sf):
+    return D.least_likeness(table(spark, sf, "documents")).select("cluster_id", F.round("min_jaccard", 6).alias("min_jaccard"))
 
 
 @query("near_dup_clusters", _CLUSTERS + "SELECT doc_id, cluster_id FROM c")

@@ -16,7 +16,7 @@ def _sql_list(values):
 
 
 def _re(pattern):
-    return "'" + pattern.replace("'", "''") + "'"
+    return "'" + pattern.replace("(?iu)", "(?i)").replace("'", "''") + "'"
 
 
 _BODY = "list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: trim(x)), lambda x: x <> '')"

@@ -88,17 +88,17 @@ def knn_recall_label(spark, sf):
 
 @query("max_cosine", _COS + "SELECT doc_id, round(max(score), 4) AS best FROM c GROUP BY doc_id")
 def max_cosine(spark, sf):
-    """Best cosine of each row over all queries: the same search with the sides exchanged and k = 1."""
-    best = R.dense_topk(_queries(spark, sf), table(spark, sf, "embeddings"), 1)
-    return best.select(F.col("query_id").alias("doc_id"), F.round("score", 4).alias("best"))
+    """Best cosine of each row over all queries."""
+    best = R.best_queries(table(spark, sf, "embeddings"), _queries(spark, sf), 1)
+    return best.select("doc_id", F.round("score", 4).alias("best"))
 
 
 @query("reverse_rank_csls", _COS + """, k AS (SELECT doc_id, query_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, query_id) AS rr FROM c),
   m AS (SELECT doc_id, avg(score) AS hub FROM k WHERE rr <= 5 GROUP BY 1) SELECT k.query_id, k.doc_id, rr, round(k.score - hub, 6) AS csls FROM k JOIN m ON k.doc_id = m.doc_id WHERE rr <= 5""")
 def reverse_rank_csls(spark, sf):
-    near = R.dense_topk(_queries(spark, sf), table(spark, sf, "embeddings"), 5)
-    hub = F.avg("score").over(W.partitionBy("query_id"))
-    return near.select(F.col("doc_id").alias("query_id"), F.col("query_id").alias("doc_id"), F.col("position").alias("rr"), F.round(F.col("score") - hub, 6).alias("csls"))
+    near = R.best_queries(table(spark, sf, "embeddings"), _queries(spark, sf), 5)
+    hub = F.avg("score").over(W.partitionBy("doc_id"))
+    return near.select("query_id", "doc_id", F.col("position").alias("rr"), F.round(F.col("score") - hub, 6).alias("csls"))
 
 
 @query("hubness", _COS + "SELECT doc_id, count(*) AS hits FROM r WHERE position <= 10 GROUP BY doc_id")
@@ -129,28 +129,12 @@ def max_inner_product(spark, sf):
 @query("sparse_dot", f"""WITH d AS (SELECT doc_id, term, ln(1 + count(*)) AS w FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL), q AS (SELECT item_id, term, ln(1 + count(*)) AS w FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
   s AS (SELECT item_id, doc_id, round(sum(q.w * d.w), 9) AS score FROM q JOIN d ON q.term = d.term GROUP BY ALL) SELECT item_id, doc_id, round(score, 6) AS score, position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position FROM s) WHERE position <= 20""")
 def sparse_dot(spark, sf):
-    def weights(df, key):
-        return R.postings(df, key, X.words(F.col("text"))).select(F.col("doc_id").alias(key), "term", F.log(1 + F.col("tf")).alias(f"w_{key}"))
+    best = R.sparse_products(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return best.select(F.col("item").alias("item_id"), "doc_id", F.round("score", 6).alias("score"), "position")
 
-    q, d = weights(table(spark, sf, "benchmark"), "item_id"), weights(table(spark, sf, "documents"), "doc_id")
-    s = q.join(d, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("w_item_id") * F.col("w_doc_id")), 9).alias("score"))
-    w = W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return s.withColumn("position", F.row_number().over(w).cast("long")).where("position <= 20").select("item_id", "doc_id", F.round("score", 6).alias("score"), "position")
 
-
-@query("verbatim_match", "SELECT item_id, doc_id, position(needle IN text) AS at, substr(text, position(needle IN text) + length(needle), 40) AS after FROM (SELECT item_id, substr(text, 1, 60) AS needle FROM benchmark) JOIN documents ON contains(text, needle)")
+@query("verbatim_match", r"""WITH n AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS needle FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t FROM documents)
+ SELECT item_id, doc_id, position(' ' || needle || ' ' IN ' ' || t || ' ') AS at, substr(t, position(' ' || needle || ' ' IN ' ' || t || ' ') + length(needle) + 1, 40) AS after FROM n JOIN d ON needle <> '' AND contains(' ' || t || ' ', ' ' || needle || ' ')""")
 def verbatim_match(spark, sf):
-    """Passages whose first 60 characters stand in a document: n-gram candidates, then the exact place.
-
-    The equi-join on word grams replaces a comparison of every pair.
-    """
-    needle = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
-    docs = table(spark, sf, "documents")
-    # any four whole words inside the needle stand side by side in a text that contains it; first and last word may be cut
-    inner = F.slice(F.split("needle", " "), 2, 3)
-    keyed = needle.withColumn("gram", F.array_join(inner, " "))
-    parts = F.col("parts")
-    grams = docs.select("doc_id", F.split("text", " ").alias("parts")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, 3), " ")))).alias("gram"))
-    pairs = keyed.join(grams, "gram").join(docs.select("doc_id", "text"), "doc_id")
-    found = pairs.withColumn("at", F.expr("position(needle, text)").cast("long")).where("at > 0")
-    return found.select("item_id", "doc_id", "at", F.expr("substr(text, at + length(needle), 40)").alias("after"))
+    """Whole passages, as words, that stand in a document, with what follows."""
+    return R.verbatim(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
