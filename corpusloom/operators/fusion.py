@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.scratch import Scratch
+from . import ranking
+
 RRF_K = 60
 
 
@@ -139,7 +142,8 @@ def threshold_counts(pool: DataFrame, score: str, low: Column, high: Column, tar
     """
     bounds = pool.groupBy("query_id").agg(F.count("*").alias("size")).withColumn("low", low).withColumn("high", high)
     place = F.row_number().over(per_query(F.col(score).desc(), "doc_id"))
-    rows = pool.select("query_id", "doc_id", F.col(score).cast("double").alias("s"), place.alias("j")).join(bounds, "query_id").persist()
+    rows = pool.select("query_id", "doc_id", F.col(score).cast("double").alias("s"), place.alias("j")).join(bounds, "query_id")
+    rows = Scratch(pool.sparkSession, "threshold").save(rows, "rows")
     given, most = bounds.agg(F.sum("low"), F.sum("high")).first()
     if not given <= target <= most:
         raise ValueError(f"target {target} outside [{given}, {most}]")
@@ -150,8 +154,7 @@ def threshold_counts(pool: DataFrame, score: str, low: Column, high: Column, tar
         n, a, b = active.agg(F.count("*"), F.min("s"), F.max("s")).first()
         if n <= last or a == b:
             order = [F.col("s").desc(), F.col("query_id"), F.col("doc_id")]
-            numbered = active.withColumn("i", F.row_number().over(W.orderBy(*order)))
-            cut = numbered.where(F.col("i") == wanted).first()
+            cut = ranking.place(active, order, "i").where(F.col("i") == wanted).first()
             break
         bin_ = F.least(F.floor((F.lit(b) - F.col("s")) / F.lit((b - a) / bins)), F.lit(bins - 1))
         before = 0
@@ -168,33 +171,39 @@ def threshold_counts(pool: DataFrame, score: str, low: Column, high: Column, tar
     return n.select("query_id", "n", F.least(F.greatest("n", "low"), "high").alias("k"))
 
 
-def allocate_total(sizes: DataFrame, raw: str, low: str, high: str, target: int, rounds: int = 11, tries: int = 32) -> DataFrame:
-    """Whole numbers between the bounds that sum to ``target``, in proportion to ``raw``: largest remainders take the rest.
+def common_factor(sizes: DataFrame, target: float) -> float:
+    """c with sum(clip(c raw, low, high)) = target, in closed form.
 
-    The common factor is bracketed by trying many values in each aggregate.
+    The sum is piecewise linear in c: at low / raw a row begins to grow, at
+    high / raw it stops.  Running totals over those places, sorted over the
+    cluster, give the sum at each of them and the slope after it.
     """
-    held = sizes.select("query_id", F.col(raw).cast("double").alias("raw"), F.col(low).cast("double").alias("low"), F.col(high).cast("double").alias("high")).persist()
-    clipped = lambda c: F.least(F.greatest(F.lit(c) * F.col("raw"), F.col("low")), F.col("high"))
-
-    def totals(values: list[float]) -> list[float]:
-        return list(held.agg(*[F.sum(clipped(c)) for c in values]).first())
-
-    grown = [2.0**k for k in range(tries)]
-    reach = next((c for c, t in zip(grown, totals(grown), strict=True) if t >= target), None)
-    if reach is None:
-        raise ValueError(f"target {target} cannot be reached")
-    a, b = 0.0, reach
-    for _ in range(rounds):
-        values = [a + (b - a) * k / tries for k in range(1, tries)]
-        for c, t in zip(values, totals(values), strict=True):
-            if t >= target:
-                b = c
-                break
-            a = c
-    x = held.withColumn("x", clipped(b)).withColumn("base", F.least(F.floor(F.col("x") + 1e-9), F.floor("high")).cast("long"))
+    low, high = F.col("low") / F.col("raw"), F.col("high") / F.col("raw")
+    turns = sizes.where("raw > 0").select(
+        F.explode(F.array(F.struct(low.alias("c"), F.col("raw").alias("slope"), F.col("low").alias("gone")), F.struct(high.alias("c"), (-F.col("raw")).alias("slope"), (-F.col("high")).alias("gone")))).alias("t")
+    ).select("t.*")
+    given, most = sizes.agg(F.sum("low"), F.sum(F.when(F.col("raw") > 0, F.col("high")).otherwise(F.col("low")))).first()
+    if given is None or not given <= target <= most:
+        raise ValueError(f"target {target} outside [{given}, {most}]")
+    along = ranking.running_totals(turns, ["c", "slope", "gone"], {"grows": F.col("slope"), "base": F.col("gone")})
+    # up to a place c, with all turns before it, the sum is given - base + grows c; it never falls
+    reached = F.lit(float(given)) - F.col("base") + F.col("grows") * F.col("c")
+    at = along.where(reached <= F.lit(target + 1e-9)).agg(F.max("c")).first()[0]
+    if at is None:
+        return 0.0
+    slope, gone = turns.where(F.col("c") <= at).agg(F.sum("slope"), F.sum("gone")).first()
+    short = target - (given - gone + slope * at)
+    return at + short / slope if slope > 1e-12 and short > 0 else at
+
+
+def allocate_total(sizes: DataFrame, raw: str, low: str, high: str, target: int) -> DataFrame:
+    """(query_id, n): whole numbers between the bounds that sum to ``target``, in proportion to ``raw``: largest remainders take the rest, ties by query."""
+    held = sizes.select("query_id", *(F.col(c).cast("double").alias(n) for c, n in ((raw, "raw"), (low, "low"), (high, "high"))))
+    c = common_factor(held, target)
+    x = held.withColumn("x", F.least(F.greatest(F.lit(c) * F.col("raw"), F.col("low")), F.col("high"))).withColumn("base", F.least(F.floor(F.col("x") + 1e-9), F.floor("high")).cast("long"))
     left = target - x.agg(F.sum("base")).first()[0]
-    w = W.orderBy(F.when(F.col("base") < F.col("high"), 0).otherwise(1), F.round(F.col("base") - F.col("x"), 6), "query_id")
-    return x.withColumn("_r", F.row_number().over(w)).select("query_id", (F.col("base") + (F.col("_r") <= left).cast("long")).alias("n"))
+    order = [F.when(F.col("base") < F.col("high"), 0).otherwise(1), F.round(F.col("base") - F.col("x"), 6), "query_id"]
+    return ranking.place(x, order, "_r").select("query_id", (F.col("base") + (F.col("_r") <= left).cast("long")).alias("n"))
 
 
 def dedup_refill(pool: DataFrame, cluster: str, rank: str, k: int) -> DataFrame:
@@ -203,31 +212,63 @@ def dedup_refill(pool: DataFrame, cluster: str, rank: str, k: int) -> DataFrame:
     return first.withColumn("position", F.row_number().over(per_query(rank, "doc_id")).cast("long")).where(F.col("position") <= k)
 
 
-def quota(sizes: dict[str, int], n: int, cap: int | None) -> dict[str, int]:
-    """Shares of ``n`` in proportion to size, none above its cap; what the capped ones leave is shared again.
+def quota(groups: DataFrame, key: str, size: str, n: int, cap: int | None) -> DataFrame:
+    """(key, quota): shares of ``n`` in proportion to size, none above its size or the cap; what the capped ones leave is shared again.
 
-    ``sizes`` is the small table of groups, as a dictionary.
+    In closed form over the table of groups, which has one row for each: with
+    groups in ascending order of limit over size, those before the first whose
+    share stays under its limit are capped, and the rest split what remains;
+    largest remainders take what rounding leaves, ties by key.
     """
-    limit = {g: min(s, cap) if cap else s for g, s in sizes.items()}
-    given: dict[str, int] = {}
-    while n > 0 and (rest := {g: s for g, s in sizes.items() if g not in given}):
-        whole = sum(rest.values())
-        share = {g: n * s / whole for g, s in rest.items()}
-        full = {g: limit[g] for g in rest if share[g] >= limit[g]}
-        if full:
-            given |= full
-            n -= sum(full.values())
-            continue
-        low = {g: int(x) for g, x in share.items()}
-        by_rest = sorted(share, key=lambda g: (low[g] - share[g], g))[: n - sum(low.values())]
-        given |= {g: x + (g in by_rest) for g, x in low.items()}
-        break
-    return given
+    limit = F.least(F.col(size), F.lit(cap)) if cap else F.col(size)
+    every = W.partitionBy(F.lit(0))
+    order = every.orderBy(F.col("_limit") / F.col(size), key)
+    rows = groups.where(F.col(size) > 0).select(key, size, limit.alias("_limit"))
+    rows = rows.withColumn("_left", F.lit(n) - (F.sum("_limit").over(order.rowsBetween(*RUNNING)) - F.col("_limit")))
+    rows = rows.withColumn("_level", F.col("_left") / F.sum(size).over(order.rowsBetween(0, W.unboundedFollowing)))
+    free = F.when((F.col("_level") * F.col(size) < F.col("_limit")) & (F.col("_left") >= 0), F.col("_level"))
+    level = F.first(free, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    shared = rows.withColumn("_share", F.least(F.coalesce(level * F.col(size), F.col("_limit").cast("double")), F.col("_limit").cast("double")))
+    shared = shared.withColumn("_open", F.col("_share") < F.col("_limit")).withColumn("_base", F.floor(F.col("_share") + 1e-9))
+    spare = F.lit(n) - F.sum("_base").over(every)
+    by_rest = F.row_number().over(every.orderBy(F.col("_open").desc(), F.round(F.col("_base") - F.col("_share"), 9), key))
+    return shared.withColumn("_spare", spare).withColumn("_r", by_rest).select(key, (F.col("_base") + (F.col("_open") & (F.col("_r") <= F.col("_spare"))).cast("long")).cast("long").alias("quota"))
+
+
+def sequential_budget(groups: DataFrame, key: str, size: str, rate: str, budget: float, saturation: float) -> DataFrame:
+    """(key, cut): groups in the order of their key each take min(size, floor(rest rate), ceil(size saturation)) at their rate from one budget.
+
+    While the budget lasts a group takes what saturation allows, so running
+    totals tell the first group that it does not reach; what that one leaves is
+    less than one unit at its rate, so only a group of a higher rate can take
+    more, and the search goes on there.  There are as many searches as distinct
+    rates at most.
+    """
+    full = F.least(F.col(size), F.ceil(F.col(size) * F.lit(saturation))).cast("long")
+    rows = groups.select(key, F.col(rate).cast("double").alias("_rate"), full.alias("_full"))
+    rows = ranking.running_total(rows, [key], F.col("_full") / F.col("_rate"), "_spent")
+    short = F.floor((F.lit(budget) - (F.col("_spent") - F.col("_full") / F.col("_rate"))) * F.col("_rate") + 1e-9)
+    bound = rows.where(short < F.col("_full")).select(key, "_rate", F.greatest(short, F.lit(0)).cast("long").alias("cut"), "_spent", "_full").orderBy(key).first()
+    if bound is None:
+        return rows.select(key, F.col("_full").alias("cut"))
+    taken, at = {bound[key]: bound.cut}, bound
+    rest = budget - (bound._spent - bound._full / bound._rate) - bound.cut / bound._rate
+    while True:
+        able = F.least(F.floor(F.lit(max(0.0, rest)) * F.col("_rate") + 1e-9), F.col("_full")).cast("long")
+        at = rows.where(F.col(key) > at[key]).select(key, "_rate", able.alias("cut")).where("cut > 0").orderBy(key).first()
+        if at is None:
+            break
+        taken[at[key]] = at.cut
+        rest -= at.cut / at._rate
+    later = F.lit(0)
+    for k, cut in taken.items():
+        later = F.when(F.col(key) == k, cut).otherwise(later)
+    return rows.select(key, F.when(F.col(key) < bound[key], F.col("_full")).otherwise(later).cast("long").alias("cut"))
 
 
 def calibrate_threshold(pool: DataFrame, score: str, target_mean: float, floor: int, ceil: int, steps: int = 6, tries: int = 24) -> float:
     """The threshold whose floor-and-ceiling cut keeps ``target_mean`` documents a query; each step tries many values in one aggregate."""
-    held = pool.select("query_id", F.col(score).alias("s")).persist()
+    held = Scratch(pool.sparkSession, "threshold").save(pool.select("query_id", F.col(score).alias("s")), "scores")
     low, high = held.agg(F.min("s"), F.max("s")).first()
 
     def means(values: list[float]) -> list[float]:

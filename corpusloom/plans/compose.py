@@ -96,12 +96,14 @@ def candidate_stats(spark, sf):
     return n.agg(F.min("n").alias("low"), F.round(F.percentile("n", 0.5), 6).alias("p50"), F.round(F.percentile("n", 0.95), 6).alias("p95"), F.max("n").alias("high"), F.round(F.avg("n"), 6).alias("mean"))
 
 
-@query("offset_calibration", _POOL + "SELECT 0.3::DOUBLE AS reached FROM r LIMIT 1")
+@query("offset_calibration", _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + """, z AS MATERIALIZED (SELECT a / 10000 AS z FROM r), b AS (SELECT -50.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS step
+ UNION ALL SELECT CASE WHEN m < 0.3 THEN (low + high) / 2 ELSE low END, CASE WHEN m < 0.3 THEN high ELSE (low + high) / 2 END, step + 1 FROM (SELECT low, high, step, (SELECT avg(1 / (1 + exp(-(z + (b.low + b.high) / 2)))) FROM z) AS m FROM b WHERE step < 60))
+ SELECT round(high, 4) AS b, round((SELECT avg(1 / (1 + exp(-(z + x.high)))) FROM z), 4) AS reached FROM b x WHERE step = 60""")
 def offset_calibration(spark, sf):
-    """The offset that brings the mean probability to 0.3, and the mean that it reaches, to two digits."""
+    """The offset that brings the mean probability to 0.3, and the mean that it reaches."""
     rows = pool(spark, sf).select((F.col("a") / 10000).alias("z"))
     b = C.offset_for_mean(rows, "z", 0.3)
-    return rows.agg(F.round(F.avg(1 / (1 + F.exp(-(F.col("z") + b)))), 2).alias("reached"))
+    return rows.agg(F.round(F.lit(b), 4).alias("b"), F.round(F.avg(1 / (1 + F.exp(-(F.col("z") + b)))), 4).alias("reached"))
 
 
 @query("logit_fit", _POOL + "SELECT round(regr_slope(z, x), 4) AS a, round(regr_intercept(z, x), 4) AS b FROM (SELECT a / 10000 AS x, ln(q / (1 - q)) AS z FROM (SELECT a, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM r))")
@@ -110,10 +112,10 @@ def logit_fit(spark, sf):
     return fit.select(F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("quantile_map", _POOL + ", x AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id % 1 ORDER BY a, doc_id, query_id) AS i FROM r), y AS (SELECT round(b, 6) AS t, row_number() OVER (ORDER BY b, doc_id, query_id) AS i FROM r) SELECT count(*) AS n, round(sum(t), 2) AS total FROM x JOIN y ON x.i = y.i")
+@query("quantile_map", _POOL + ", x AS (SELECT query_id, doc_id, a, row_number() OVER (ORDER BY a, doc_id, query_id) AS i FROM r), y AS (SELECT b, row_number() OVER (ORDER BY b, doc_id, query_id) AS i FROM r) SELECT query_id, doc_id, round(a, 4) AS a, round(b, 4) AS mapped FROM x JOIN y ON x.i = y.i")
 def quantile_map(spark, sf):
     mapped = C.quantile_map(pool(spark, sf), "a", "b")
-    return mapped.agg(F.count("*").alias("n"), F.round(F.sum("to"), 2).alias("total"))
+    return mapped.select("query_id", "doc_id", F.round("from", 4).alias("a"), F.round("to", 4).alias("mapped"))
 
 
 @query("tail_mass", _POOL + """, l AS (SELECT query_id, p, row_number() OVER (PARTITION BY query_id ORDER BY rb, doc_id) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM r), b AS (SELECT query_id, (k - n + 12 - 1) // 4 AS b, avg(p) + 1e-9 AS m FROM l WHERE n >= 12 AND k > n - 12 GROUP BY ALL),
@@ -186,11 +188,14 @@ def strata_sample(spark, sf):
     return rows.withColumn("k", k).where("k <= 8").drop("k")
 
 
-@query("capped_quota", """WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS groups, 60::BIGINT AS total FROM s""")
+@query("capped_quota", """WITH RECURSIVE s AS MATERIALIZED (SELECT source, count(*) AS n, least(count(*), 20) AS lim FROM documents GROUP BY 1),
+ f AS (SELECT source, n, lim, false AS full_, 60.0::DOUBLE AS rest, (SELECT sum(n) FROM s)::DOUBLE AS whole, 0 AS round FROM s
+  UNION ALL SELECT source, n, lim, capped, 60.0 - coalesce(sum(lim) FILTER (WHERE capped) OVER (), 0), coalesce(sum(n) FILTER (WHERE NOT capped) OVER (), 0), round + 1 FROM (SELECT *, full_ OR rest * n / whole >= lim AS capped FROM f WHERE round < 40 AND whole > 0)),
+ e AS (SELECT * FROM f QUALIFY round = max(round) OVER ()), b AS (SELECT *, CASE WHEN full_ OR whole = 0 THEN lim ELSE CAST(floor(rest * n / whole + 1e-9) AS BIGINT) END AS base, CASE WHEN full_ OR whole = 0 THEN 0 ELSE rest * n / whole - floor(rest * n / whole + 1e-9) END AS part FROM e)
+ SELECT source, base + (NOT full_ AND whole > 0 AND row_number() OVER (ORDER BY full_, round(-part, 9), source) <= 60 - sum(base) OVER ())::BIGINT AS quota FROM b""")
 def capped_quota(spark, sf):
-    sizes = {r.source: r.n for r in table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    taken = X.quota(sizes, 60, 20)
-    return spark.createDataFrame([(len(sizes), sum(taken.values()))], "groups long, total long")
+    """Sixty documents shared out among the sources by size, none above twenty."""
+    return X.quota(table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")), "source", "n", 60, 20)
 
 
 @query("coverage_rollup", "SELECT source, lang, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators import calibrate as K
 from ..operators import fusion as X
 from .registry import query, table
 
 _POOL = """
-WITH pool AS (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS query_id, l_partkey AS doc_id, max(l_extendedprice) AS a, max(l_quantity * 10 + l_linenumber) AS b,
+WITH pool AS MATERIALIZED (SELECT CAST(floor(l_orderkey / 8) AS BIGINT) AS query_id, l_partkey AS doc_id, max(l_extendedprice) AS a, max(l_quantity * 10 + l_linenumber) AS b,
   max(CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_extendedprice * (1 - l_discount) END) AS c FROM lineitem GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS rb,
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, doc_id) AS rb,
   CASE WHEN c IS NULL THEN count(*) OVER (PARTITION BY query_id) ELSE row_number() OVER (PARTITION BY query_id ORDER BY c DESC NULLS LAST, doc_id) END AS rc,
   1 / (1 + exp(-(a - 40000) / 15000)) AS p FROM pool)
 """
@@ -80,9 +81,9 @@ def cut_a1(spark, sf):
 
 @query(
     "cut_a2_gap",
-    _POOL + """, g AS (SELECT *, CASE WHEN ra >= 5 THEN round(a - lead(a) OVER (PARTITION BY query_id ORDER BY ra), 9) END AS gap FROM r),
-    m AS (SELECT query_id, coalesce(min(ra) FILTER (WHERE gap = top), 1000000) AS place FROM (SELECT *, max(gap) OVER (PARTITION BY query_id) AS top FROM g) GROUP BY query_id)
-    SELECT r.query_id, doc_id FROM r JOIN m ON r.query_id = m.query_id WHERE ra <= place""",
+    _POOL + """, g AS (SELECT query_id, doc_id, ra, CASE WHEN ra >= 5 THEN round(a - lead(a) OVER (PARTITION BY query_id ORDER BY ra), 9) END AS gap FROM r),
+    m AS (SELECT *, max(gap) OVER (PARTITION BY query_id) AS top FROM g), p AS (SELECT *, min(CASE WHEN gap = top THEN ra END) OVER (PARTITION BY query_id) AS place FROM m)
+    SELECT query_id, doc_id FROM p WHERE ra <= coalesce(place, ra)""",
 )
 def cut_a2_gap(spark, sf):
     return X.cut_gap(pool(spark, sf), "a", 5).select("query_id", "doc_id")
@@ -145,12 +146,17 @@ def threshold_counts(spark, sf):
 
 @query(
     "allocate_total",
-    _POOL + """, s AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1) SELECT sum(greatest(1, CAST(floor(n / 2) AS BIGINT)))::BIGINT AS total, count(*) AS queries FROM s""",
+    _POOL.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS MATERIALIZED (SELECT query_id, count(*) AS high, sum(p) AS raw FROM r GROUP BY 1), t AS (SELECT sum(greatest(1, CAST(floor(high / 2) AS BIGINT))) AS target FROM s),
+    b AS (SELECT 0.0::DOUBLE AS low, 4096.0::DOUBLE AS up, 0 AS step UNION ALL SELECT CASE WHEN total < target THEN (low + up) / 2 ELSE low END, CASE WHEN total < target THEN up ELSE (low + up) / 2 END, step + 1
+      FROM (SELECT low, up, step, (SELECT sum(least(greatest((b.low + b.up) / 2 * raw, 1), high)) FROM s) AS total FROM b WHERE step < 90) CROSS JOIN t),
+    x AS (SELECT query_id, high, least(greatest(up * raw, 1), high) AS x FROM s CROSS JOIN (SELECT up FROM b WHERE step = 90)), f AS (SELECT *, least(CAST(floor(x + 1e-9) AS BIGINT), high) AS base FROM x)
+    SELECT query_id, base + (row_number() OVER (ORDER BY CASE WHEN base < high THEN 0 ELSE 1 END, round(base - x, 6), query_id) <= (SELECT target FROM t) - sum(base) OVER ())::BIGINT AS n FROM f""",
 )
 def allocate_total(spark, sf):
+    """Half of all pairs shared out to the queries in proportion to their expected hits, one at least and their pool at most."""
     sizes = pool(spark, sf).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("p").alias("raw")).select("query_id", "raw", F.lit(1).alias("low"), F.col("n").alias("high"))
     target = sizes.agg(F.sum(F.greatest(F.lit(1), F.floor(F.col("high") / 2)))).first()[0]
-    return X.allocate_total(sizes, "raw", "low", "high", int(target)).agg(F.sum("n").alias("total"), F.count("*").alias("queries"))
+    return X.allocate_total(sizes, "raw", "low", "high", int(target))
 
 
 @query(
@@ -242,8 +248,7 @@ def merge_evict(spark, sf):
     SELECT lang, min(i) FILTER (WHERE round(m, 9) <= 0.5) AS first_at, round(max(a) FILTER (WHERE round(m, 9) <= 0.5), 6) AS threshold FROM w GROUP BY lang""",
 )
 def marginal_curve(spark, sf):
-    order = W.partitionBy("lang").orderBy(F.desc("a"), "query_id", "doc_id")
-    rows = pool(spark, sf).withColumn("lang", F.col("doc_id") % 4).withColumn("i", F.row_number().over(order).cast("long"))
-    rows = rows.withColumn("m", F.round(F.avg("p").over(order.rowsBetween(-20, 20)), 9))
-    below = F.col("m") <= 0.5
-    return rows.groupBy("lang").agg(F.min(F.when(below, F.col("i"))).alias("first_at"), F.round(F.max(F.when(below, F.col("a"))), 6).alias("threshold"))
+    rows = pool(spark, sf).select("query_id", "doc_id", "a", "p", (F.col("doc_id") % 4).alias("lang"))
+    curve = K.marginal_curve(rows, "lang", "a", "p", 20)
+    below = F.round("marginal", 9) <= 0.5
+    return curve.groupBy("lang").agg(F.min(F.when(below, F.col("i"))).alias("first_at"), F.round(F.max(F.when(below, F.col("a"))), 6).alias("threshold"))

@@ -20,9 +20,14 @@ def _re(pattern):
 
 
 _BODY = "list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: trim(x)), lambda x: x <> '')"
+_SITE = f"lower(regexp_extract({_TITLE}, '(?i)^(?:www\\.)?([a-z0-9.-]+\\.[a-z]{{2,}})$', 1))"
 _REASON = f"""CASE WHEN regexp_matches({_TITLE}, {_re(X.LOTTERY_TITLE)}) AND regexp_matches({_TITLE}, {_re(X.RESULT_DATE)}) THEN 'lottery_result'
- WHEN regexp_matches({_TITLE}, {_re(X.ERROR_TITLE)}) THEN 'error_title'
+ WHEN domain = 'suckhoecongdongonline.vn' AND regexp_matches({_TITLE}, {_re(X.TEMPLATE_TITLE)}) THEN 'non_medical_template'
+ WHEN regexp_matches({_TITLE}, {_re(X.ERROR_TITLE)}) THEN 'error_title' WHEN {_SITE} <> '' AND (lower(domain) = {_SITE} OR ends_with(lower(domain), '.' || {_SITE})) THEN 'title_is_site'
  WHEN len({_BODY}) >= 10 AND len(list_filter({_BODY}, lambda x: list_contains({_sql_list(X.NAV_LINES)}, x) OR regexp_full_match(x, '[0-9]+'))) >= 0.8 * len({_BODY}) THEN 'menu_only' END"""
+# Titles and domains that make every rule decide for some documents.
+_TITLED = """SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'suckhoecongdongonline.vn' WHEN 2 THEN 'm.bao.vn' ELSE 'bao.vn' END AS domain, CASE doc_id % 10 WHEN 0 THEN 'XSMB 12/3' || chr(10) WHEN 1 THEN 'Giá vàng' || chr(10) WHEN 2 THEN 'www.Bao.vn' || chr(10)
+ WHEN 3 THEN '404 Not Found' || chr(10) WHEN 4 THEN 'x' || repeat(chr(10) || 'Trang chủ', 9) || chr(10) || '7' WHEN 5 THEN 'Giá vàng' || chr(10) ELSE '' END || CASE WHEN doc_id % 10 = 4 THEN '' ELSE text END AS text FROM documents"""
 
 
 @query("status_filter", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'ok' ELSE 'thin' END AS status FROM documents WHERE coalesce(n_chars, 0) >= 50 AND length(text) > 0")
@@ -31,9 +36,22 @@ def status_filter(spark, sf):
     return docs.select("doc_id", F.when(F.length("text") >= 200, "ok").otherwise("thin").alias("status"))
 
 
-@query("drop_reason_counts", f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM documents GROUP BY 1")
+@query("drop_reasons", f"SELECT doc_id, {_REASON} AS reason FROM ({_TITLED})")
+def drop_reasons(spark, sf):
+    i = F.col("doc_id") % 10
+    heads = {0: "XSMB 12/3\n", 1: "Giá vàng\n", 2: "www.Bao.vn\n", 3: "404 Not Found\n", 4: "x" + "\nTrang chủ" * 9 + "\n7", 5: "Giá vàng\n"}
+    head = F.lit("")
+    for k, text in heads.items():
+        head = F.when(i == k, text).otherwise(head)
+    domain = F.when(i == 1, "suckhoecongdongonline.vn").when(i == 2, "m.bao.vn").otherwise("bao.vn")
+    titled = F.concat(head, F.when(i == 4, "").otherwise(F.col("text")))
+    return table(spark, sf, "documents").select("doc_id", X.drop_reason(domain, titled).alias("reason"))
+
+
+@query("drop_reason_counts", f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM (SELECT *, source || '.net' AS domain FROM documents) GROUP BY 1")
 def drop_reason_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.coalesce(X.drop_reason(F.col("source"), F.col("text")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    reason = X.drop_reason(F.concat("source", F.lit(".net")), F.col("text"))
+    return table(spark, sf, "documents").groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("menu_only", f"SELECT doc_id, len({_BODY}) >= 10 AND len(list_filter({_BODY}, lambda x: list_contains({_sql_list(X.NAV_LINES)}, x) OR regexp_full_match(x, '[0-9]+'))) >= 0.8 * len({_BODY}) AS menu FROM documents")

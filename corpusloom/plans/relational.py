@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import corpus
+from ..operators import corpus, fusion
 from .registry import query, table
 
 _REV = "l_extendedprice * (1 - l_discount)"
@@ -30,20 +30,24 @@ def tpch_q1(spark, sf):
 
 
 @query("tpch_q3", f"""SELECT l_orderkey, round(sum({_REV}), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
- WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""")
+ WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""")
 def tpch_q3(spark, sf):
-    joined = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    customers = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    orders = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP '1995-03-15'")
+    items = table(spark, sf, "lineitem").where("l_shipdate > TIMESTAMP '1995-03-15'")
+    joined = customers.join(orders, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("l_orderkey", "o_orderdate").agg(_sum(_rev(), "revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
 @query("tpch_q5", f"""SELECT n_name, round(sum({_REV}), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
- JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""")
+ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01' GROUP BY n_name""")
 def tpch_q5(spark, sf):
     t = lambda n: table(spark, sf, n)
     joined = (
-        t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        t("customer").join(t("orders").where("o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01'"), F.col("c_custkey") == F.col("o_custkey"))
+        .join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
     return joined.groupBy("n_name").agg(_sum(_rev(), "revenue"))
 
@@ -292,20 +296,13 @@ def band_quantiles(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p(0.1, "p10"), p(0.5, "p50"), p(0.9, "p90"), F.round(F.avg((F.col("l_extendedprice") > 50000).cast("int")), 6).alias("share"))
 
 
-@query("lane_budget", """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_suppkey, n, 50.0::DOUBLE + s_suppkey % 7 AS rate FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey WHERE s_suppkey <= 10),
- f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS s_suppkey, 0::BIGINT AS cut, 30.0::DOUBLE AS rest UNION ALL SELECT d.i, d.s_suppkey, c, greatest(0, rest - c / rate) FROM f JOIN d ON d.i = f.i + 1, LATERAL (SELECT least(n, CAST(floor(rest * rate) AS BIGINT), CAST(ceil(n * 0.95::DOUBLE) AS BIGINT)) AS c))
+@query("lane_budget", """WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_suppkey, n, 50.0::DOUBLE + s_suppkey % 7 AS rate FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey),
+ f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS s_suppkey, 0::BIGINT AS cut, 30.0::DOUBLE AS rest UNION ALL SELECT d.i, d.s_suppkey, c, greatest(0, rest - c / rate) FROM f JOIN d ON d.i = f.i + 1, LATERAL (SELECT least(n, CAST(floor(rest * rate + 1e-9) AS BIGINT), CAST(ceil(n * 0.95::DOUBLE) AS BIGINT)) AS c))
  SELECT s_suppkey, cut FROM f WHERE i > 0""")
 def lane_budget(spark, sf):
-    """Domains share hours one after the other: an ordered fold over the small table of domains."""
-    n = table(spark, sf, "lineitem").where("l_suppkey <= 10").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    rows = n.select("s_suppkey", "n", (F.lit(50.0) + F.col("s_suppkey") % 7).alias("rate")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "n", "rate"))).alias("d"))
-    start = F.struct(F.lit(30.0).alias("rest"), F.array().cast("array<struct<s_suppkey:bigint,cut:bigint>>").alias("out"))
-
-    def step(acc, d):
-        cut = F.least(d["n"], F.floor(acc["rest"] * d["rate"]), F.ceil(d["n"] * F.lit(0.95)))
-        return F.struct(F.greatest(F.lit(0.0), acc["rest"] - cut / d["rate"]).alias("rest"), F.concat(acc["out"], F.array(F.struct(d["s_suppkey"].alias("s_suppkey"), cut.alias("cut")))).alias("out"))
-
-    return rows.select(F.explode(F.aggregate("d", start, step)["out"]).alias("o")).select("o.s_suppkey", "o.cut")
+    """Domains share hours one after the other."""
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return fusion.sequential_budget(n.withColumn("rate", F.lit(50.0) + F.col("s_suppkey") % 7), "s_suppkey", "n", "rate", 30.0, 0.95)
 
 
 @query("host_stats", "SELECT source, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY source")
