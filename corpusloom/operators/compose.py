@@ -127,16 +127,120 @@ def greedy_joint(rows: DataFrame, p: str, gold: Column) -> DataFrame:
     return lists.select("query_id", F.aggregate("ps", start, step)["k"].cast("long").alias("kept"))
 
 
-def validate_answers(rows: DataFrame, chunks: DataFrame, members: DataFrame) -> DataFrame:
-    """(rule, errors) of an answer: documents outside the corpus, repeated documents, passages of documents not listed, equal passages."""
+def chunk_list(ranked: DataFrame, k: int, listed: DataFrame | None = None, split: int = 0) -> DataFrame:
+    """(query_id, doc_id, place, added): the documents with text that a list of passages names, of ``ranked`` (query_id, doc_id, rank, has_text).
+
+    Without ``listed`` the first k.  With ``listed`` (query_id, doc_id) and no
+    ``split`` the first k that are listed.  With both, places up to ``split``
+    among the documents with text are free, and those after it, up to k, are
+    kept if they are listed; ``added`` marks what was not.
+    """
+    some = ranked.where("has_text")
+    if listed is not None:
+        known = listed.select("query_id", "doc_id").distinct().withColumn("_in", F.lit(True))
+        some = some.join(known, ["query_id", "doc_id"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+        if not split:
+            some = some.where("_in")
+    else:
+        some = some.withColumn("_in", F.lit(True))
+    placed = some.withColumn("place", F.row_number().over(per_query("rank", "doc_id")).cast("long")).where(F.col("place") <= k)
+    if split:
+        placed = placed.where(F.col("_in") | (F.col("place") <= split))
+    return placed.select("query_id", "doc_id", "place", (~F.col("_in")).alias("added"))
+
+
+def fill_missing(chunks: DataFrame, listed: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(query_id, doc_id, place): passages, then one for each listed document of a place up to ``most`` that has text and no passage yet."""
+    have = chunks.select("query_id", "doc_id").distinct()
+    lacking = listed.where(F.col("position") <= most).join(have, ["query_id", "doc_id"], "left_anti").join(texts.select("doc_id"), "doc_id", "left_semi")
+    last = chunks.groupBy("query_id").agg(F.max("place").alias("_last"))
+    added = lacking.withColumn("_n", F.row_number().over(per_query("position", "doc_id"))).join(last, "query_id", "left")
+    return chunks.select("query_id", "doc_id", "place").unionByName(added.select("query_id", "doc_id", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("long").alias("place")))
+
+
+def merge_keeping_order(base: DataFrame, extra: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, position): the k best of two scored lists; those of ``base`` keep their order, each new one stands before the first of them that scores less.
+
+    Inputs: (query_id, doc_id, score), ``base`` with its position too.
+    """
+    both = base.select("query_id", "doc_id", "score", "position").unionByName(extra.join(base, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "score", F.lit(None).cast("long").alias("position")))
+    best = both.withColumn("_r", F.row_number().over(per_query(F.col("score").desc(), "doc_id"))).where(F.col("_r") <= k)
+    held, new = best.where("position IS NOT NULL"), best.where("position IS NULL")
+    # both sides hold k rows of a query at most
+    before = new.select("query_id", "doc_id", F.col("score").alias("_s")).join(held.select("query_id", F.col("score").alias("_b"), F.col("position").alias("_p")), "query_id", "left")
+    place = before.groupBy("query_id", "doc_id").agg(F.min(F.when(F.col("_b") < F.col("_s"), F.col("_p"))).alias("_at"))
+    inserted = new.drop("position").join(place, ["query_id", "doc_id"]).select("query_id", "doc_id", "score", F.coalesce(F.col("_at") - 0.5, F.lit(1e15)).alias("_at"))
+    rows = held.select("query_id", "doc_id", "score", F.col("position").cast("double").alias("_at")).unionByName(inserted)
+    return rows.withColumn("position", F.row_number().over(per_query("_at", F.col("score").desc(), "doc_id")).cast("long")).select("query_id", "doc_id", "position")
+
+
+def lcs_pairs(rows: DataFrame, key: str, tokens: Column, share: float = 0.8) -> DataFrame:
+    """(a, b, lcs), a < b: rows that share a 2-gram and whose longest common subsequence covers ``share`` of the longer.
+
+    An LCS of L of n and m words has L - 1 neighbours, and each word outside it
+    parts one of them at most, so 3 L - n - m - 1 of the 2-grams are shared,
+    counted as often as they occur: 0.4 n - 1 at a share of 0.8.  So pairs are
+    sought only through the rarest 2-grams of each row, as many as cannot all be
+    missing; frequent ones are not joined on.  The ratio of lengths and the
+    words shared as multisets bound the LCS before it is worked out.
+    """
+    from .evaluate import lcs, overlap
+
+    words = rows.select(F.col(key).alias("id"), tokens.alias("w")).where(F.size("w") >= 2).withColumn("n", F.size("w"))
+    pairs_of = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, 2))))
+    one = words.select("id", "n", F.posexplode(pairs_of).alias("at", "g"))
+    one = one.withColumn("g", F.xxhash64("g", F.row_number().over(W.partitionBy("id", "g").orderBy("at")))).select("id", "n", "g")
+    held = one.join(one.groupBy("g").agg(F.count("*").alias("df")), "g")
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(3 * share - 2) * F.col("n") - 1e-9) - 1)
+    rare = held.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "g"))).where(F.col("r") <= F.col("n") - 1 - needed + 1).select("id", "n", "g")
+    left, right = (rare.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "g") for x in ("a", "b"))
+    longer, shorter = F.greatest("na", "nb"), F.least("na", "nb")
+    found = left.join(right, "g").where((F.col("a") < F.col("b")) & (shorter >= F.lit(share) * longer - 1e-9)).select("a", "b", "na", "nb").distinct()
+    of = lambda x: words.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    both = found.join(of("a"), "a").join(of("b"), "b").where(overlap("wa", "wb") >= F.lit(share) * longer - 1e-9)
+    return both.withColumn("lcs", lcs("wa", "wb")).where(F.col("lcs") >= F.lit(share) * longer - 1e-9).select("a", "b", "lcs")
+
+
+def cluster_impact(lists: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(query_id, docs, drops, adds): what folding clusters would take from each list, and what naming every member of theirs would add.
+
+    ``lists``: (query_id, doc_id); ``clusters``: (doc_id, cluster_id).  Sizes
+    of clusters are joined, not their members.
+    """
+    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("_size"))
+    of = lists.select("query_id", "doc_id").distinct().join(clusters, "doc_id", "left")
+    cluster = F.coalesce(F.col("cluster_id"), F.col("doc_id"))
+    per = of.groupBy("query_id", cluster.alias("cluster_id")).agg(F.count("*").alias("_held")).join(sizes, "cluster_id", "left")
+    return per.groupBy("query_id").agg(
+        F.sum("_held").alias("docs"), F.sum(F.col("_held") - 1).alias("drops"), F.sum(F.coalesce("_size", F.lit(1)) - F.col("_held")).alias("adds")
+    )
+
+
+def validate_answers(rows: DataFrame, chunks: DataFrame, members: DataFrame, texts: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """(rule, errors) of an answer (query_id, doc_id) with its passages (query_id, doc_id, chunk_text).
+
+    Documents that are null, outside the corpus or repeated; passages of
+    documents not listed, equal, nearly equal (LCS of 0.8 of the longer within
+    a document and query), or empty; with ``texts`` (doc_id, text), passages
+    that do not stand in their document word for word; with ``expected``
+    (query_id), queries without a row and rows of other queries.
+    """
     norm = X.metric_normal(F.col("chunk_text"))
+    numbered = chunks.where(F.col("chunk_text").isNotNull()).withColumn("_n", F.xxhash64("query_id", "doc_id", norm)).select("query_id", "doc_id", "_n", X.words(norm).alias("_w")).dropDuplicates(["_n"])
     checks: dict[str, DataFrame] = {
-        "not_a_member": rows.join(members, "doc_id", "left_anti"),
+        "not_a_number": rows.where("doc_id IS NULL OR query_id IS NULL"),
+        "not_a_member": rows.where("doc_id IS NOT NULL").join(members, "doc_id", "left_anti"),
         "repeated_document": rows.groupBy("query_id", "doc_id").count().where("count > 1"),
         "passage_of_unlisted_document": chunks.join(rows, ["query_id", "doc_id"], "left_anti"),
         "equal_passages": chunks.groupBy("query_id", "doc_id", norm.alias("k")).count().where("count > 1"),
+        "near_passages": _near_passages(numbered),
         "empty_passage": chunks.where(norm == ""),
     }
+    if texts is not None:
+        checks["not_verbatim"] = chunks.join(texts.select("doc_id", "text"), "doc_id").where("NOT contains(text, chunk_text)")
+    if expected is not None:
+        checks["query_without_row"] = expected.join(rows, "query_id", "left_anti")
+        checks["row_of_other_query"] = rows.join(expected, "query_id", "left_anti")
     out = None
     for rule, bad in checks.items():
         part = bad.agg(F.count("*").alias("errors")).select(F.lit(rule).alias("rule"), "errors")
@@ -144,6 +248,12 @@ def validate_answers(rows: DataFrame, chunks: DataFrame, members: DataFrame) ->
     return out
 
 
+def _near_passages(numbered: DataFrame) -> DataFrame:
+    found = lcs_pairs(numbered, "_n", F.col("_w"))
+    at = lambda x: numbered.select(F.col("_n").alias(x), F.col("query_id").alias(f"q{x}"), F.col("doc_id").alias(f"d{x}"))
+    return found.join(at("a"), "a").join(at("b"), "b").where("qa = qb AND da = db")
+
+
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, as often as it has them more."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))

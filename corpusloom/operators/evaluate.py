@@ -108,3 +108,23 @@ def recall_curve(df: DataFrame, order: list, relevant: str, fractions: list[floa
     """Share of the relevant rows among the first ceil(f n) in the order, for each fraction."""
     ranked = place(df, order, "i").select(F.col(relevant).alias("y"), "i").crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
     return ranked.agg(*[F.round(F.sum(F.when(F.col("i") <= F.ceil(F.lit(f) * F.col("n")), F.col("y"))) / F.sum("y"), 6).alias(f"recall_{round(f * 100)}") for f in fractions])
+
+
+def correlation_summary(df: DataFrame, a: str, b: str, query: str) -> DataFrame:
+    """One row: the rank correlation over all rows, and the mean and the 10 % quantile of those within each query."""
+    per = spearman(df, a, b, query)
+    within = per.agg(F.round(F.avg("rho"), 6).alias("mean"), F.round(F.percentile("rho", 0.1), 6).alias("p10"))
+    return spearman(df, a, b).select(F.col("rho").alias("overall")).crossJoin(within)
+
+
+def compare_strategies(df: DataFrame, strategies: list[str], group: str, relevant: str, fractions: list[float], key: str = "doc_id") -> DataFrame:
+    """(strategy, group, recall_...): the share of relevant rows among the first ceil(f n) of each group, for each score column.
+
+    Places are running totals over the sorted table, so no group is in one task.
+    """
+    long = df.select(key, group, F.col(relevant).alias("_y"), F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("v")) for s in strategies])).alias("s")).select(key, group, "_y", "s.*")
+    placed = place(long, ["strategy", group, F.col("v").desc(), key], "_i")
+    ends = placed.groupBy("strategy", group).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    rows = placed.join(F.broadcast(ends), ["strategy", group]).withColumn("_at", F.col("_i") - F.col("_first") + 1)
+    hits = [F.round(F.try_divide(F.sum(F.when(F.col("_at") <= F.ceil(F.lit(f) * F.col("_n")), F.col("_y")).otherwise(0)), F.sum("_y")), 6).alias(f"recall_{round(f * 100)}") for f in fractions]
+    return rows.groupBy("strategy", group).agg(*hits)

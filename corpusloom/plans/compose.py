@@ -129,15 +129,18 @@ def greedy_joint(spark, sf):
     return C.greedy_joint(pool(spark, sf), "p", F.sum("p").over(W.partitionBy("query_id")))
 
 
-@query("answer_validation", """WITH a AS (SELECT conv_id AS query_id, turn % 3 AS doc_id FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id AS query_id, turn % 4 AS doc_id, text AS chunk_text FROM conversations)
- SELECT 'not_a_member' AS rule, count(*) FILTER (WHERE doc_id NOT IN (0, 1)) AS errors FROM a UNION ALL SELECT 'repeated_document', count(*) FROM (SELECT 1 FROM a GROUP BY query_id, doc_id HAVING count(*) > 1)
+@query("answer_validation", """WITH a AS (SELECT conv_id AS query_id, turn % 3 AS doc_id FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id AS query_id, turn % 4 AS doc_id, text AS chunk_text FROM conversations), e AS (SELECT DISTINCT conv_id + conv_id % 2 * 100000 AS query_id FROM conversations)
+ SELECT 'not_a_member' AS rule, count(*) FILTER (WHERE doc_id NOT IN (0, 1)) AS errors FROM a UNION ALL SELECT 'not_a_number', 0 UNION ALL SELECT 'repeated_document', count(*) FROM (SELECT 1 FROM a GROUP BY query_id, doc_id HAVING count(*) > 1)
  UNION ALL SELECT 'passage_of_unlisted_document', count(*) FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.query_id = c.query_id AND a.doc_id = c.doc_id)
- UNION ALL SELECT 'equal_passages', count(*) FROM (SELECT 1 FROM c GROUP BY query_id, doc_id, trim(regexp_replace(lower(chunk_text), '\\s+', ' ', 'g')) HAVING count(*) > 1) UNION ALL SELECT 'empty_passage', count(*) FROM c WHERE trim(chunk_text) = ''""")
+ UNION ALL SELECT 'equal_passages', count(*) FROM (SELECT 1 FROM c GROUP BY query_id, doc_id, trim(regexp_replace(lower(chunk_text), '\\s+', ' ', 'g')) HAVING count(*) > 1) UNION ALL SELECT 'empty_passage', count(*) FROM c WHERE trim(chunk_text) = ''
+ UNION ALL SELECT 'not_verbatim', count(*) FROM c JOIN documents USING (doc_id) WHERE NOT contains(text, chunk_text) UNION ALL SELECT 'query_without_row', count(*) FROM e WHERE query_id NOT IN (SELECT query_id FROM a) UNION ALL SELECT 'row_of_other_query', count(*) FROM a WHERE query_id NOT IN (SELECT query_id FROM e)""")
 def answer_validation(spark, sf):
+    """All rules of an answer file but that of nearly equal passages, which is tested by itself."""
     rows = table(spark, sf, "conversations")
     a = rows.where("role = 'assistant'").select(F.col("conv_id").alias("query_id"), (F.col("turn") % 3).alias("doc_id"))
     c = rows.select(F.col("conv_id").alias("query_id"), (F.col("turn") % 4).alias("doc_id"), F.col("text").alias("chunk_text"))
-    return C.validate_answers(a, c, spark.createDataFrame([(0,), (1,)], "doc_id long"))
+    expected = rows.select((F.col("conv_id") + F.col("conv_id") % 2 * 100000).alias("query_id")).distinct()
+    return C.validate_answers(a, c, spark.createDataFrame([(0,), (1,)], "doc_id long"), table(spark, sf, "documents"), expected).where("rule <> 'near_passages'")
 
 
 @query("table_differences", "SELECT 'a' AS side, l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_quantity < 10 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity >= 40) UNION ALL SELECT 'b', l_partkey FROM (SELECT l_partkey FROM lineitem WHERE l_quantity >= 40 EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_quantity < 10)")

@@ -12,39 +12,47 @@ from ..streaming import flows as S
 from .registry import query, table
 
 
+def _folders(spark, name):
+    """Output and checkpoint folders of one call; a caller that wants to resume passes its own to ``streaming.flows``."""
+    root = Scratch(spark, "stream").root
+    return f"{root}/{name}", f"{root}/{name}-checkpoint"
+
+
 @query("stream_counts", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1")
 def stream_counts(spark, sf):
     events = S.source(spark, sf, "events.parquet")
-    return S.drain(events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value")), Scratch(spark, "stream"), "counts", "complete")
+    return S.drain(events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value")), *_folders(spark, "counts"), "complete")
 
 
 @query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf):
-    return S.drain(S.window_counts(S.source(spark, sf, "events.parquet"), "1 hour", "2 days"), Scratch(spark, "stream"), "windows", "complete")
+    return S.drain(S.window_counts(S.source(spark, sf, "events.parquet"), "1 hour", "2 days"), *_folders(spark, "windows"), "complete")
+
+
+@query("stream_closed_windows", "SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def stream_closed_windows(spark, sf):
+    """Only windows that the watermark has passed are given out, each once."""
+    return S.drain(S.window_counts(S.source(spark, sf, "events.parquet"), "1 hour", "2 days"), *_folders(spark, "closed"))
 
 
 @query("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, sf):
-    """Repeated deliveries are dropped: the stream is joined with itself twice, each event stays once."""
+    """Repeated deliveries are dropped: every event comes twice, and stays once."""
     events = S.source(spark, sf, "events.parquet")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return S.drain(S.exact_once(twice, ["event_id"], "90 days"), Scratch(spark, "stream"), "dedup").select("event_id", "user_id")
+    return S.drain(S.exact_once(twice, ["event_id"], "90 days"), *_folders(spark, "dedup")).select("event_id", "user_id")
 
 
 @query("stream_upsert_latest", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert_latest(spark, sf):
-    scratch = Scratch(spark, "stream")
-    write = S.upsert_into(scratch, "latest", ["user_id", "event_type"], "ts", "event_id")
     events = S.source(spark, sf, "events.parquet")
-    query_ = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.read.schema(events.schema).parquet(write.version["at"]).select("user_id", "event_type", "event_id")
+    return S.upsert(events, *_folders(spark, "latest"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
 @query("stream_error_streaks", """WITH g AS (SELECT user_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS island FROM events),
  s AS (SELECT user_id, count(*) AS n FROM g WHERE bad GROUP BY user_id, island) SELECT e.user_id, coalesce(max(n), 0) AS longest FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN s ON e.user_id = s.user_id GROUP BY 1""")
 def stream_error_streaks(spark, sf):
-    found = S.drain(S.streaks(S.source(spark, sf, "events.parquet")), Scratch(spark, "stream"), "streaks", "update")
+    found = S.drain(S.streaks(S.source(spark, sf, "events.parquet")), *_folders(spark, "streaks"), "update")
     return found.groupBy("user_id").agg(F.max("longest").alias("longest"))
 
 

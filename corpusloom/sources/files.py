@@ -116,6 +116,57 @@ def read_answer_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+_DOCS = r'"relevant_docs"\s*:\s*\[([^\]]*)\]'
+
+
+def answer_spans(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Answer lines with ``id``, ``docs`` and the literal of the document list with its place in the line (from 1): spans that a rewrite may touch."""
+    literal = F.regexp_extract(line, _DOCS, 1)
+    head = F.regexp_extract(line, r'(?s)^(.*?"relevant_docs"\s*:\s*\[)', 1)
+    return lines.select(
+        F.regexp_extract(line, r'"id"\s*:\s*(-?\d+)', 1).cast("long").alias("id"), F.col(line),
+        F.transform(F.filter(F.split(literal, r"\s*,\s*"), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long")).alias("docs"),
+        (F.length(head) + 1).cast("long").alias("start"), F.length(literal).cast("long").alias("length"),
+    )
+
+
+def filter_answers(lines: DataFrame, members: DataFrame, dropped: DataFrame | None = None, line: str = "line") -> DataFrame:
+    """(id, line): documents that are no ``members`` (doc_id), or are ``dropped``, go from each list; every other byte of the line stays."""
+    spans = answer_spans(lines, line)
+    flat = spans.select("id", F.posexplode("docs").alias("at", "doc_id")).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    if dropped is not None:
+        flat = flat.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = flat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda s: s["doc_id"].cast("string")).alias("kept"))
+    whole = spans.join(kept, "id", "left")
+    same = F.size(F.coalesce("kept", F.array())) == F.size("docs")
+    cut = F.concat(F.expr(f"substr({line}, 1, start - 1)"), F.array_join(F.coalesce("kept", F.array().cast("array<string>")), ","), F.expr(f"substr({line}, start + length)"))
+    return whole.select("id", F.when(same, F.col(line)).otherwise(cut).alias("line"))
+
+
+def inventory(spark: SparkSession, path: str, categories: list[tuple[str, str]]) -> DataFrame:
+    """(category, files, bytes, digest) of a folder: a file's category is that of the first pattern that its path matches; the digest covers names and contents."""
+    name = F.expr("substring_index(path, '/', -1)")
+    kind = F.lit("other")
+    for category, pattern in categories[::-1]:
+        kind = F.when(F.col("path").rlike(pattern), category).otherwise(kind)
+    rows = digests(spark, path).select(kind.alias("category"), "length", F.sha2(F.concat_ws(":", name, "sha256"), 256).alias("one"))
+    return rows.groupBy("category").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.expr("bit_xor(xxhash64(one))").alias("digest"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(url, status, type, body) of archived responses, one record a file."""
+    from ..operators.passages import parse_response_record
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [parse_response_record(c.as_py()) for c in batch.column(0)]
+            kinds = {"url": pa.string(), "status": pa.int32(), "type": pa.string(), "body": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], list(kinds))
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return raw.mapInArrow(run, "url string, status int, type string, body binary")
+
+
 def merge_rows(state: DataFrame, updates: DataFrame, keys: list[str], time: str) -> DataFrame:
     """A keyed table after updates: the newest row of each key stays, on equal times the update."""
     w = F.struct(F.col(time), F.col("_new"))
