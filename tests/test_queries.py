@@ -1,5 +1,6 @@
 """Every registered query of the library against its DuckDB SQL."""
 
+import os
 import re
 
 import pytest
@@ -20,9 +21,10 @@ def test_equals_sql(spark, con, name):
     oracle.same(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_a_brute_force_test():
+    with open(os.path.join(os.path.dirname(__file__), "test_brute.py"), encoding="utf-8") as f:
+        tests = f.read()
+    assert [n for n in sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)) if f'"{n}"' not in tests] == []
 
 
 def test_names_are_plain():
