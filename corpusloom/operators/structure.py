@@ -52,7 +52,7 @@ def blocks_of(text: str) -> list[Block]:
 def sections_of(blocks: list[Block]) -> list[list[Block]]:
     """A heading opens a section; headings that follow one another open it together."""
     opens = [i for i, b in enumerate(blocks) if i == 0 or (b.kind == "heading" and blocks[i - 1].kind != "heading")]
-    return [blocks[i:j] for i, j in zip(opens, [*opens[1:], len(blocks)], strict=True)]
+    return [blocks[i:j] for i, j in itertools.pairwise([*opens, len(blocks)])]
 
 
 class Packed:
