@@ -375,3 +375,67 @@ def recall_at(ranked: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
     total = gold.select("query_id").distinct().agg(F.count("*").alias("n"))
     found = hits.agg(*[F.count_if(F.col("first") <= k).alias(f"h{k}") for k in ks]).crossJoin(total)
     return found.select(*[F.round(F.col(f"h{k}") / F.col("n"), 6).alias(f"recall_{k}") for k in ks])
+
+
+def quantised_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", shortlist: int = 8) -> DataFrame:
+    """Top k by cosine over vectors of one byte a dimension, ``shortlist`` times k of them compared exactly: (query_id, doc_id, score, position).
+
+    The scale of a dimension comes from its extremes over all rows.  Queries and
+    rows are of one length; the codes are written and read once for each block
+    of queries.
+    """
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "codes")
+    all_ = scratch.save(vectors(rows, key, vector).withColumn("v", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))), "rows")
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                low, high = (x.min(0), x.max(0)) if low is None else (np.minimum(low, x.min(0)), np.maximum(high, x.max(0)))
+        n = 0 if low is None else len(low)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(low if n else [], pa.float64()), pa.array(high if n else [], pa.float64())], ["i", "low", "high"])
+
+    ends = all_.select("v").mapInArrow(extremes, "i long, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("i").collect()
+    low, step = np.array([r.low for r in ends]), np.array([max(r.high - r.low, 1e-12) / 255 for r in ends])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            codes = np.clip(np.round((x - low) / step), 0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
+
+    coded = scratch.save(all_.mapInArrow(code, "id long, code binary"), "codes")
+
+    def search(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        q = _unit(q)
+        sent = spark.sparkContext.broadcast((ids, (q * step).astype(np.float32), (q @ low).astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, scaled, base = sent.value
+            scores, docs = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    scores = np.concatenate([scores, scaled @ codes.T.astype(np.float32) + base[:, None]], axis=1)
+                    docs = np.concatenate([docs, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
+                    scores, docs = _keep_best(scores, docs, k * shortlist)
+            n = scores.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(docs.ravel()), pa.array(scores.ravel().astype(np.float64))], ["query_id", "doc_id", "score"])
+
+        return coded.mapInArrow(run, "query_id long, doc_id long, score double")
+
+    asked = vectors(queries, key, vector)
+    found = _merged(spark, (search(ids, q) for ids, q in _vector_blocks(asked)), scratch, "query_id long, doc_id long, score double")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    short = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k * shortlist).select("query_id", "doc_id")
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
+    exact = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 9)
+    met = short.join(all_.withColumnRenamed("id", "doc_id"), "doc_id").join(asked.select(F.col("id").alias("query_id"), unit("v").alias("q")), "query_id")
+    return met.select("query_id", "doc_id", exact.alias("score")).withColumn("position", F.row_number().over(best).cast("long")).where(F.col("position") <= k)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, budget: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Top k by cosine: exact while the vectors take at most ``budget`` bytes as floats, by codes of one byte a dimension beyond it."""
+    size = vectors(rows, key, vector).agg(F.coalesce(F.sum(F.size("v") * 4), F.lit(0))).first()[0]
+    return dense_topk(rows, queries, k, key, vector) if size <= budget else quantised_topk(rows, queries, k, key, vector)

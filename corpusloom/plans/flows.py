@@ -99,7 +99,7 @@ def chunk_pack(spark, sf):
     """Spans of about 128 words with their texts; every span stands in its document at its place."""
     spans = P.chunk_column(table(spark, sf, "documents").select("doc_id", "text"), "text", 128)
     rows = spans.select("doc_id", "text", F.posexplode("chunks").alias("chunk", "s"))
-    return rows.select("doc_id", "chunk", "s.start", "s.stop", F.expr("substr(text, s.start + 1, s.stop - s.start)").alias("passage"))
+    return rows.select("doc_id", "chunk", "s.field", "s.start", "s.stop", F.expr("substr(text, s.start + 1, s.stop - s.start)").alias("passage"))
 
 
 @query("html_extract")

@@ -346,6 +346,16 @@ def test_vector_search_leaves_out_what_is_no_vector(spark, monkeypatch):
     assert retrieval.dense_topk(df, df.limit(0), 2).count() == 0
 
 
+def test_search_by_codes_is_nearly_exact(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = rows.where("vec_id % 25 = 0")
+    exact = {(r.query_id, r.doc_id): r.score for r in retrieval.search(rows, asked, 10, budget=1 << 40).collect()}
+    coded = {(r.query_id, r.doc_id): r.score for r in retrieval.search(rows, asked, 10, budget=1000).collect()}
+    assert len(coded) == len(exact) and len(exact.keys() & coded.keys()) >= 0.99 * len(exact)
+    assert all(coded[k] == pytest.approx(exact[k], abs=1e-6) for k in exact.keys() & coded.keys())
+    assert retrieval.search(rows.limit(0), asked, 10, budget=1).count() == 0
+
+
 def test_many_near_copies_are_one_cluster_without_all_pairs(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(k, " ".join(w if i != k % 100 else f"n{k}" for i, w in enumerate(base))) for k in range(5000)]
