@@ -26,7 +26,7 @@ from ..functions import text as X
 from ..sources.scratch import Scratch
 from . import graph
 from .grams import grams, lists, word_hashes
-from .skew import join_counted
+from .skew import join_counted, spread
 
 SHINGLE, SIMILARITY, MIN_WORDS = 5, 0.8, 50
 PERMUTATIONS, BANDS = 128, 32
@@ -60,7 +60,7 @@ def _signature(found: np.ndarray) -> np.ndarray:
 def _hashed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """(doc_id, w, ...): hashes of the words of the normalised texts that have enough words."""
     words = word_hashes(X.words(X.metric_normal(F.coalesce(F.col(text), F.lit("")))))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), words.alias("w"), *more).where((F.size("w") >= MIN_WORDS) & F.col("doc_id").isNotNull())
+    return spread(docs.select(key, text)).select(F.col(key).cast("long").alias("doc_id"), words.alias("w"), *more).where((F.size("w") >= MIN_WORDS) & F.col("doc_id").isNotNull())
 
 
 def banded(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..sources.scratch import Scratch
 from .grams import grams, lists, word_hashes
+from .skew import spread
 
 K1, B = 1.2, 0.75
 #: Query vectors, and queries of words, that are sent to the workers at a time.
@@ -86,7 +87,7 @@ def postings(docs: DataFrame, key: str, tokens: Column, terms: list[str], scratc
                 ["doc_id", "dl", "ids", "tfs"],
             )
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), F.coalesce(tokens, F.array().cast("array<string>")))
+    rows = spread(docs.where(F.col(key).isNotNull())).select(F.col(key).cast("long"), F.coalesce(tokens, F.array().cast("array<string>")))
     return scratch.save(rows.mapInArrow(run, "doc_id long, dl long, ids array<int>, tfs array<int>"), name)
 
 
@@ -190,7 +191,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
         idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), mean or 1.0
         return lambda ids, tf, dl: idf[ids] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
-    return _word_search(docs, term_weights(queries, query_key, tokens, lambda n: F.lit(1.0)), key, tokens, k, weigher)
+    return _word_search(docs.select(key, text), term_weights(queries, query_key, tokens, lambda n: F.lit(1.0)), key, tokens, k, weigher)
 
 
 def sparse_products(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", k: int = 20) -> DataFrame:
@@ -199,7 +200,7 @@ def sparse_products(docs: DataFrame, queries: DataFrame, key: str = "doc_id", te
     Only terms of the queries are looked at; a document without any is not ranked.
     """
     tokens = X.words(F.col(text))
-    return _word_search(docs, term_weights(queries, query_key, tokens, lambda n: F.log(1 + n)), key, tokens, k, lambda post, terms: lambda ids, tf, dl: np.log(1 + tf))
+    return _word_search(docs.select(key, text), term_weights(queries, query_key, tokens, lambda n: F.log(1 + n)), key, tokens, k, lambda post, terms: lambda ids, tf, dl: np.log(1 + tf))
 
 
 def containment(docs: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
@@ -209,7 +210,7 @@ def containment(docs: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
     query has are counted where the text is read, and nothing is shuffled.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "grams")
-    hashed = lambda df, key: df.select(F.col(key).cast("long"), word_hashes(X.words(F.col("text"))).alias("w")).where(F.col(key).isNotNull() & F.col("w").isNotNull())
+    hashed = lambda df, key: spread(df.select(key, "text")).select(F.col(key).cast("long"), word_hashes(X.words(F.col("text"))).alias("w")).where(F.col(key).isNotNull() & F.col("w").isNotNull())
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,5 +22,7 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str
     return at_home.unionByName(moved.select(*rows.columns, *values))
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has no more partitions than there are, as a table of one file has; a larger one stays where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
