@@ -18,9 +18,10 @@ the start.
 
 Crowds: a node that finds more than ``CROWD`` near ones behind it in a bucket
 goes on with the first ``STEP`` in the order of the next two blocks, so pairs
-grow with the members and not with their square.  A crowd is found whole if
-chains join it; that is likely (192 buckets, each with its own order) and not
-certain.
+grow with the members and not with their square.  The pairs of the first
+dealing are decided first; of the other dealings only pairs are decided that
+their links have not joined yet.  A crowd is found whole if chains join it; that
+is likely (192 buckets, each with its own order) and not certain.
 
 Defined results: words are what white space separates, A-Z in lower case; a
 text of fewer than five words is one shingle; null and texts without words
@@ -202,16 +203,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` that ``roots`` (node, root) does not join."""
+    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
+    met = pairs.join(left, "a", "left").join(right, "b", "left")
+    return met.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+
+
 def links(df: DataFrame, rows: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between the nodes of ``rows``, the banded rows of ``df`` whose shingle sets have at least the Jaccard ``similarity``."""
+    """Edges (a, b) between the nodes of ``rows``, the banded rows of ``df``, that join what links of at least the Jaccard ``similarity`` join."""
     name = F.struct(F.col(named_rows.KEY).isNull(), named_rows.KEY, named_rows.HASH)
     nodes = rows.groupBy(F.col("_loom_node").alias("node")).agg(F.first("_loom_bands").alias("bands"), F.min_by(F.struct(named_rows.KEY, named_rows.HASH), name).alias("row"))
     nodes = scratch.save(nodes, "nodes")
-    pairs = scratch.save(reduce(DataFrame.unionByName, _pairs(nodes, scratch)).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row.*"), "node")
+    first, *more = _pairs(nodes, scratch)
+    rest = reduce(DataFrame.unionByName, more)
+    asked = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row.*"), "node")
     asked = scratch.save(asked.select(named_rows.KEY, named_rows.HASH, F.lit(1).alias(named_rows.COPIES)), "asked")
     sets = scratch.save(_sets(named_rows.keep(df, asked, key), text), "sets").dropDuplicates(["node"])
-    return scratch.save(_alike(pairs, sets, similarity), "links")
+    found = scratch.save(_alike(first, sets, similarity), "links0")
+    roots = components(found, Scratch(df.sparkSession, "similar"))
+    rest = scratch.save(_apart(rest.distinct(), roots), "apart")
+    return scratch.save(_alike(rest, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

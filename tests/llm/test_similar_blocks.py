@@ -46,3 +46,12 @@ def test_candidates_are_the_near_fingerprints_of_a_bucket(spark):
     nodes = spark.createDataFrame(rows, "node long, bands array<long>")
     for deal in (0, similar.DEALS - 1):
         assert {tuple(r) for r in similar.candidates(nodes, [deal]).collect()} == near
+
+
+def test_pairs_that_links_join_already_are_not_decided_again(spark, monkeypatch):
+    decided, alike = [], similar._alike
+    monkeypatch.setattr(similar, "_alike", lambda pairs, *rest: decided.append(pairs.count()) or alike(pairs, *rest))
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join(w if i != k else f"n{k}" for i, w in enumerate(base))) for k in range(200)]
+    assert [r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert len(decided) == 2 and decided[0] > 0 and decided[1] == 0
