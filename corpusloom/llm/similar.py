@@ -9,19 +9,28 @@ a Jaccard of 0.8 have a cosine of 0.89 or more and so differ in at most 15 % of
 the bits by average; in 64 bits that is up to 16, in 512 the share hardly strays.
 
 Candidates: the 512 bits are dealt six times, each time otherwise, into 32
-blocks of 16.  Texts that agree on a block meet in its bucket, each with all
-others there, and go on if at most ``FAR`` of 192 bits differ.  Texts within 31
-bits share a block for certain.  By the binomial law of independent bits a pair
-at 0.8 shares one of the 192 blocks with a chance of 0.9999, more above, and
-fails the 192 bits with a chance of 1e-8.  Texts of equal sets are one node from
-the start.
-
-Crowds: a node that finds more than ``CROWD`` near ones behind it in a bucket
-goes on with the first ``STEP`` in the order of the next two blocks, so pairs
-grow with the members and not with their square.  The pairs of the first
-dealing are decided first; of the other dealings only pairs are decided that
-their links have not joined yet.  A crowd is found whole if chains join it; that
-is likely (192 buckets, each with its own order) and not certain.
+blocks of 16.  Texts that agree on a block meet in its bucket and go on if at most
+``FAR`` of 192 bits differ there, and at most ``FAR_ALL`` of all.  Texts within
+31 bits share a block for certain.  By the binomial law of independent bits a
+pair at 0.8 shares one of the 192 blocks with a chance of 0.9999, more above,
+fails the 192 bits with a chance of 1e-8 and all bits with one of 1e-9.  Texts
+of equal sets are one node from the start.
+
+Sketch: 1024 bits, each whether an odd number of the set's hashes falls on it.
+Sets differ in at least as many hashes as their sketches in bits, so a pair whose
+sketches differ in more than a Jaccard of 0.8 allows is no link for certain.
+
+Crowds: first come chains.  In the buckets of the first dealing a node looks at
+the next ``CROWD`` rows in the order of the next two blocks and goes on with the
+first ``STEP`` near ones, so pairs grow with the members.  What their links join
+is a component, and components enter the buckets of all dealings.  There it is
+asked which nodes are near one of another component; these enter once more with
+their sketches, and every pair of two components that is near and that the
+sketches allow is decided.  So no near pair is left out but those that are joined
+already or are no links for certain, however large a bucket is.  What is
+compared inside a bucket grows with its square; the pairs that leave it do so
+only for crowds of long texts, which the sketch does not tell apart (at 2,000
+shingles any two).
 
 Defined results: words are what white space separates, A-Z in lower case; a
 text of fewer than five words is one shingle; null and texts without words
@@ -32,12 +41,13 @@ with one; of rows equal in all columns one stays; reruns agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +61,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCK = 512, 16
 BLOCKS, DEALS = BITS // BLOCK, 6
 BANDS = DEALS * BLOCKS
-#: Words of the fingerprint that are compared in a bucket, and the most bits that may differ there.
-WORDS, FAR = 3, 61
+#: Words of the fingerprint that are compared in a bucket, the most bits that may differ there, and of all bits.
+WORDS, FAR, FAR_ALL = 3, 61, 128
+#: In chains: the rows behind it that a node looks at, and the near ones it goes on with.
 CROWD, STEP = 32, 2
+#: Bits of a sketch, a power of two; what is kept of it: the set's size and the words.
+ODD = 1024
+ODD_NAMES = ["size", *(f"o{k}" for k in range(ODD // 64))]
 #: Rows that a task compares at a time, and rows in an Arrow batch of blocks.
 CHUNK, ENTRY_ROWS = 1 << 16, 10_000
 _RNG = np.random.default_rng(11)
@@ -83,18 +97,23 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums.ravel() > 255 * len(hashes), bitorder="little").view(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The size of a shingle set, then the words of its sketch."""
+    odd = np.bincount((hashes & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD) & 1
+    return np.append(np.int64(len(hashes)), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+
+
 def _with_bands(df: DataFrame, text: str) -> DataFrame:
-    """The columns but ``text``, with _loom_node (hash of the shingle set) and _loom_bands (its fingerprint).  A narrow map."""
+    """The columns but ``text``, with _loom_node (hash of the shingle set), _loom_bands (its fingerprint) and _loom_odd (its sketch).  A narrow map."""
     small_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType([*keep, T.StructField("_loom_node", T.LongType()), T.StructField("_loom_bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*keep, T.StructField("_loom_node", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("_loom_bands", "_loom_odd"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(map(_node, sets), pa.int64()), pa.array([fingerprint(s) for s in sets], pa.list_(pa.int64()))], schema.names
-            )
+            made = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (fingerprint, odd_sketch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(map(_node, sets), pa.int64()), *made], schema.names)
 
     return df.select(*(f.name for f in keep), text).mapInArrow(run, schema)
 
@@ -114,51 +133,78 @@ def _sets(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "node long, grams array<long>")
 
 
-def _entries(nodes: DataFrame, deals: list[int]) -> DataFrame:
-    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, the words to compare."""
+def _entries(nodes: DataFrame, deals: list[int], sketched: bool) -> DataFrame:
+    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch."""
+    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(1).flatten().to_numpy().reshape(-1, BITS // 64)
+            prints = batch.column(2).flatten().to_numpy().reshape(-1, BITS // 64)
+            odd = batch.column(3).flatten().to_numpy().reshape(-1, len(ODD_NAMES)).T if sketched else []
             bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+            same = [*(batch.column(k).to_numpy() for k in range(2)), *prints.T[:WORDS], *odd]
             for deal in deals:
                 dealt = np.packbits(bits.take(_DEALT[deal], axis=1), axis=1, bitorder="little").view(np.uint16).astype(np.int64)
                 table = np.arange(deal * BLOCKS, (deal + 1) * BLOCKS, dtype=np.int64) << 48
                 slot = table | dealt << 32 | np.roll(dealt, -1, axis=1) << 16 | np.roll(dealt, -2, axis=1)
-                columns = [slot.ravel(), np.repeat(batch.column(0).to_numpy(), BLOCKS), *(np.repeat(prints[:, k], BLOCKS) for k in range(WORDS))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["slot", "node", *(f"w{k}" for k in range(WORDS))])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot.ravel(), *(np.repeat(c, BLOCKS) for c in same))], names)
+
+    root = "root" if "root" in nodes.columns else F.col("node").alias("root")
+    return nodes.select("node", root, "bands", *(["odd"] if sketched else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _starts(bucket: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of each row, sorted by bucket and root, the first row behind those of its own bucket and root."""
+    last = np.append(np.flatnonzero((bucket[1:] != bucket[:-1]) | (root[1:] != root[:-1])), len(bucket) - 1)
+    return last[np.searchsorted(last, np.arange(len(bucket)))] + 1
 
-    return nodes.select("node", "bands").mapInArrow(run, "slot long, node long, " + ", ".join(f"w{k} long" for k in range(WORDS)))
 
+def _near(slot: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray, odd: np.ndarray, how: str, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near ones of whole buckets: ``pairs``, ``chain`` (of each row the first) or ``ends`` (each row that is in a pair, with itself).
 
-def _near(slot: np.ndarray, node: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The near ones of whole buckets, rows sorted by ``slot``; ``words`` unsigned, for of signed ones NumPy counts the bits of the magnitude."""
+    In chains rows are sorted by ``slot`` and meet those behind them, else by bucket and ``root`` and meet those behind their own root's.  ``words`` and ``odd``,
+    the sketches if there are any, are unsigned, for of signed ones NumPy counts the bits of the magnitude.
+    """
     bucket = slot >> 32
     ends = np.searchsorted(bucket, bucket, "right")
-    met = np.zeros(len(slot), np.int32)
+    start = np.arange(1, len(slot) + 1) if how == "chain" else _starts(bucket, root)
+    met = np.zeros(len(slot), np.int64)
     for at in range(0, len(slot), CHUNK):
-        one, other, step = [], [], 1
+        one, other, held = [], [], 0
         rows = np.arange(at, min(at + CHUNK, len(slot)))
-        while len(rows := rows[(rows + step < ends[rows]) & (met[rows] <= CROWD)]):
-            near = rows[np.bitwise_count(words[rows] ^ words[rows + step]).sum(axis=1) <= FAR]
-            met[near] += 1
-            one.append(near)
-            other.append(near + step)
-            step += 1
-        if one:
-            one, other = np.concatenate(one), np.concatenate(other)
-            order = np.argsort(one, kind="stable")
-            one, other = one[order], other[order]
-            rank = np.arange(len(one)) - np.searchsorted(one, one)
-            stay = (met[one] <= CROWD) | (rank < STEP)
-            yield node[one[stay]], node[other[stay]]
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in range(CROWD) if how == "chain" else count():
+            rows = rows[start[rows] + step < ends[rows]]
+            rows = rows[met[rows] < STEP] if how == "chain" else rows
+            if not len(rows):
+                break
+            near = np.flatnonzero(np.bitwise_count(words[rows] ^ words[start[rows] + step]).sum(axis=1) <= FAR)
+            x, y = rows[near], start[rows[near]] + step
+            met[x] += 1
+            if how == "ends":
+                met[y] += 1
+                continue
+            if odd.shape[1]:
+                differ = np.bitwise_count(odd[x, 1:] ^ odd[y, 1:]).sum(axis=1)
+                stay = differ * (1 + similarity) <= (odd[x, 0] + odd[y, 0]) * (1 - similarity) + 1e-6
+                x, y = x[stay], y[stay]
+            one.append(node[x])
+            other.append(node[y])
+            held += len(x)
+            if held >= CHUNK:
+                yield np.concatenate(one), np.concatenate(other)
+                one, other, held = [], [], 0
+        if held:
+            yield np.concatenate(one), np.concatenate(other)
+    if how == "ends":
+        yield node[met > 0], node[met > 0]
+
+
+def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Iterator[pa.RecordBatch]:
     held, size, enough = [], 0, CHUNK
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for x, y in _near(rows[0], rows[1], np.stack(rows[2:], axis=1).view(np.uint64)):
+        words, odd = (np.stack(c, axis=1).view(np.uint64) if c else np.zeros((len(rows[0]), 0), np.uint64) for c in (rows[3 : 3 + WORDS], rows[3 + WORDS :]))
+        for x, y in _near(*rows[:3], words, odd, how, similarity):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     for batch in batches:
@@ -174,24 +220,47 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def candidates(nodes: DataFrame, deals: list[int] | None = None) -> DataFrame:
-    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint) that share a block and are near, in crowds only neighbours."""
-    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals)
-    return entries.repartition(F.shiftright("slot", 32)).sortWithinPartitions("slot", "node").mapInArrow(_meet, "a long, b long").distinct()
+def candidates(nodes: DataFrame, deals: list[int] | None = None, how: str = "pairs", similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it) that share a block and are near.
 
+    ``how``: all ``pairs`` of two roots, a ``chain`` of them, or the ``ends`` of all pairs of two roots, each with itself.
+    """
+    bucket = F.shiftright("slot", 32)
+    order = ["slot", "node"] if how == "chain" else [bucket, "root", "node"]
+    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, how == "pairs" and "odd" in nodes.columns)
+    return entries.repartition(bucket).sortWithinPartitions(*order).mapInArrow(partial(_meet, how=how, similarity=similarity), "a long, b long").distinct()
 
-def _pairs(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The candidates of each dealing, one dealing after the other, so that only one lies in the shuffle."""
+
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle when its plan is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _pairs(nodes: DataFrame, scratch: Scratch, name: str, deals: list[int], how: str, similarity: float) -> DataFrame:
+    """The candidates of ``deals``, one dealing after the other, so that only one lies in the shuffle."""
     spark, setting, out = nodes.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", []
     before = spark.conf.get(setting)
     spark.conf.set(setting, str(ENTRY_ROWS))
     try:
-        for deal in range(DEALS):
-            out.append(scratch.save(candidates(nodes, [deal]), f"pairs{deal}"))
-            spark.sparkContext._jvm.System.gc()  # Spark deletes the files of a shuffle when its plan is collected
+        for deal in deals:
+            out.append(scratch.save(candidates(nodes, [deal], how, similarity), f"{name}{deal}"))
+            _forget_shuffles(spark)
     finally:
         spark.conf.set(setting, before)
-    return out
+    return reduce(DataFrame.unionByName, out)
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose fingerprints differ in at most ``FAR_ALL`` bits and whose sketches allow a link."""
+    left, right = (nodes.select(F.col("node").alias(end), F.struct("bands", "odd").alias(of)) for end, of in (("a", "x"), ("b", "y")))
+
+    def differ(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, bits: total + bits)
+
+    words = [F.slice(f"{of}.odd", 2, ODD // 64) for of in "xy"]
+    allowed = differ(*words) * F.lit(1 + similarity) <= (F.col("x.odd")[0] + F.col("y.odd")[0]) * F.lit(1 - similarity) + F.lit(1e-6)
+    met = pairs.distinct().join(left, "a").join(right, "b")
+    return met.where((differ(F.col("x.bands"), F.col("y.bands")) <= FAR_ALL) & allowed).select("a", "b")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -203,27 +272,37 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The ``pairs`` that ``roots`` (node, root) does not join."""
-    left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
-    met = pairs.join(left, "a", "left").join(right, "b", "left")
-    return met.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
-
-
 def links(df: DataFrame, rows: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between the nodes of ``rows``, the banded rows of ``df``, that join what links of at least the Jaccard ``similarity`` join."""
     name = F.struct(F.col(named_rows.KEY).isNull(), named_rows.KEY, named_rows.HASH)
-    nodes = rows.groupBy(F.col("_loom_node").alias("node")).agg(F.first("_loom_bands").alias("bands"), F.min_by(F.struct(named_rows.KEY, named_rows.HASH), name).alias("row"))
+    firsts = [F.first(f"_loom_{c}").alias(c) for c in ("bands", "odd")]
+    nodes = rows.groupBy(F.col("_loom_node").alias("node")).agg(*firsts, F.min_by(F.struct(named_rows.KEY, named_rows.HASH), name).alias("row"))
     nodes = scratch.save(nodes, "nodes")
-    first, *more = _pairs(nodes, scratch)
-    rest = reduce(DataFrame.unionByName, more)
-    asked = first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row.*"), "node")
-    asked = scratch.save(asked.select(named_rows.KEY, named_rows.HASH, F.lit(1).alias(named_rows.COPIES)), "asked")
-    sets = scratch.save(_sets(named_rows.keep(df, asked, key), text), "sets").dropDuplicates(["node"])
-    found = scratch.save(_alike(first, sets, similarity), "links0")
-    roots = components(found, Scratch(df.sparkSession, "similar"))
-    rest = scratch.save(_apart(rest.distinct(), roots), "apart")
-    return scratch.save(_alike(rest, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+
+    def sets_of(asked: DataFrame, k: int) -> DataFrame:
+        asked = asked.join(nodes.select("node", "row.*"), "node").select(named_rows.KEY, named_rows.HASH, F.lit(1).alias(named_rows.COPIES))
+        found = scratch.save(_sets(named_rows.keep(df, scratch.save(asked, f"asked{k}"), key), text), f"sets{k}")
+        _forget_shuffles(df.sparkSession)
+        return found.dropDuplicates(["node"])
+
+    chains = scratch.save(_close(_pairs(nodes, scratch, "chain", [0], "chain", similarity), nodes, similarity), "chains")
+    sets = sets_of(_ends(chains), 0)
+    roots = components(scratch.save(_alike(chains, sets, similarity), "links0"), Scratch(df.sparkSession, "similar"))
+    rooted = scratch.save(nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    _forget_shuffles(df.sparkSession)
+    deals = list(range(DEALS))
+    met = _pairs(rooted, scratch, "met", deals, "ends", similarity)
+    met = scratch.save(rooted.join(met.select(F.col("a").alias("node")).distinct(), "node"), "met")
+    rest = scratch.save(_close(_pairs(met, scratch, "pairs", deals, "pairs", similarity), met, similarity), "rest")
+    sets = sets.unionByName(sets_of(_ends(rest).join(_ends(chains), "node", "left_anti"), 1))
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = scratch.save(_alike(rest, sets, similarity).unionByName(joined), "links")
+    _forget_shuffles(df.sparkSession)
+    return found
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -232,5 +311,5 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     slim = named_rows.named(df, key).select(named_rows.KEY, named_rows.HASH, F.col(text).alias("_loom_text"))
     rows = scratch.save(_with_bands(slim, "_loom_text"), "rows")
     roots = components(links(df, rows, key, text, scratch, similarity), scratch)
-    labelled = rows.drop("_loom_bands").join(roots, F.col("_loom_node") == roots.node, "left").withColumn("_loom_root", F.coalesce("root", "_loom_node"))
+    labelled = rows.drop("_loom_bands", "_loom_odd").join(roots, F.col("_loom_node") == roots.node, "left").withColumn("_loom_root", F.coalesce("root", "_loom_node"))
     return named_rows.keep(df, scratch.save(first_of_each(labelled, "_loom_root", "_loom_node"), "chosen"), key)
