@@ -16,6 +16,12 @@ over the small table of parts, which has at most 3 x 4,096 rows for a source
 and 4,096 for the queue, however many documents there are.  Targets are worked
 out in one task over one row for each source.
 
+Where the mix is applied to documents, texts stay where they lie: of each part
+of a source almost all documents are taken equally often, so one broadcast row a
+part says how often, and the names of the others, which the queue's cuts and
+gaps make, are broadcast too.  Only if both are more than ``MAX_RULES`` rows are
+texts dealt by name instead.
+
 Defined results: null text has size 0; documents of size 0 take nothing; null
 source is a source, the last one; targets of an empty corpus are 0; repeated
 rows are documents of their own; ties go by source, round, hash, id and size;
@@ -24,7 +30,7 @@ reruns agree, for nothing depends on the order of the input rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -38,6 +44,8 @@ MAX_COPIES = 3
 PASSES = 3
 #: Ranges of finish time in the global sort.
 SPANS = 4096
+#: Rows of parts and exceptions up to which they are broadcast to the documents.
+MAX_RULES = 200_000
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,7 +108,7 @@ def _queue(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...], copies:
     """``slim`` (source, size, doc_id, mix_order, ...) with source_size, target and ``turns``, the copies that the queue takes."""
     targets = scratch.save(source_targets(slim, weights, copies), "targets")
     known = targets.select(F.col("source").alias("of"), "rank", "source_size", "target")
-    parts = slim.withColumn("part", F.substring("mix_order", 1, 3)).join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    parts = slim.withColumn("part", _part(F.col("mix_order"))).join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     place = F.row_number().over(W.partitionBy("rank", "part").orderBy("mix_order", "doc_id", "size"))
     full = scratch.save(parts.withColumn("place", place), "placed")
     state = full.select("rank", "part", "place", "size", F.lit(0).cast("long").alias("turns"))
@@ -109,10 +117,17 @@ def _queue(slim: DataFrame, scratch: Scratch, weights: tuple[int, ...], copies:
     return full.join(state.drop("size"), ["rank", "part", "place"]).select(*slim.columns, "source_size", "target", "turns")
 
 
+def _part(mix_order: Column) -> Column:
+    return F.substring(mix_order, 1, 3)
+
+
+def _order(key: str) -> Column:
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+
+
 def _slim(df: DataFrame, key: str, source: str, text: str, *more: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), order.alias("mix_order"), *more)
+    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _order(key).alias("mix_order"), *more)
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
@@ -127,8 +142,21 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     """The rows of ``df`` as often as the mix takes them, all columns kept."""
     scratch = Scratch(df.sparkSession, "mix")
     slim = scratch.save(_slim(named_rows.named(df, key), key, source, text, named_rows.KEY, named_rows.HASH), "slim")
-    per_name = _queue(slim, scratch, weights, copies).groupBy(named_rows.KEY, named_rows.HASH).agg(F.count("*").alias(named_rows.COPIES), F.sum("turns").alias("turns"))
-    return named_rows.repeat(df, scratch.save(per_name.where("turns > 0"), "turns"), key)
+    queued = _queue(slim, scratch, weights, copies).where("size > 0").withColumn("part", _part(F.col("mix_order")))
+    alike = [F.first(c).alias(c) for c in ("source", "part")]
+    per_name = queued.groupBy(named_rows.KEY, named_rows.HASH).agg(F.count("*").alias(named_rows.COPIES), F.sum("turns").alias("turns"), *alike)
+    per_name = scratch.save(per_name, "turns")
+    of = per_name.groupBy("source", "part", F.floor(F.col("turns") / F.col(named_rows.COPIES)).cast("int").alias("often")).agg(F.count("*").alias("n"))
+    usual = of.groupBy(F.col("source").alias("_loom_of"), F.col("part").alias("_loom_part")).agg(F.max_by("often", F.struct("n", "often")).alias("_loom_often"))
+    usual = scratch.save(usual, "usual")
+    by_part = F.col("source").eqNullSafe(F.col("_loom_of")) & (F.col("part") == F.col("_loom_part"))
+    other = per_name.join(usual, by_part).where(F.col("turns") != F.col("_loom_often") * F.col(named_rows.COPIES))
+    other = scratch.save(other.select(named_rows.KEY, named_rows.HASH, named_rows.COPIES, "turns"), "other")
+    if usual.count() + other.count() > MAX_RULES:
+        return named_rows.repeat(df, per_name.where("turns > 0").select(*other.columns), key)
+    rows = named_rows.named(df.where(F.col(text).rlike(WORD)), key).withColumn("_loom_source", F.col(source)).withColumn("_loom_at", _part(_order(key)))
+    rows = rows.join(F.broadcast(usual), F.col("_loom_source").eqNullSafe(F.col("_loom_of")) & (F.col("_loom_at") == F.col("_loom_part")))
+    return named_rows.repeat(df, F.broadcast(other), key, rows, "_loom_often")
 
 
 #: DuckDB: the rows of ``mix``.
