@@ -133,15 +133,17 @@ def _sets(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "node long, grams array<long>")
 
 
-def _entries(nodes: DataFrame, deals: list[int], sketched: bool) -> DataFrame:
-    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch."""
-    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else [])]
+def _entries(nodes: DataFrame, deals: list[int], sketched: bool, known: bool) -> DataFrame:
+    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch or known."""
+    more = ["odd"] if sketched else ["known"] if known else []
+    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(2).flatten().to_numpy().reshape(-1, BITS // 64)
             odd = batch.column(3).flatten().to_numpy().reshape(-1, len(ODD_NAMES)).T if sketched else []
             bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+            odd = [batch.column(3).to_numpy()] if known else odd
             same = [*(batch.column(k).to_numpy() for k in range(2)), *prints.T[:WORDS], *odd]
             for deal in deals:
                 dealt = np.packbits(bits.take(_DEALT[deal], axis=1), axis=1, bitorder="little").view(np.uint16).astype(np.int64)
@@ -150,7 +152,7 @@ def _entries(nodes: DataFrame, deals: list[int], sketched: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot.ravel(), *(np.repeat(c, BLOCKS) for c in same))], names)
 
     root = "root" if "root" in nodes.columns else F.col("node").alias("root")
-    return nodes.select("node", root, "bands", *(["odd"] if sketched else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return nodes.select("node", root, "bands", *more).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _starts(bucket: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -163,7 +165,8 @@ def _near(slot: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarra
     """The near ones of whole buckets: ``pairs``, ``chain`` (of each row the first) or ``ends`` (each row that is in a pair, with itself).
 
     In chains rows are sorted by ``slot`` and meet those behind them, else by bucket and ``root`` and meet those behind their own root's.  ``words`` and ``odd``,
-    the sketches if there are any, are unsigned, for of signed ones NumPy counts the bits of the magnitude.
+    the sketches if there are any, are unsigned, for of signed ones NumPy counts the bits of the magnitude.  For ``ends``, ``odd`` may say in one column which
+    nodes are known; they are not named.
     """
     bucket = slot >> 32
     ends = np.searchsorted(bucket, bucket, "right")
@@ -196,7 +199,8 @@ def _near(slot: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarra
         if held:
             yield np.concatenate(one), np.concatenate(other)
     if how == "ends":
-        yield node[met > 0], node[met > 0]
+        new = (met > 0) & (odd[:, :1] == 0).all(axis=1)
+        yield node[new], node[new]
 
 
 def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -221,13 +225,13 @@ def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Ite
 
 
 def candidates(nodes: DataFrame, deals: list[int] | None = None, how: str = "pairs", similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it) that share a block and are near.
+    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it, known: 1 for ends that need not be named) that share a block and are near.
 
     ``how``: all ``pairs`` of two roots, a ``chain`` of them, or the ``ends`` of all pairs of two roots, each with itself.
     """
     bucket = F.shiftright("slot", 32)
     order = ["slot", "node"] if how == "chain" else [bucket, "root", "node"]
-    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, how == "pairs" and "odd" in nodes.columns)
+    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, how == "pairs" and "odd" in nodes.columns, how == "ends" and "known" in nodes.columns)
     return entries.repartition(bucket).sortWithinPartitions(*order).mapInArrow(partial(_meet, how=how, similarity=similarity), "a long, b long").distinct()
 
 
@@ -285,14 +289,18 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, scratch: Scratch,
         _forget_shuffles(df.sparkSession)
         return found.dropDuplicates(["node"])
 
-    chains = scratch.save(_close(_pairs(nodes, scratch, "chain", [0], "chain", similarity), nodes, similarity), "chains")
+    near = _pairs(nodes, scratch, "chain", [0], "chain", similarity)
+    chains = scratch.save(_close(near, nodes, similarity), "chains")
     sets = sets_of(_ends(chains), 0)
     roots = components(scratch.save(_alike(chains, sets, similarity), "links0"), Scratch(df.sparkSession, "similar"))
     rooted = scratch.save(nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     _forget_shuffles(df.sparkSession)
     deals = list(range(DEALS))
-    met = _pairs(rooted, scratch, "met", deals, "ends", similarity)
-    met = scratch.save(rooted.join(met.select(F.col("a").alias("node")).distinct(), "node"), "met")
+    known = scratch.save(_ends(near).withColumn("known", F.lit(1).cast("long")), "known")
+    asked = rooted.join(known, "node", "left").withColumn("known", F.coalesce("known", F.lit(0).cast("long")))
+    met = _pairs(scratch.save(asked, "asked"), scratch, "met", deals, "ends", similarity)
+    met = met.select(F.col("a").alias("node")).unionByName(known.select("node")).distinct()
+    met = scratch.save(rooted.join(met, "node"), "met")
     rest = scratch.save(_close(_pairs(met, scratch, "pairs", deals, "pairs", similarity), met, similarity), "rest")
     sets = sets.unionByName(sets_of(_ends(rest).join(_ends(chains), "node", "left_anti"), 1))
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
