@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, imatch, langid, line_dedup, mixing, simhash, toxicity, urlgraph
+from . import align, ann, bpe, chat, fim, imatch, langid, line_dedup, mixing, quality, simhash, toxicity, urlgraph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The public byte-level vocabulary of the contract."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary of the contracts."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.cut_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_report(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -78,9 +90,13 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language": op9_language,
     "op10_ann": op10_ann,
+    "op11_fim": op11_fim,
+    "op12_align": op12_align,
+    "op13_quality": op13_quality,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(),
     "op5_mixing": mixing.oracle(),
+    "op11_fim": fim.oracle(),
 }
