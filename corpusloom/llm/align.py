@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,14 @@ WIDE = 4096
 ROW = "_loom_row"
 
 
+class Groups(NamedTuple):
+    """Of each group its ids as text, in order; the packed pairs of groups of one token a side; the tokens (from, to, from, to) of all others."""
+
+    said: list[str]
+    single: list[int]
+    runs: list[tuple[int, int, int, int]]
+
+
 class Transducer:
     """Walks two token sequences by their bytes; state 0 is the empty residual."""
 
@@ -54,6 +64,8 @@ class Transducer:
         self.states: list[tuple[int, bytes]] = [(1, b"")]
         #: Of each state the next state by token of the side behind; -1 where the bytes differ.
         self.moves: list[dict[int, int]] = [{}]
+        #: Groups of one token a side, by the packed pair: two transitions at once.
+        self.closed: dict[int, str] = {}
         self.size = 0
 
     def move(self, state: int, token: int) -> int:
@@ -80,35 +92,53 @@ class Transducer:
             self.moves.append({})
         return self.known[name]
 
-    def borders(self, left: list[int], right: list[int]) -> tuple[list[int], list[int]] | None:
-        """Of each group the tokens up to its end on both sides; None if the sides spell different bytes."""
+    def groups(self, left: list[int], right: list[int]) -> Groups | None:
+        """The groups of two sequences; None if they spell different bytes."""
         if self.size > MEMO:
             self.forget()
         i = j = state = 0
-        ends_i: list[int] = []
-        ends_j: list[int] = []
-        n, m, moves, states = len(left), len(right), self.moves, self.states
-        while True:
-            if states[state][0]:  # the right side leads, or none does
-                if i == n:
-                    break
-                token = left[i]
+        n, m, moves, states, closed, width = len(left), len(right), self.moves, self.states, self.closed, len(self.sides[1])
+        said: list[str] = []
+        single: list[int] = []
+        runs: list[tuple[int, int, int, int]] = []
+        while i < n and j < m:
+            pair = left[i] * width + right[j]
+            name = closed.get(pair)
+            if name is not None:  # one token of each side, known to spell the same
                 i += 1
-            else:
-                if j == m:
-                    return None
-                token = right[j]
                 j += 1
-            follows = moves[state].get(token)
-            if follows is None:
-                follows = self.move(state, token)
-            if follows < 0:
-                return None
-            state = follows
-            if not state:
-                ends_i.append(i)
-                ends_j.append(j)
-        return (ends_i, ends_j) if not state and j == m else None
+                said.append(name)
+                single.append(pair)
+                continue
+            from_i, from_j = i, j
+            while True:
+                if states[state][0]:  # the right side leads, or none does
+                    if i == n:
+                        return None
+                    token = left[i]
+                    i += 1
+                else:
+                    if j == m:
+                        return None
+                    token = right[j]
+                    j += 1
+                follows = moves[state].get(token)
+                if follows is None:
+                    follows = self.move(state, token)
+                if follows < 0:
+                    return None
+                state = follows
+                if not state:
+                    break
+            if i - from_i == j - from_j == 1:
+                closed[pair] = name = f"{left[from_i]}|{right[from_j]}"
+                self.size += 1
+                said.append(name)
+                single.append(pair)
+            else:
+                said.append(f"{','.join(map(str, left[from_i:i]))}|{','.join(map(str, right[from_j:j]))}")
+                runs.append((from_i, i, from_j, j))
+        return Groups(said, single, runs) if i == n and j == m else None
 
 
 class Aligner:
@@ -124,7 +154,6 @@ class Aligner:
         right = [self._piece_bytes(k) for k in range(n)]
         self.width = n
         self.left, self.right = left, right
-        self.names = [list(map(str, range(len(side)))) for side in (left, right)]
         self.transducer = Transducer(left, right)
 
     def _piece_bytes(self, k: int) -> bytes:
@@ -143,35 +172,35 @@ class Aligner:
         if not text:
             return 0, 0, 0, 0, "", none, none
         a, b = self.encode(text)
-        ends = self.transducer.borders(a, b)
-        if ends is None or b"".join(map(self.left.__getitem__, a)) != b" " + text.encode("utf-8"):
+        groups = self.transducer.groups(a, b)
+        if groups is None or b"".join(map(self.left.__getitem__, a)) != b" " + text.encode("utf-8"):
             return 0, 0, 0, 0, "", none, none
-        one, other = ([names[k] for k in ids] for names, ids in zip(self.names, (a, b), strict=True))
-        groups, i, j = [], 0, 0
-        for x, y in zip(*ends, strict=True):
-            groups.append(f"{one[i]}|{other[j]}" if x - i == y - j == 1 else f"{','.join(one[i:x])}|{','.join(other[j:y])}")
-            i, j = x, y
-        pairs, times = self.links(np.array(a, np.int64), np.array(b, np.int64), *(np.array(e, np.int64) for e in ends))
-        return len(a), len(b), len(groups), int(times.sum()), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, times
-
-    def links(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs, times = self.links(a, b, groups)
+        return len(a), len(b), len(groups.said), int(times.sum()), hashlib.sha256(";".join(groups.said).encode()).hexdigest(), pairs, times
+
+    def links(self, a: list[int], b: list[int], groups: Groups) -> tuple[np.ndarray, np.ndarray]:
         """The distinct id pairs of all groups, packed as left id x ``width`` + right id, and how often each is linked."""
-        many_a, many_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-        start_a, start_b, size = ends_a - many_a, ends_b - many_b, many_a * many_b
-        found, often = [], []
-        for g in np.flatnonzero(size > WIDE):
-            (x, n), (y, m) = (np.unique(ids[s : s + k], return_counts=True) for ids, s, k in ((a, start_a[g], many_a[g]), (b, start_b[g], many_b[g])))
-            found.append(np.add.outer(x * self.width, y).ravel())
+        found, wide, width = Counter(groups.single), [], self.width
+        for run in groups.runs:
+            i, x, j, y = run
+            if (x - i) * (y - j) > WIDE:
+                wide.append(run)
+                continue
+            for one in a[i:x]:
+                for other in b[j:y]:
+                    found[one * width + other] += 1
+        pairs, times = (np.fromiter(side, np.int64, len(found)) for side in (found.keys(), found.values()))
+        if not wide:
+            return pairs, times
+        more, often = [pairs], [times]
+        for i, x, j, y in wide:
+            (left, n), (right, m) = (np.unique(ids, return_counts=True) for ids in (a[i:x], b[j:y]))
+            more.append(np.add.outer(left * width, right).ravel())
             often.append(np.multiply.outer(n, m).ravel())
-        keep = size <= WIDE
-        start_a, start_b, many_b, size = start_a[keep], start_b[keep], many_b[keep], size[keep]
-        of = np.repeat(np.arange(len(size)), size)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        pairs = a[start_a[of] + at // many_b[of]] * self.width + b[start_b[of] + at % many_b[of]]
-        if found:
-            every, names = np.unique(np.concatenate([pairs, *found]), return_inverse=True)
-            return every, np.bincount(names, np.concatenate([np.ones(len(pairs)), *often])).astype(np.int64)
-        return np.unique(pairs, return_counts=True)
+        pairs, names = np.unique(np.concatenate(more), return_inverse=True)
+        times = np.zeros(len(pairs), np.int64)
+        np.add.at(times, names, np.concatenate(often))
+        return pairs, times
 
 
 @functools.lru_cache(maxsize=1)
