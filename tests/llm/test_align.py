@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -79,6 +80,14 @@ def test_report_against_brute_force(spark, libraries, monkeypatch, frequent):
     assert any(r.n_a == 0 and r.doc_id is not None for r in got) and max(r.count_sum for r in got) > 0
 
 
+def test_left_ids_lose_no_byte_and_are_those_of_both_encoders():
+    own = align.load(A, B)
+    for text in [*TEXTS, *random_texts(300), "\x85 \u2028x", "\u3000\u3000a"]:
+        ids = own.left_ids(text or "")
+        assert b"".join(own.left[k] for k in ids).decode() == (text or "")
+        assert ids == np.frombuffer(own.byte_bpe.ordinary(text or ""), np.uint32).tolist()
+
+
 def test_wide_groups_are_multiplied(monkeypatch):
     own = align.load(A, B)
     for text in ["x" * 300, "ab" * 40, *random_texts(60)]:
