@@ -37,19 +37,19 @@ from .scratch import Scratch, small_batches
 
 #: Id pairs that are broadcast at most (24 bytes each).
 FREQUENT = 1 << 20
-#: Transitions remembered by a worker; the memory is emptied when full, results do not depend on it.
-MEMO = 1 << 21
+#: Transitions and links of groups remembered by a worker; the memory is emptied when full, results do not depend on it.
+MEMO = 1 << 20
 #: Links of a group above which equal ids are multiplied by their numbers instead of being listed.
 WIDE = 4096
 ROW = "_loom_row"
 
 
 class Groups(NamedTuple):
-    """Of each group its ids as text, in order; the packed pairs of groups of one token a side; the tokens (from, to, from, to) of all others."""
+    """Of each group its ids as text, in order; the packed pair of each link; the tokens (from, to, from, to) of groups of more than ``WIDE`` links."""
 
     said: list[str]
-    single: list[int]
-    runs: list[tuple[int, int, int, int]]
+    pairs: list[int]
+    wide: list[tuple[int, int, int, int]]
 
 
 class Transducer:
@@ -66,6 +66,8 @@ class Transducer:
         self.moves: list[dict[int, int]] = [{}]
         #: Groups of one token a side, by the packed pair: two transitions at once.
         self.closed: dict[int, str] = {}
+        #: Other groups by their ids: as text, and their links.
+        self.runs: dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[str, list[int]]] = {}
         self.size = 0
 
     def move(self, state: int, token: int) -> int:
@@ -99,8 +101,8 @@ class Transducer:
         i = j = state = 0
         n, m, moves, states, closed, width = len(left), len(right), self.moves, self.states, self.closed, len(self.sides[1])
         said: list[str] = []
-        single: list[int] = []
-        runs: list[tuple[int, int, int, int]] = []
+        pairs: list[int] = []
+        wide: list[tuple[int, int, int, int]] = []
         while i < n and j < m:
             pair = left[i] * width + right[j]
             name = closed.get(pair)
@@ -108,7 +110,7 @@ class Transducer:
                 i += 1
                 j += 1
                 said.append(name)
-                single.append(pair)
+                pairs.append(pair)
                 continue
             from_i, from_j = i, j
             while True:
@@ -134,11 +136,21 @@ class Transducer:
                 closed[pair] = name = f"{left[from_i]}|{right[from_j]}"
                 self.size += 1
                 said.append(name)
-                single.append(pair)
-            else:
+                pairs.append(pair)
+                continue
+            if (i - from_i) * (j - from_j) > WIDE:
                 said.append(f"{','.join(map(str, left[from_i:i]))}|{','.join(map(str, right[from_j:j]))}")
-                runs.append((from_i, i, from_j, j))
-        return Groups(said, single, runs) if i == n and j == m else None
+                wide.append((from_i, i, from_j, j))
+                continue
+            run = tuple(left[from_i:i]), tuple(right[from_j:j])
+            found = self.runs.get(run)
+            if found is None:
+                found = f"{','.join(map(str, run[0]))}|{','.join(map(str, run[1]))}", [x * width + y for x in run[0] for y in run[1]]
+                self.runs[run] = found
+                self.size += len(found[1])
+            said.append(found[0])
+            pairs += found[1]
+        return Groups(said, pairs, wide) if i == n and j == m else None
 
 
 class Aligner:
@@ -193,20 +205,12 @@ class Aligner:
 
     def links(self, a: list[int], b: list[int], groups: Groups) -> tuple[np.ndarray, np.ndarray]:
         """The distinct id pairs of all groups, packed as left id x ``width`` + right id, and how often each is linked."""
-        found, wide, width = Counter(groups.single), [], self.width
-        for run in groups.runs:
-            i, x, j, y = run
-            if (x - i) * (y - j) > WIDE:
-                wide.append(run)
-                continue
-            for one in a[i:x]:
-                for other in b[j:y]:
-                    found[one * width + other] += 1
+        found, width = Counter(groups.pairs), self.width
         pairs, times = (np.fromiter(side, np.int64, len(found)) for side in (found.keys(), found.values()))
-        if not wide:
+        if not groups.wide:
             return pairs, times
         more, often = [pairs], [times]
-        for i, x, j, y in wide:
+        for i, x, j, y in groups.wide:
             (left, n), (right, m) = (np.unique(ids, return_counts=True) for ids in (a[i:x], b[j:y]))
             more.append(np.add.outer(left * width, right).ravel())
             often.append(np.multiply.outer(n, m).ravel())
