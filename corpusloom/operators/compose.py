@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..functions.normal import metric_normal
 from .fusion import bisect, per_query
 from .ranking import place
 
@@ -225,7 +226,7 @@ def validate_answers(rows: DataFrame, chunks: DataFrame, members: DataFrame, tex
     that do not stand in their document word for word; with ``expected``
     (query_id), queries without a row and rows of other queries.
     """
-    norm = X.metric_normal(F.col("chunk_text"))
+    norm = metric_normal(F.col("chunk_text"))
     numbered = chunks.where(F.col("chunk_text").isNotNull()).withColumn("_n", F.xxhash64("query_id", "doc_id", norm)).select("query_id", "doc_id", "_n", X.words(norm).alias("_w")).dropDuplicates(["_n"])
     checks: dict[str, DataFrame] = {
         "not_a_number": rows.where("doc_id IS NULL OR query_id IS NULL"),

@@ -162,20 +162,28 @@ def _positions(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= k)
 
 
-def _word_search(docs: DataFrame, weighted: DataFrame, key: str, tokens: Column, k: int, weigher: Callable[[DataFrame, int], Callable]) -> DataFrame:
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "search")
+def search_postings(spark: SparkSession, weighted: DataFrame, k: int, weigher: Callable[[DataFrame, int], Callable], postings_of: Callable[[list[str], Scratch, str], DataFrame]) -> DataFrame:
+    """(item, doc_id, score, position): the k best documents of each query of ``weighted`` (item, term, w), by blocks of queries.
+
+    ``postings_of`` gives the written postings of the terms of a block.
+    """
+    scratch = Scratch(spark, "search")
     weighted = scratch.save(weighted.where("item IS NOT NULL"), "queries")
 
     def parts() -> Iterator[DataFrame]:
         rows = weighted.orderBy("item").toLocalIterator(prefetchPartitions=True)
         for i, block in enumerate(_blocks(rows, WORD_QUERIES, lambda r: r["item"])):
             vocabulary = Vocabulary(block)
-            post = postings(docs, key, tokens, vocabulary.terms, scratch, f"postings{i}")
+            post = postings_of(vocabulary.terms, scratch, f"postings{i}")
             yield _top_products(post, vocabulary, weigher(post, len(vocabulary.terms)), k)
 
     return _positions(_merged(spark, parts(), scratch, "item long, doc_id long, score double"), k)
 
 
+def _word_search(docs: DataFrame, weighted: DataFrame, key: str, tokens: Column, k: int, weigher: Callable[[DataFrame, int], Callable]) -> DataFrame:
+    return search_postings(docs.sparkSession, weighted, k, weigher, lambda terms, scratch, name: postings(docs, key, tokens, terms, scratch, name))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """The k best documents of each query: (item, doc_id, score, position).  A query is a set of terms.
 
@@ -436,7 +444,13 @@ def quantised_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return met.select("query_id", "doc_id", exact.alias("score")).withColumn("position", F.row_number().over(best).cast("long")).where(F.col("position") <= k)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, budget: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Top k by cosine: exact while the vectors take at most ``budget`` bytes as floats, by codes of one byte a dimension beyond it."""
-    size = vectors(rows, key, vector).agg(F.coalesce(F.sum(F.size("v") * 4), F.lit(0))).first()[0]
-    return dense_topk(rows, queries, k, key, vector) if size <= budget else quantised_topk(rows, queries, k, key, vector)
+def search(rows: DataFrame, queries: DataFrame, k: int, codes: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Top k by cosine: over all vectors, or with ``codes`` by one byte a dimension and an exact look at a short list.  The caller chooses; no size does."""
+    return quantised_topk(rows, queries, k, key, vector) if codes else dense_topk(rows, queries, k, key, vector)
+
+
+def memory_plan(rows: DataFrame, budget: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """One row: vectors, the bytes that they take as floats and as codes, and which of both fits ``budget`` bytes (flat, codes or none)."""
+    size = vectors(rows, key, vector).agg(F.count("*").alias("vectors"), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0).cast("long")).alias("code_bytes"))
+    flat = F.col("code_bytes") * 4
+    return size.select("vectors", flat.alias("float_bytes"), "code_bytes", F.when(flat <= budget, "flat").when(F.col("code_bytes") <= budget, "codes").otherwise("none").alias("fits"))

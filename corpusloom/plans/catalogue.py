@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compose, dedup, evaluate, flows, fusion, pages, profiles, quality, relational, retrieval, solved, structure, urls  # noqa: F401  (importing registers the queries)
+from . import compose, dedup, evaluate, flows, fusion, pages, profiles, quality, reading, relational, retrieval, solved, stored, structure, urls  # noqa: F401  (importing registers the queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

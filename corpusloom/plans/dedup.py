@@ -11,7 +11,7 @@ from .registry import query, table
 
 _NORM = r"""trim(regexp_replace(lower(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')), '\s+', ' ', 'g'))"""
 _EXACT = f"""
-WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, text, {_NORM} AS norm FROM documents), e AS MATERIALIZED (SELECT doc_id, source, text, norm, min(doc_id) OVER (PARTITION BY norm) AS rep, count(*) OVER (PARTITION BY norm) AS copies FROM d)
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, text, {_NORM} AS norm FROM documents), e AS MATERIALIZED (SELECT doc_id, source, text, norm, min(doc_id) OVER same AS rep, count(*) OVER same AS copies FROM d WINDOW same AS (PARTITION BY norm, CASE WHEN norm = '' THEN doc_id END))
 """
 _PAIRS = _EXACT + r"""
 , w AS (SELECT doc_id, regexp_extract_all(norm, '[\p{L}\p{N}_]+') AS t FROM e WHERE doc_id = rep), s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))) AS g FROM w WHERE len(t) >= 50),
@@ -43,6 +43,12 @@ def minhash_lsh_pairs(spark, sf):
     return D.near_pairs(table(spark, sf, "documents"), Scratch(spark, "pairs")).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("near_dup_links", _CLUSTERS + ", k AS (SELECT node, count(*) AS links FROM (SELECT a AS node FROM p UNION ALL SELECT b FROM p) GROUP BY 1) SELECT c.doc_id, e.rep AS representative, e.copies, c.cluster_id, coalesce(k.links, 0) AS links FROM c JOIN e USING (doc_id) LEFT JOIN k ON e.rep = k.node")
+def near_dup_links(spark, sf):
+    """Class, cluster and number of links of every document."""
+    return D.link_counts(table(spark, sf, "documents"))
+
+
 @query("cluster_min_jaccard", _CLUSTERS + ", m AS (SELECT cluster_id, min(j) AS j FROM p JOIN c ON p.a = c.doc_id GROUP BY 1) SELECT cluster_id, round(j, 6) AS min_jaccard FROM m")
 def cluster_min_jaccard(spark, sf):
     return D.least_likeness(table(spark, sf, "documents")).select("cluster_id", F.round("min_jaccard", 6).alias("min_jaccard"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..operators import passages as P
 from ..sources import files
 from ..sources.scratch import Scratch
+from ..streaming import control as C
 from ..streaming import flows as S
 from .registry import query, table
 
@@ -56,6 +57,23 @@ def stream_error_streaks(spark, sf):
     return found.groupBy("user_id").agg(F.max("longest").alias("longest"))
 
 
+@query("stream_liveness", """WITH m AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) // 1000 * 1000 AS mark FROM events), f AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t FROM events, m WHERE user_id IS NOT NULL AND epoch_us(ts) // 1000 <= mark),
+ g AS (SELECT user_id, t, lag(t) OVER w AS before, lead(t) OVER w AS after FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+ SELECT user_id, t AS "at", 'RUNNING' AS event FROM g WHERE before IS NULL OR t - before >= 86400000 UNION ALL SELECT user_id, t + 86400000, 'DEAD' FROM g, m WHERE after - t >= 86400000 OR (after IS NULL AND t + 86400000 <= mark)""")
+def stream_liveness(spark, sf):
+    """When each user came to life and when a day of silence had passed, by timers of the event time."""
+    events = S.source(spark, sf, "events.parquet").select("event_id", "user_id", "ts")
+    return S.drain(C.liveness(events, "user_id", "long", "1 hour", 86_400_000), *_folders(spark, "liveness"))
+
+
+@query("stream_rate_control")
+def stream_rate_control(spark, sf):
+    """Rate decisions of every user's log, taken as requests: an error is status 503, the value is the latency."""
+    events = S.source(spark, sf, "events.parquet").selectExpr("event_id", "user_id", "ts", "value AS latency", "CASE event_type WHEN 'error' THEN 503 ELSE 200 END AS status")
+    rule = C.Rule(window=20, baseline_n=10, pause_ms=6 * 3_600_000, errors=20, least_errors=10)
+    return S.drain(C.rate_control(events, "user_id", "long", "1 hour", rule), *_folders(spark, "rates"))
+
+
 @query("dir_json_roundtrip", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, min(doc_id) AS first_id FROM documents GROUP BY lang")
 def dir_json_roundtrip(spark, sf):
     docs = table(spark, sf, "documents")

@@ -66,23 +66,16 @@ def answer_filter(spark, sf):
     return files.filter_answers(lines, parts.where("doc_id % 4 <> 1"), parts.where("doc_id % 7 = 0"))
 
 
-@query("answer_zip_roundtrip", "SELECT conv_id AS id, list(turn ORDER BY turn) FILTER (WHERE role = 'assistant') AS docs FROM conversations WHERE conv_id % 5 = 0 GROUP BY 1")
+@query("answer_zip_roundtrip", "SELECT conv_id AS id, list(turn ORDER BY turn) FILTER (WHERE role = 'assistant') AS docs FROM conversations GROUP BY 1")
 def answer_zip_roundtrip(spark, sf):
-    """An answer file of one member, written with a fixed time stamp, checked by its digest and read back."""
-    import hashlib
-    import tempfile
-    import zipfile
-
-    rows = table(spark, sf, "conversations").where("conv_id % 5 = 0").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn").cast("long")))).alias("relevant_docs"))
+    """An answer file of one member with a fixed time stamp in the shared folder, checked by its digest and read back."""
+    rows = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn").cast("long")))).alias("relevant_docs"))
     none = F.array().cast("array<struct<doc_id: bigint, chunk_text: string>>")
-    with tempfile.TemporaryDirectory() as folder:  # an answer file is a single file of the driver by its format
-        path = f"{folder}/answers.zip"
-        digest = files.write_answer_zip(rows.withColumn("relevant_chunks", none), path)
-        with zipfile.ZipFile(path) as z, z.open(z.namelist()[0]) as member:
-            if hashlib.sha256(member.read()).hexdigest() != digest:
-                raise ValueError("the archive does not hold what was written")
-        back = files.read_answer_zip(spark, path)
-    return back.select("id", F.when(F.size("relevant_docs") > 0, F.col("relevant_docs")).alias("docs"))
+    path = f"{Scratch(spark, 'answers').root}/answers.zip"
+    digest = files.write_answer_zip(rows.withColumn("relevant_chunks", none), path)
+    if files.member_digest(spark, path) != digest:
+        raise ValueError("the archive does not hold what was written")
+    return files.read_answer_zip(spark, path).select("id", F.when(F.size("relevant_docs") > 0, F.col("relevant_docs")).alias("docs"))
 
 
 @query("archive_records", "SELECT url, 200 AS status, 'text/html' AS type, html AS body FROM pages WHERE html IS NOT NULL")
@@ -94,7 +87,7 @@ def archive_records(spark, sf):
         body = gzip.compress(html.encode(), mtime=0)
         parts = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (body[k : k + 700] for k in range(0, len(body), 700))) + b"0\r\n\r\n"
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
-        return gzip.compress(b"WARC/1.0\r\nWARC-Target-URI: " + url.encode() + b"\r\n\r\n" + head + parts, mtime=0)
+        return gzip.compress(b"WARC/1.0\r\n" + (b"" if url is None else b"WARC-Target-URI: " + url.encode() + b"\r\n") + b"\r\n" + head + parts, mtime=0)
 
     def packed(batches):
         for batch in batches:
@@ -110,18 +103,6 @@ def archive_records(spark, sf):
     return spark.read.parquet(folder).mapInArrow(parsed, "url string, status int, type string, body string")
 
 
-@query("file_pins", "SELECT 'tables' AS category, 2::BIGINT AS files")
-def file_pins(spark, sf):
-    """Files are checked against their digests before use, and listed by category."""
-    folder = Scratch(spark, "pins").root
-    for name in ("region", "nation"):
-        table(spark, sf, name).coalesce(1).write.parquet(f"{folder}/{name}")
-    found = files.digests(spark, folder).where("path LIKE '%.parquet'")
-    files.check_pins(spark, folder, {r.path.rsplit("/", 1)[-1]: r.sha256 for r in found.collect()})
-    kinds = files.inventory(spark, folder, [("tables", r"\.parquet$")])
-    return kinds.where("category = 'tables'").select("category", "files")
-
-
 @query("passage_excerpts", r"""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS needle FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents)
  SELECT item_id, doc_id FROM b JOIN d ON contains(' ' || t || ' ', ' ' || needle || ' ') AND needle <> ''""")
 def passage_excerpts(spark, sf):
@@ -133,12 +114,13 @@ def passage_excerpts(spark, sf):
     return cut.where("excerpt IS NOT NULL").select("item_id", "doc_id")
 
 
-@query("language_shingles", r"""WITH d AS (SELECT doc_id, lang, list_filter(string_split(regexp_replace(lower(text), '\s+', '', 'g'), ''), lambda c: c <> '') AS c, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'zh' ELSE lang END AS lang, substr(text, 1, 400) AS text FROM documents)),
- t AS (SELECT doc_id, CASE WHEN lang = 'zh' THEN c ELSE w END AS t FROM d) SELECT doc_id, CASE WHEN len(t) >= 5 THEN len(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))) WHEN len(t) > 0 THEN 1 ELSE 0 END AS shingles FROM t""")
+@query("language_shingles", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_filter(string_split(regexp_replace(lower(text), '\s+', '', 'g'), ''), lambda c: c <> '') ELSE regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') END AS t FROM documents),
+ x AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM d), g AS (SELECT doc_id, x || ' ' || lead(x, 1) OVER w || ' ' || lead(x, 2) OVER w || ' ' || lead(x, 3) OVER w || ' ' || lead(x, 4) OVER w AS g FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ n AS (SELECT doc_id, count(DISTINCT g) AS n FROM g GROUP BY 1) SELECT d.doc_id, CASE WHEN len(t) >= 5 THEN n WHEN len(t) > 0 THEN 1 ELSE 0 END AS shingles FROM d LEFT JOIN n ON d.doc_id = n.doc_id""")
 def language_shingles(spark, sf):
-    """Distinct 5-grams of the first 400 characters: of characters in one language in three, of words in the others."""
+    """Distinct 5-grams of whole texts: of characters in one language in three, of words in the others."""
     lang = F.when(F.col("doc_id") % 3 == 0, "zh").otherwise(F.col("lang"))
-    docs = table(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.substring("text", 1, 400).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", lang.alias("lang"), "text")
     return docs.select("doc_id", F.size(structure.char_or_word_shingles(F.col("text"), F.col("lang"), 5)).cast("long").alias("shingles"))
 
 
@@ -158,16 +140,6 @@ def score_windows(spark, sf):
     return P.map_column(table(spark, sf, "documents").select("doc_id", "text"), "text", "w", kind, around).select("doc_id", "w.first", "w.last")
 
 
-@query("search_phrases")
-def search_phrases(spark, sf):
-    """The word runs of each item that are most worth searching for, by how rare their words are among the items."""
-    items = table(spark, sf, "benchmark").select("item_id", "text")
-    n = items.count()
-    df = items.select("item_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("term")).groupBy("term").agg(F.log(F.lit(n) / F.count("*")).alias("idf"))
-    sent = spark.sparkContext.broadcast({r.term: r.idf for r in df.collect()})  # the words of the items, which are the small side
-    return P.map_column(items, "text", "phrases", T.ArrayType(T.StringType()), lambda t: P.phrases(t or "", sent.value)).select("item_id", "phrases")
-
-
 @query("title_questions", r"""SELECT conv_id, turn FROM conversations WHERE role = 'user' AND (trim(string_split(text, chr(10))[1]) LIKE '%?' OR regexp_matches(text, '(?i)^(how|what|why|when|where|who|which|can|is|are|do|does)\s')) AND len(regexp_extract_all(text, '\S+')) BETWEEN 3 AND 40""")
 def title_questions(spark, sf):
     """Turns whose first line asks a question, of three to forty words."""

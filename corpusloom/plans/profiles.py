@@ -69,6 +69,20 @@ def site_extract(spark, sf):
 
 @query("search_by_memory", _COS + "SELECT query_id, doc_id, round(score, 6) AS score, position FROM r WHERE position <= 10")
 def search_by_memory(spark, sf):
-    """Exact search, since the vectors fit the budget; beyond it they would be searched by their codes."""
-    best = R.search(table(spark, sf, "embeddings"), _queries(spark, sf), 10, budget=1 << 30)
+    """Exact search over the vectors as they are."""
+    best = R.search(table(spark, sf, "embeddings"), _queries(spark, sf), 10)
     return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
+@query("search_by_codes")
+def search_by_codes(spark, sf):
+    """The same search by codes of one byte a dimension, with an exact look at a short list."""
+    best = R.search(table(spark, sf, "embeddings"), _queries(spark, sf), 10, codes=True)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("score"), "position")
+
+
+@query("vector_memory", """WITH v AS (SELECT embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  s AS (SELECT count(*) AS vectors, coalesce(sum(len(e)), 0)::BIGINT AS code_bytes FROM v) SELECT vectors, code_bytes * 4 AS float_bytes, code_bytes, CASE WHEN code_bytes * 4 <= 200000 THEN 'flat' WHEN code_bytes <= 200000 THEN 'codes' ELSE 'none' END AS fits FROM s""")
+def vector_memory(spark, sf):
+    """What the vectors take in memory, and which form fits."""
+    return R.memory_plan(table(spark, sf, "embeddings"), 200_000)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import itertools
-import json
 import zipfile
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 
 def read_tables(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -74,23 +74,78 @@ def check_pins(spark: SparkSession, path: str, pins: dict[str, str]) -> None:
         raise ValueError(f"inputs differ from their pins: {bad}")
 
 
+def record(spark: SparkSession, ledger: str, run: str, path: str) -> None:
+    """Adds every file of a folder, with its length and digest, to the ledger as of ``run``."""
+    digests(spark, path).where("path LIKE '%.parquet'").withColumn("run", F.lit(run)).write.mode("append").parquet(ledger)
+
+
+def read_recorded(spark: SparkSession, ledger: str, run: str) -> DataFrame:
+    """The Parquet files that a run recorded, after each has been found unchanged; an error names those that are missing or differ."""
+    pinned = spark.read.parquet(ledger).where(F.col("run") == run)
+    names = [r.path for r in pinned.select("path").distinct().collect()]  # one row a file, as Spark's own file index
+    if not names:
+        raise ValueError(f"run {run} is not in the ledger")
+    folders = sorted({n.rpartition("/")[0] for n in names})
+    now = digests_of(spark, folders).select("path", F.col("sha256").alias("now"))
+    bad = pinned.join(now, "path", "left").where("now IS NULL OR now <> sha256").limit(20).collect()
+    if bad:
+        raise ValueError(f"inputs differ from their pins: {[r.path for r in bad]}")
+    return spark.read.parquet(*names)
+
+
+def digests_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, length, sha256) of the files of several folders."""
+    return spark.read.format("binaryFile").load(folders).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def answers(df: DataFrame) -> DataFrame:
     """One JSON text for each answer row (id, relevant_docs, relevant_chunks), in the order of ids."""
     return df.select("id", F.to_json(F.struct("id", "relevant_docs", "relevant_chunks")).alias("line"))
 
 
+def _stream(spark: SparkSession, path: str, write: bool):
+    """A file of the shared file system as a binary stream of the driver."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.create(at, True) if write else fs.open(at)
+
+
+class _Out(io.RawIOBase):
+    """Bytes to a stream of the file system, in pieces; it cannot seek, which ZIP files do not need."""
+
+    def __init__(self, stream):
+        self.stream, self.at = stream, 0
+
+    def writable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        self.at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
 def write_answer_zip(df: DataFrame, path: str, member: str = "answers.json", method: int = zipfile.ZIP_LZMA) -> str:
-    """A ZIP of one member, a JSON list with one row a line, the same bytes for the same rows; returns the member's SHA-256.
+    """A ZIP of one member, a JSON list with one row a line, the same bytes for the same rows, in the shared file system; returns the member's SHA-256.
 
-    Rows stream through the driver one partition at a time; an answer file has
-    one row for each query and is a single file by its format.
+    An answer file is a single file by its format, so its rows pass the driver, one partition at a time and none of them held.
     """
     import hashlib
 
     info = zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0))
     info.compress_type = method
     digest = hashlib.sha256()
-    with zipfile.ZipFile(path, "w") as z, z.open(info, "w", force_zip64=True) as out:
+    out_file = io.BufferedWriter(_Out(_stream(df.sparkSession, path, True)), 1 << 20)
+    with out_file, zipfile.ZipFile(out_file, "w") as z, z.open(info, "w", force_zip64=True) as out:
         first = True
         for row in answers(df).orderBy("id").toLocalIterator():
             data = (("[\n" if first else ",\n") + row.line).encode()
@@ -103,17 +158,46 @@ def write_answer_zip(df: DataFrame, path: str, member: str = "answers.json", met
     return digest.hexdigest()
 
 
+def _member_lines(content: bytes) -> Iterator[bytes]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        if len(names) != 1:
+            raise ValueError(f"an answer archive has {len(names)} members")
+        with z.open(names[0]) as member:
+            yield from member
+
+
+def member_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of the one member of an archive, read by a task."""
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                digest = hashlib.sha256()
+                for line in _member_lines(content.as_py()):
+                    digest.update(line)
+                yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["sha256"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "sha256 string").first().sha256
+
+
 def read_answer_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Answers of a one-member ZIP, or of a plain JSON list."""
+    """Answers of a one-member ZIP with a row a line, unpacked line by line in a task, or of a plain JSON list."""
     schema = "id long, relevant_docs array<long>, relevant_chunks array<struct<doc_id: long, chunk_text: string>>"
-    if path.endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
-            names = z.namelist()
-            if len(names) != 1:
-                raise ValueError(f"{path} has {len(names)} members")
-            rows = json.load(io.TextIOWrapper(z.open(names[0]), "utf-8"))
-        return spark.createDataFrame(rows, schema)
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    if not path.endswith(".zip"):
+        return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                lines = (line.decode("utf-8").strip().rstrip(",") for line in _member_lines(content.as_py()))
+                rows = (line for line in lines if line not in ("[", "]", ""))
+                while some := list(itertools.islice(rows, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["line"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
+    return lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 _DOCS = r'"relevant_docs"\s*:\s*\[([^\]]*)\]'
@@ -176,8 +260,14 @@ def merge_rows(state: DataFrame, updates: DataFrame, keys: list[str], time: str)
     return best.select(*keys, "v.*").select(*state.columns)
 
 
-def claim(state: DataFrame, domain: str, now: Column, n: int) -> DataFrame:
-    """The next ``n`` rows of a domain that are due: fresh ones first, then by rank."""
+def claim_placed(state: DataFrame, domain: str, now: Column, n: int, selected: bool = False) -> DataFrame:
+    """The next ``n`` rows of a domain that are due, with their place from 1: fresh ones first, then by rank; where the domain is ``selected``, by rank alone."""
     due = (F.col("status") == "pending") & (F.col("next_try_at").isNull() | (F.col("next_try_at") <= now))
-    rows = state.where((F.col("domain") == domain) & due)
-    return rows.orderBy(F.col("next_try_at").isNotNull(), "rank", "url_norm").limit(n)
+    order = [*([] if selected else [F.col("next_try_at").isNotNull()]), F.col("rank"), F.col("url_norm")]
+    rows = state.where((F.col("domain") == domain) & due).orderBy(*order).limit(n)
+    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))  # over the rows that were taken
+
+
+def claim(state: DataFrame, domain: str, now: Column, n: int, selected: bool = False) -> DataFrame:
+    """The rows of ``claim_placed`` in their order."""
+    return claim_placed(state, domain, now, n, selected).orderBy("place").drop("place")

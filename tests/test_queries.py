@@ -22,8 +22,11 @@ def test_equals_sql(spark, con, name):
 
 
 def test_queries_without_sql_have_a_brute_force_test():
-    with open(os.path.join(os.path.dirname(__file__), "test_brute.py"), encoding="utf-8") as f:
-        tests = f.read()
+    folder, tests = os.path.dirname(__file__), ""
+    for name in sorted(os.listdir(folder)):
+        if name.startswith("test_") and name != "test_queries.py":
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                tests += f.read()
     assert [n for n in sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)) if f'"{n}"' not in tests] == []
 
 
