@@ -20,17 +20,18 @@ Sketch: 1024 bits, each whether an odd number of the set's hashes falls on it.
 Sets differ in at least as many hashes as their sketches in bits, so a pair whose
 sketches differ in more than a Jaccard of 0.8 allows is no link for certain.
 
-Crowds: first come chains.  In the buckets of the first dealing a node looks at
-the next ``CROWD`` rows in the order of the next two blocks and goes on with the
-first ``STEP`` near ones, so pairs grow with the members.  What their links join
-is a component, and components enter the buckets of all dealings.  There it is
-asked which nodes are near one of another component; these enter once more with
+Crowds: first come chains.  In the buckets of the first ``CHAINED`` blocks a node
+looks at the next ``NEXT`` rows in the order of the next two blocks and goes on with
+the first near one, which is a forest for each bucket.  What the exact links among these pairs join is
+a component, and components enter the buckets of all dealings.  A bucket of at most
+``LIMIT`` rows says which nodes are near one of another component; these enter once more with
 their sketches, and every pair of two components that is near and that the
-sketches allow is decided.  So no near pair is left out but those that are joined
-already or are no links for certain, however large a bucket is.  What is
-compared inside a bucket grows with its square; the pairs that leave it do so
-only for crowds of long texts, which the sketch does not tell apart (at 2,000
-shingles any two).
+sketches allow is decided.  A larger bucket of several components only says that
+it is crowded.  All nodes of crowded buckets go through the set join
+(``operators.setjoin``), which finds every pair of two components at the likeness by prefix, length and place of
+the sets themselves, whatever the fingerprints say.  So no near pair is left out but those that
+are joined already or are no links for certain.  No bucket is held whole: a task
+keeps ``LIMIT`` rows of it.
 
 Defined results: words are what white space separates, A-Z in lower case; a
 text of fewer than five words is one shingle; null and texts without words
@@ -40,9 +41,10 @@ with one; of rows equal in all columns one stays; reruns agree.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from functools import partial, reduce
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import setjoin
 from ..operators.graph import components
 from . import rows as named_rows
 from .scratch import Scratch, small_batches
@@ -63,13 +66,13 @@ BLOCKS, DEALS = BITS // BLOCK, 6
 BANDS = DEALS * BLOCKS
 #: Words of the fingerprint that are compared in a bucket, the most bits that may differ there, and of all bits.
 WORDS, FAR, FAR_ALL = 3, 61, 128
-#: In chains: the rows behind it that a node looks at, and the near ones it goes on with.
-CROWD, STEP = 32, 2
+#: In chains: blocks of the first dealing, and the rows behind it that a node looks at.  Otherwise: rows of a bucket that are compared.
+CHAINED, NEXT, LIMIT = 8, 32, 64
 #: Bits of a sketch, a power of two; what is kept of it: the set's size and the words.
 ODD = 1024
 ODD_NAMES = ["size", *(f"o{k}" for k in range(ODD // 64))]
-#: Rows that a task compares at a time, and rows in an Arrow batch of blocks.
-CHUNK, ENTRY_ROWS = 1 << 16, 10_000
+#: Rows in an Arrow batch of blocks, and the nodes that a task remembers to have named.
+ENTRY_ROWS, NAMED = 10_000, 1 << 20
 _RNG = np.random.default_rng(11)
 _MULTIPLY = _RNG.integers(0, 1 << 63, BITS // 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BITS // 8, np.uint64)
@@ -133,26 +136,24 @@ def _sets(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "node long, grams array<long>")
 
 
-def _entries(nodes: DataFrame, deals: list[int], sketched: bool, known: bool) -> DataFrame:
-    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch or known."""
-    more = ["odd"] if sketched else ["known"] if known else []
-    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else more)]
+def _entries(nodes: DataFrame, deals: list[int], blocks: int = BLOCKS, sketched: bool = False) -> DataFrame:
+    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch."""
+    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(2).flatten().to_numpy().reshape(-1, BITS // 64)
             odd = batch.column(3).flatten().to_numpy().reshape(-1, len(ODD_NAMES)).T if sketched else []
             bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-            odd = [batch.column(3).to_numpy()] if known else odd
             same = [*(batch.column(k).to_numpy() for k in range(2)), *prints.T[:WORDS], *odd]
             for deal in deals:
                 dealt = np.packbits(bits.take(_DEALT[deal], axis=1), axis=1, bitorder="little").view(np.uint16).astype(np.int64)
-                table = np.arange(deal * BLOCKS, (deal + 1) * BLOCKS, dtype=np.int64) << 48
-                slot = table | dealt << 32 | np.roll(dealt, -1, axis=1) << 16 | np.roll(dealt, -2, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot.ravel(), *(np.repeat(c, BLOCKS) for c in same))], names)
+                table = np.arange(deal * BLOCKS, deal * BLOCKS + blocks, dtype=np.int64) << 48
+                slot = table | dealt[:, :blocks] << 32 | np.roll(dealt, -1, axis=1)[:, :blocks] << 16 | np.roll(dealt, -2, axis=1)[:, :blocks]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot.ravel(), *(np.repeat(c, blocks) for c in same))], names)
 
     root = "root" if "root" in nodes.columns else F.col("node").alias("root")
-    return nodes.select("node", root, "bands", *more).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return nodes.select("node", root, "bands", *(["odd"] if sketched else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _starts(bucket: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -161,97 +162,138 @@ def _starts(bucket: np.ndarray, root: np.ndarray) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(len(bucket)))] + 1
 
 
-def _near(slot: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray, odd: np.ndarray, how: str, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The near ones of whole buckets: ``pairs``, ``chain`` (of each row the first) or ``ends`` (each row that is in a pair, with itself).
+def _near(rows: list[np.ndarray], one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the row pairs differ in at most ``FAR`` bits of the words; those are unsigned, for of signed ones NumPy counts the bits of the magnitude."""
+    return sum(np.bitwise_count((w[one] ^ w[other]).view(np.uint64)).astype(np.int64) for w in rows[3 : 3 + WORDS]) <= FAR
 
-    In chains rows are sorted by ``slot`` and meet those behind them, else by bucket and ``root`` and meet those behind their own root's.  ``words`` and ``odd``,
-    the sketches if there are any, are unsigned, for of signed ones NumPy counts the bits of the magnitude.  For ``ends``, ``odd`` may say in one column which
-    nodes are known; they are not named.
-    """
-    bucket = slot >> 32
-    ends = np.searchsorted(bucket, bucket, "right")
-    start = np.arange(1, len(slot) + 1) if how == "chain" else _starts(bucket, root)
-    met = np.zeros(len(slot), np.int64)
-    for at in range(0, len(slot), CHUNK):
-        one, other, held = [], [], 0
-        rows = np.arange(at, min(at + CHUNK, len(slot)))
-        for step in range(CROWD) if how == "chain" else count():
-            rows = rows[start[rows] + step < ends[rows]]
-            rows = rows[met[rows] < STEP] if how == "chain" else rows
-            if not len(rows):
-                break
-            near = np.flatnonzero(np.bitwise_count(words[rows] ^ words[start[rows] + step]).sum(axis=1) <= FAR)
-            x, y = rows[near], start[rows[near]] + step
-            met[x] += 1
-            if how == "ends":
-                met[y] += 1
-                continue
-            if odd.shape[1]:
-                differ = np.bitwise_count(odd[x, 1:] ^ odd[y, 1:]).sum(axis=1)
-                stay = differ * (1 + similarity) <= (odd[x, 0] + odd[y, 0]) * (1 - similarity) + 1e-6
-                x, y = x[stay], y[stay]
-            one.append(node[x])
-            other.append(node[y])
-            held += len(x)
-            if held >= CHUNK:
-                yield np.concatenate(one), np.concatenate(other)
-                one, other, held = [], [], 0
-        if held:
-            yield np.concatenate(one), np.concatenate(other)
-    if how == "ends":
-        new = (met > 0) & (odd[:, :1] == 0).all(axis=1)
-        yield node[new], node[new]
+
+def _chain(rows: list[np.ndarray], starters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the first ``starters`` rows the first near one among the ``NEXT`` behind it in its bucket."""
+    bucket, node = rows[0] >> 32, rows[1]
+    at, found = np.arange(starters), []
+    for step in range(1, NEXT + 1):
+        at = at[at + step < len(bucket)]
+        at = at[bucket[at] == bucket[at + step]]
+        near = _near(rows, at, at + step)
+        found.append((node[at[near]], node[at[near] + step]))
+        at = at[~near]
+    one, other = (np.concatenate(c) for c in zip(*found, strict=True))
+    return np.minimum(one, other), np.maximum(one, other)
+
+
+def _allowed(rows: list[np.ndarray], one: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the row pairs their sketches allow to be a link."""
+    size, *odd = rows[3 + WORDS :]
+    differ = sum(np.bitwise_count((w[one] ^ w[other]).view(np.uint64)).astype(np.int64) for w in odd)
+    return differ * (1 + similarity) <= (size[one] + size[other]) * (1 - similarity) + 1e-6
+
+
+def _small_buckets(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of buckets of at most ``LIMIT``, and the larger buckets of several roots."""
+    bucket, root = rows[0] >> 32, rows[2]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))
+    size = np.diff(np.append(first, len(bucket)))
+    several = root[first] != root[first + size - 1]
+    keep = np.repeat((size <= LIMIT) & several, size)
+    return [c[keep] for c in rows], bucket[first[(size > LIMIT) & several]]
+
+
+def _met(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near row pairs of two roots in whole small buckets, sorted by bucket and root."""
+    bucket = rows[0] >> 32
+    ends, start, at = np.searchsorted(bucket, bucket, "right"), _starts(bucket, rows[2]), np.arange(len(bucket))
+    for step in count():
+        at = at[start[at] + step < ends[at]]
+        if not len(at):
+            return
+        other = start[at] + step
+        near = _near(rows, at, other)
+        yield at[near], other[near]
 
 
 def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Iterator[pa.RecordBatch]:
-    held, size, enough = [], 0, CHUNK
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words, odd = (np.stack(c, axis=1).view(np.uint64) if c else np.zeros((len(rows[0]), 0), np.uint64) for c in (rows[3 : 3 + WORDS], rows[3 + WORDS :]))
-        for x, y in _near(*rows[:3], words, odd, how, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
-        size += batch.num_rows
-        if size >= enough:
-            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            whole = int(np.searchsorted(rows[0] >> 32, rows[0][-1] >> 32))  # the last bucket may go on
-            yield from pairs([c[:whole] for c in rows])
-            held, size = [[c[whole:].copy() for c in rows]], size - whole
-            enough = max(CHUNK, 2 * size)
-    if size:
-        yield from pairs([np.concatenate(c) for c in zip(*held, strict=True)])
+    """Walks sorted buckets; what goes on in the next batch is held, ``NEXT`` or ``LIMIT`` + 1 rows."""
+    held: list[np.ndarray] | None = None
+    named: set[int] = set()
+    for batch in chain(batches, [None]):
+        rows = [c.to_numpy() for c in batch.columns] if batch is not None else None
+        if held is not None:
+            rows = held if rows is None else [np.concatenate(c) for c in zip(held, rows, strict=True)]
+        if rows is None or not len(rows[0]):
+            continue
+        n, last = len(rows[0]), batch is None
+        if how == "chain":
+            whole = n if last else max(0, n - NEXT)
+            a, b = _chain(rows, whole)
+            held = [c[whole:].copy() for c in rows]
+        else:
+            bucket = rows[0] >> 32
+            whole = n if last else int(np.searchsorted(bucket, bucket[-1]))
+            held = [c[whole:].copy() for c in rows]
+            if len(held[0]) > LIMIT + 1:  # it is large; its first and last root say whether it has several
+                held = [np.append(c[:LIMIT], c[-1:]) for c in held]
+            small, crowded = _small_buckets([c[:whole] for c in rows])
+            node, pairs = small[1], list(_met(small))
+            if how == "ends":
+                if len(named) > NAMED:
+                    named = set()
+                new = {x for pair in pairs for of in pair for x in node[of].tolist()} - named
+                named |= new
+                a = np.concatenate([np.fromiter(new, np.int64, len(new)), crowded])
+                b = np.concatenate([np.zeros(len(new), np.int64), np.ones(len(crowded), np.int64)])
+            else:
+                pairs = [(x[k], y[k]) for x, y in pairs for k in (_allowed(small, x, y, similarity) if len(small) > 3 + WORDS else slice(None),)]
+                x, y = (np.concatenate([np.zeros(0, np.int64), *(node[p[k]] for p in pairs)]) for k in range(2))
+                a, b = np.minimum(x, y), np.maximum(x, y)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def candidates(nodes: DataFrame, deals: list[int] | None = None, how: str = "pairs", similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it, known: 1 for ends that need not be named) that share a block and are near.
+    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it).
 
-    ``how``: all ``pairs`` of two roots, a ``chain`` of them, or the ``ends`` of all pairs of two roots, each with itself.
+    ``pairs``: nodes of two roots that are near and share a bucket of at most ``LIMIT``.  ``ends``: (node, 0) of each node in such a pair,
+    and (bucket, 1) for each larger bucket of several roots.  ``chain``: of each node and bucket the first near one behind it.
     """
     bucket = F.shiftright("slot", 32)
     order = ["slot", "node"] if how == "chain" else [bucket, "root", "node"]
-    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, how == "pairs" and "odd" in nodes.columns, how == "ends" and "known" in nodes.columns)
+    blocks = CHAINED if how == "chain" else BLOCKS
+    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, blocks, how == "pairs" and "odd" in nodes.columns)
     return entries.repartition(bucket).sortWithinPartitions(*order).mapInArrow(partial(_meet, how=how, similarity=similarity), "a long, b long").distinct()
 
 
-def _forget_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the files of a shuffle when its plan is collected."""
-    spark.sparkContext._jvm.System.gc()
+def nodes_of_buckets(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Distinct node of ``nodes`` that enter one of the buckets ``crowded`` (bucket)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(np.ascontiguousarray(batch.column(1).flatten().to_numpy().reshape(-1, BITS // 64)).view(np.uint8), axis=1, bitorder="little")
+            for deal in range(DEALS):
+                dealt = np.packbits(bits.take(_DEALT[deal], axis=1), axis=1, bitorder="little").view(np.uint16).astype(np.int64)
+                slot = np.arange(deal * BLOCKS, (deal + 1) * BLOCKS, dtype=np.int64) << 16 | dealt
+                yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BLOCKS))], ["bucket", "node"])
 
-def _pairs(nodes: DataFrame, scratch: Scratch, name: str, deals: list[int], how: str, similarity: float) -> DataFrame:
-    """The candidates of ``deals``, one dealing after the other, so that only one lies in the shuffle."""
-    spark, setting, out = nodes.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", []
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(ENTRY_ROWS))
+    return nodes.select("node", "bands").mapInArrow(run, "bucket long, node long").join(crowded, "bucket", "left_semi").select("node").distinct()
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs within."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(names[k]) for k in values}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
     try:
-        for deal in deals:
-            out.append(scratch.save(candidates(nodes, [deal], how, similarity), f"{name}{deal}"))
-            _forget_shuffles(spark)
+        yield
     finally:
-        spark.conf.set(setting, before)
-    return reduce(DataFrame.unionByName, out)
+        for k, v in before.items():
+            spark.conf.set(names[k], v)
+
+
+def _pairs(nodes: DataFrame, scratch: Scratch, name: str, deals: list[int], how: str, similarity: float) -> DataFrame:
+    """The candidates of ``deals``, one dealing after the other, so that only one lies in the shuffle."""
+    with _setting(nodes.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ENTRY_ROWS)):
+        return reduce(DataFrame.unionByName, [scratch.save(candidates(nodes, [deal], how, similarity), f"{name}{deal}") for deal in deals])
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -285,36 +327,40 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, scratch: Scratch,
 
     def sets_of(asked: DataFrame, k: int) -> DataFrame:
         asked = asked.join(nodes.select("node", "row.*"), "node").select(named_rows.KEY, named_rows.HASH, F.lit(1).alias(named_rows.COPIES))
-        found = scratch.save(_sets(named_rows.keep(df, scratch.save(asked, f"asked{k}"), key), text), f"sets{k}")
-        _forget_shuffles(df.sparkSession)
-        return found.dropDuplicates(["node"])
+        return scratch.save(_sets(named_rows.keep(df, scratch.save(asked, f"asked{k}"), key), text), f"sets{k}").dropDuplicates(["node"])
 
-    near = _pairs(nodes, scratch, "chain", [0], "chain", similarity)
-    chains = scratch.save(_close(near, nodes, similarity), "chains")
+    deals = list(range(DEALS))
+    chains = scratch.save(_close(_pairs(nodes, scratch, "chain", [0], "chain", similarity), nodes, similarity), "chains")
     sets = sets_of(_ends(chains), 0)
     roots = components(scratch.save(_alike(chains, sets, similarity), "links0"), Scratch(df.sparkSession, "similar"))
     rooted = scratch.save(nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    _forget_shuffles(df.sparkSession)
-    deals = list(range(DEALS))
-    known = scratch.save(_ends(near).withColumn("known", F.lit(1).cast("long")), "known")
-    asked = rooted.join(known, "node", "left").withColumn("known", F.coalesce("known", F.lit(0).cast("long")))
-    met = _pairs(scratch.save(asked, "asked"), scratch, "met", deals, "ends", similarity)
-    met = met.select(F.col("a").alias("node")).unionByName(known.select("node")).distinct()
-    met = scratch.save(rooted.join(met, "node"), "met")
+    marks = _pairs(rooted, scratch, "met", deals, "ends", similarity)
+    met = scratch.save(rooted.join(marks.where("b = 0").select(F.col("a").alias("node")).distinct(), "node"), "met")
     rest = scratch.save(_close(_pairs(met, scratch, "pairs", deals, "pairs", similarity), met, similarity), "rest")
-    sets = sets.unionByName(sets_of(_ends(rest).join(_ends(chains), "node", "left_anti"), 1))
+    many = scratch.save(nodes_of_buckets(rooted, marks.where("b = 1").select(F.col("a").alias("bucket")).distinct()), "crowd")
+    sets = sets.unionByName(sets_of(_ends(rest).unionByName(many).distinct().join(_ends(chains), "node", "left_anti"), 1))
+    if not many.isEmpty():
+        of = sets.join(many, "node", "left_semi").join(rooted.select("node", "root"), "node")
+        rest = rest.unionByName(setjoin.candidates(scratch.save(of, "crowd_sets"), similarity, scratch)).distinct()
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = scratch.save(_alike(rest, sets, similarity).unionByName(joined), "links")
-    _forget_shuffles(df.sparkSession)
-    return found
+    return scratch.save(_alike(rest, sets, similarity).unionByName(joined), "links")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The distinct node of ``pairs`` (a, b)."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``df`` with one document, that of the smallest key, for each group of near copies; all columns kept."""
+    """The rows of ``df`` with one document, that of the smallest key, for each group of near copies; all columns kept.
+
+    Shuffles are deleted with the job that made them: every table of this operator is written once and read from there.
+    """
+    with _setting(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        return _keep_one(df, key, text, similarity)
+
+
+def _keep_one(df: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     scratch = Scratch(df.sparkSession, "similar")
     slim = named_rows.named(df, key).select(named_rows.KEY, named_rows.HASH, F.col(text).alias("_loom_text"))
     rows = scratch.save(_with_bands(slim, "_loom_text"), "rows")

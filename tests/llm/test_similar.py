@@ -45,7 +45,10 @@ def test_a_crowd_of_near_copies_is_one_group_without_all_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in similar.keep_one(df).collect()] == [0]
     held = similar._with_bands(df, "text").selectExpr("_loom_node AS node", "_loom_bands AS bands")
-    assert similar.candidates(held).count() <= 600 * similar.BANDS * similar.STEP + 600 * similar.BANDS * similar.CROWD / 2
+    assert similar.candidates(held, [0], "chain").count() <= 600 * similar.CHAINED
+    assert similar.candidates(held).count() <= 600 * similar.BANDS * similar.LIMIT / 2
+    marks = [r.b for r in similar.candidates(held, how="ends").collect()]
+    assert 0 < marks.count(1) <= 600 * similar.BANDS / similar.LIMIT and marks.count(0) <= 600
 
 
 def test_reruns_agree_on_repeated_rows(spark):

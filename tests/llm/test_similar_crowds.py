@@ -25,22 +25,43 @@ def test_a_crowd_of_texts_that_are_near_and_not_alike_makes_no_pairs(spark, monk
     assert sum(decided) < 3 * len(texts)
 
 
-def test_every_pair_of_a_large_bucket_is_found_but_those_of_one_root(spark):
+def crowd_of_fingerprints(n):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2, similar.BITS, np.uint8)
-    n = 3 * similar.CROWD
-    rows = []
     for k in range(n):
         bits = base.copy()
         bits[rng.choice(similar.BITS, 8, replace=False)] ^= 1
-        rows.append((k, np.packbits(bits, bitorder="little").view(np.int64).tolist(), k // 2))
-    nodes = spark.createDataFrame(rows, "node long, bands array<long>, root long")
+        yield k, np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def test_every_pair_of_a_small_bucket_is_found_but_those_of_one_root(spark):
+    n = similar.LIMIT
+    nodes = spark.createDataFrame([(k, bands, k // 2) for k, bands in crowd_of_fingerprints(n)], "node long, bands array<long>, root long")
     every = {(a, b) for b in range(n) for a in range(b)}
     assert {tuple(r) for r in similar.candidates(nodes.drop("root"), [0]).collect()} == every
     apart = {(a, b) for a, b in every if a // 2 != b // 2}
     assert {tuple(r) for r in similar.candidates(nodes, [0]).collect()} == apart
-    assert {tuple(r) for r in similar.candidates(nodes, [0], "ends").collect()} == {(k, k) for k in range(n)}
-    assert similar.candidates(nodes, [0], "chain").count() <= n * similar.STEP * similar.BLOCKS
+    assert {tuple(r) for r in similar.candidates(nodes, [0], "ends").collect()} == {(k, 0) for k in range(n)}
+    assert similar.candidates(nodes, [0], "chain").count() <= n * similar.CHAINED
+
+
+def test_larger_buckets_of_several_roots_are_named_and_give_their_nodes(spark):
+    n = 5 * similar.LIMIT
+    rows = [(k, bands, 0) for k, bands in crowd_of_fingerprints(n)]
+    schema = "node long, bands array<long>, root long"
+    joined = spark.createDataFrame(rows, schema)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    for batch in ("30", before):  # buckets that go on over batches
+        spark.conf.set(setting, batch)
+        assert similar.candidates(joined, [0], "ends").count() == 0
+        one_apart = spark.createDataFrame([(k, bands, 1 if k == 7 else r) for k, bands, r in rows], schema)
+        marks = [tuple(r) for r in similar.candidates(one_apart, [0], "ends").collect()]
+        assert marks and {b for _, b in marks} <= {0, 1} and any(b == 1 for _, b in marks)
+        crowded = spark.createDataFrame([(a,) for a, b in marks if b == 1], "bucket long")
+        found = {r.node for r in similar.nodes_of_buckets(one_apart, crowded).collect()}
+        assert 7 in found and len(found) > 0.9 * n
+    spark.conf.set(setting, before)
 
 
 def test_sketches_differ_in_no_more_bits_than_their_sets():
