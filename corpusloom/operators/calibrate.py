@@ -141,7 +141,7 @@ def marginal_curve(rows: DataFrame, group: str, judge: str, p: str, band: int |
     placed = ranking.running_totals(rows.select(group, "query_id", "doc_id", judge, p), [group, F.col(judge).desc(), "query_id", "doc_id"], {"_i": F.lit(1).cast("long"), "_cum": F.col(p)})
     ends = placed.groupBy(group).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"), F.min_by(F.col("_cum") - F.col(p), "_i").alias("_zero"))
     half = F.lit(band) if band >= 1 else F.greatest(F.lit(1), F.bround(F.lit(band) * F.col("_n")).cast("long"))
-    at = placed.join(F.broadcast(ends), group).select(group, judge, (F.col("_i") - F.col("_first") + 1).alias("i"), (F.col("_cum") - F.col("_zero")).alias("_sum"), "_n", half.alias("_h"))
+    at = placed.join(ends, group).select(group, judge, (F.col("_i") - F.col("_first") + 1).alias("i"), (F.col("_cum") - F.col("_zero")).alias("_sum"), "_n", half.alias("_h"))
     at = at.withColumn("_from", F.greatest(F.col("i") - F.col("_h") - 1, F.lit(0))).withColumn("_to", F.least(F.col("i") + F.col("_h"), F.col("_n")))
     sums = at.select(F.col(group).alias("_g"), F.col("i").alias("_at"), F.col("_sum").alias("_s"))
     met = at.join(sums.select(F.col("_g").alias("_g1"), F.col("_at").alias("_a1"), F.col("_s").alias("_s1")), (F.col(group) == F.col("_g1")) & (F.col("_to") == F.col("_a1")))
@@ -169,7 +169,7 @@ def group_thresholds(pool: DataFrame, group: str, judge: str, p: str, base: str,
         return curve.groupBy(group).agg(*first)
 
     def gaps(values: list[float]) -> list[float]:
-        met = rows.join(F.broadcast(thresholds(values)), group)
+        met = rows.join(thresholds(values), group)
         clip = lambda n: F.least(F.greatest(n, F.ceil(F.lit(low) * F.first("_base") - 1e-9)), F.floor(F.lit(high) * F.first("_base") + 1e-9), F.count("*"))
         keep = met.groupBy("query_id").agg(*[clip(F.count_if(F.col(judge) >= F.col(f"t{i}"))).cast("int").alias(f"k{i}") for i in range(len(values))])
         each = keep.select("query_id", F.posexplode(F.array(*[f"k{i}" for i in range(len(values))])).alias("i", "k"))

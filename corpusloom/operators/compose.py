@@ -52,17 +52,12 @@ def append_absent(base: DataFrame, extra: DataFrame, k: int, score: str) -> Data
 def assign_ids(known: DataFrame, pairs: DataFrame, keys: list[str], id_: str) -> DataFrame:
     """Append-only registry: known pairs keep their ids, new ones get the next free numbers in key order.
 
-    New pairs are numbered in ranges: positions within a range plus the sizes of
-    the ranges before it, so the numbering does not pass through one task.
+    New pairs are sorted over the cluster and numbered by their place, so the numbering does not pass through one task.
     """
     new = pairs.select(*keys).distinct().join(known, keys, "left_anti")
     start = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("start"))
-    group = keys[0]
-    sizes = new.groupBy(group).agg(F.count("*").alias("c"))
-    before = sizes.select(group, (F.sum("c").over(W.partitionBy(F.lit(0)).orderBy(group).rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"))
-    place = F.row_number().over(W.partitionBy(group).orderBy(*keys[1:]))
-    numbered = new.withColumn("_p", place).join(before, group).crossJoin(F.broadcast(start))
-    return known.select(*keys, id_).unionByName(numbered.select(*keys, (F.col("start") + F.col("before") + F.col("_p")).alias(id_)))
+    numbered = place(new, list(keys), "_place").crossJoin(F.broadcast(start))
+    return known.select(*keys, id_).unionByName(numbered.select(*keys, (F.col("start") + F.col("_place")).alias(id_)))
 
 
 def overrides(base: DataFrame, new: DataFrame, group: str) -> DataFrame:

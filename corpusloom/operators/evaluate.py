@@ -125,6 +125,6 @@ def compare_strategies(df: DataFrame, strategies: list[str], group: str, relevan
     long = df.select(key, group, F.col(relevant).alias("_y"), F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("v")) for s in strategies])).alias("s")).select(key, group, "_y", "s.*")
     placed = place(long, ["strategy", group, F.col("v").desc(), key], "_i")
     ends = placed.groupBy("strategy", group).agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
-    rows = placed.join(F.broadcast(ends), ["strategy", group]).withColumn("_at", F.col("_i") - F.col("_first") + 1)
+    rows = placed.join(ends, ["strategy", group]).withColumn("_at", F.col("_i") - F.col("_first") + 1)
     hits = [F.round(F.try_divide(F.sum(F.when(F.col("_at") <= F.ceil(F.lit(f) * F.col("_n")), F.col("_y")).otherwise(0)), F.sum("_y")), 6).alias(f"recall_{round(f * 100)}") for f in fractions]
     return rows.groupBy("strategy", group).agg(*hits)

@@ -266,8 +266,11 @@ def sequential_budget(groups: DataFrame, key: str, size: str, rate: str, budget:
     return rows.select(key, F.when(F.col(key) < bound[key], F.col("_full")).otherwise(later).cast("long").alias("cut"))
 
 
-def calibrate_threshold(pool: DataFrame, score: str, target_mean: float, floor: int, ceil: int, steps: int = 6, tries: int = 24) -> float:
-    """The threshold whose floor-and-ceiling cut keeps ``target_mean`` documents a query; each step tries many values in one aggregate."""
+def calibrate_threshold(pool: DataFrame, score: str, target_mean: float, floor: int, ceil: int, steps: int = 6, tries: int = 24, decimals: int | None = None) -> float:
+    """The threshold whose floor-and-ceiling cut keeps ``target_mean`` documents a query; each step tries many values in one aggregate.
+
+    With ``decimals`` it is the best of the five values of that many decimals around the solution: nearest in the mean, then the larger mean, then the smaller value.
+    """
     held = Scratch(pool.sparkSession, "threshold").save(pool.select("query_id", F.col(score).alias("s")), "scores")
     low, high = held.agg(F.min("s"), F.max("s")).first()
 
@@ -281,7 +284,10 @@ def calibrate_threshold(pool: DataFrame, score: str, target_mean: float, floor:
         found = means(values)
         above = max((i for i, m in enumerate(found) if m >= target_mean), default=0)
         low, high = values[above], values[min(above + 1, tries)]
-    return low
+    if decimals is None:
+        return low
+    grid = sorted({round(low + k / 10**decimals, decimals) for k in range(-2, 3)})
+    return min(zip(grid, means(grid), strict=True), key=lambda x: (abs(x[1] - target_mean), -x[1], x[0]))[0]
 
 
 def variable_keep(pool: DataFrame, score: str, base: Column, threshold: float, low: float, high: float) -> DataFrame:

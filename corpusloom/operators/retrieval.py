@@ -202,6 +202,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     return _word_search(docs.select(key, text), term_weights(queries, query_key, tokens, lambda n: F.lit(1.0)), key, tokens, k, weigher)
 
 
+def append_by_words(base: DataFrame, docs: DataFrame, queries: DataFrame, k: int, scan_depth: int, excluded: DataFrame | None = None, key: str = "doc_id", text: str = "text", query_key: str = "item_id") -> DataFrame:
+    """(query_id, doc_id, place): up to ``k`` documents to append to each list of ``base`` (query_id, doc_id), by BM25 of their words.
+
+    Only the ``scan_depth`` best of a query are looked at, and of these those of a positive score, with an id from 0 on, not in
+    its list and not ``excluded`` (doc_id).
+    """
+    best = bm25(docs, queries, key, text, query_key, scan_depth).where("score > 0 AND doc_id >= 0").withColumnRenamed("item", "query_id")
+    free = best.join(base.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti")
+    free = free if excluded is None else free.join(excluded.select("doc_id").distinct(), "doc_id", "left_anti")
+    order = W.partitionBy("query_id").orderBy("position")
+    return free.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k).select("query_id", "doc_id", "place")
+
+
 def sparse_products(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", k: int = 20) -> DataFrame:
     """The k documents of largest inner product of ln(1 + count) vectors with each query: (item, doc_id, score, position).
 

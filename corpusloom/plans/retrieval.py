@@ -43,6 +43,20 @@ def bm25_stored(spark, sf):
     return index.bm25(table(spark, sf, "benchmark")).select("item", "doc_id", F.round("score", 6).alias("score"), "position")
 
 
+_SLUGS = "(SELECT page_id AS doc_id, replace(replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '_', ' '), '-', ' ') AS text FROM pages)"
+
+
+@query("slug_append", _BM25.replace("FROM documents)", f"FROM {_SLUGS})").replace("SELECT DISTINCT item_id AS item", "SELECT DISTINCT item_id AS item") + """, a AS (SELECT item AS query_id, doc_id, position FROM r WHERE position <= 40 AND score > 0 AND doc_id >= 0 AND doc_id <> item AND doc_id NOT IN (SELECT c_custkey * 7 FROM customer)),
+ n AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY position) AS place FROM a) SELECT query_id, doc_id, place FROM n WHERE place <= 5""")
+def slug_append(spark, sf):
+    """Pages whose slugs say words of an item are appended to its list, five at most of the forty best, without those that it has and those that are left out."""
+    slug = F.translate(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "_-", "  ")
+    docs, items = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), slug.alias("text")), table(spark, sf, "benchmark")
+    base = items.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"))
+    left_out = table(spark, sf, "customer").select((F.col("c_custkey") * 7).alias("doc_id"))
+    return R.append_by_words(base, docs, items, 5, 40, left_out)
+
+
 @query("bm25_doc_best_rank", _BM25 + "SELECT doc_id, min(position) AS best, CASE WHEN min(position) <= 1 THEN 'first' WHEN min(position) <= 5 THEN 'top5' ELSE 'rest' END AS band FROM r WHERE position <= 50 GROUP BY doc_id")
 def bm25_doc_best_rank(spark, sf):
     best = R.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50).groupBy("doc_id").agg(F.min("position").alias("best"))

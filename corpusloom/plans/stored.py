@@ -85,3 +85,19 @@ def claim_batches(spark, sf):
     )
     out = [files.claim_placed(queue, "d", F.lit(500), 100, selected).select(F.lit(name).alias("variant"), "rank", "place") for name, selected in (("fresh first", False), ("by rank", True))]
     return out[0].unionByName(out[1])
+
+
+@query("capture_groups", """WITH c AS (SELECT c_custkey AS id, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 404 WHEN 'P' THEN 410 ELSE 200 END AS fetched, o_totalprice > 150000 AS ok FROM customer LEFT JOIN orders ON c_custkey = o_custkey)
+ SELECT id, CASE WHEN count(o_orderkey) = 0 THEN 'no_capture' WHEN bool_and(fetched IN (404, 410)) THEN 'dead' WHEN bool_or(ok) THEN 'usable' ELSE 'unusable' END AS outcome FROM c GROUP BY id""")
+def capture_groups(spark, sf):
+    """What the captures of each customer are good for; orders play the captures."""
+    captures = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 404).when(F.col("o_orderstatus") == "P", 410).otherwise(200).alias("fetched"), (F.col("o_totalprice") > 150_000).alias("ok"))
+    return files.capture_outcomes(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), captures)
+
+
+@query("mapped_coverage", """SELECT coalesce(status, 'absent') AS status, count(*) AS ids, min(p_partkey) FILTER (WHERE status IS NULL) AS next_id FROM part LEFT JOIN (SELECT l_partkey, max(l_returnflag) AS status FROM lineitem GROUP BY 1) ON p_partkey = l_partkey GROUP BY 1""")
+def mapped_coverage(spark, sf):
+    """How many mapped ids have which terminal status, and the next one to hand on."""
+    status = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_returnflag").alias("status"))
+    met = table(spark, sf, "part").select("p_partkey").join(status, "p_partkey", "left")
+    return met.groupBy(F.coalesce("status", F.lit("absent")).alias("status")).agg(F.count("*").alias("ids"), F.min(F.when(F.col("status").isNull(), F.col("p_partkey"))).alias("next_id"))

@@ -271,3 +271,11 @@ def claim_placed(state: DataFrame, domain: str, now: Column, n: int, selected: b
 def claim(state: DataFrame, domain: str, now: Column, n: int, selected: bool = False) -> DataFrame:
     """The rows of ``claim_placed`` in their order."""
     return claim_placed(state, domain, now, n, selected).orderBy("place").drop("place")
+
+
+def capture_outcomes(targets: DataFrame, captures: DataFrame) -> DataFrame:
+    """(id, outcome) of each of ``targets`` (id) by its ``captures`` (id, fetched: the HTTP status, ok: whether text came out): no_capture, dead if all are gone, usable if any gave text, else unusable."""
+    gone = F.coalesce(F.col("fetched").isin(404, 410), F.lit(False))
+    of = captures.groupBy("id").agg(F.bool_and(gone).alias("dead"), F.bool_or(F.coalesce("ok", F.lit(False))).alias("usable"))
+    outcome = F.when(F.col("dead").isNull(), "no_capture").when(F.col("dead"), "dead").when(F.col("usable"), "usable").otherwise("unusable")
+    return targets.select("id").distinct().join(of, "id", "left").select("id", outcome.alias("outcome"))

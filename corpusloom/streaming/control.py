@@ -279,3 +279,8 @@ def heartbeats(events: DataFrame, key: str, key_type: str, silence_ms: int) -> D
 def unseen(events: DataFrame, earlier: DataFrame, keys: list[str], late: str) -> DataFrame:
     """Rows of a stream that neither came before within ``late`` nor stand in the table ``earlier`` of former batches."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).join(earlier.select(*keys).distinct(), keys, "left_anti")
+
+
+def dropped(query) -> int:
+    """The rows that a query has dropped because they came behind the watermark."""
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for s in p["stateOperators"])

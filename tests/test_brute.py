@@ -345,6 +345,12 @@ def test_search_by_codes_is_nearly_exact(spark):
     assert retrieval.search(rows.limit(0), asked, 10, codes=True).count() == 0
 
 
+def test_query_of_coded_search(spark):
+    exact = {(r.query_id, r.doc_id): r.score for r in rows_of(spark, "search_by_memory")}
+    coded = {(r.query_id, r.doc_id): r.score for r in rows_of(spark, "search_by_codes")}
+    assert len(coded) == len(exact) and len(exact.keys() & coded.keys()) >= 0.99 * len(exact)
+
+
 def test_many_near_copies_are_one_cluster_without_all_pairs(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(k, " ".join(w if i != k % 100 else f"n{k}" for i, w in enumerate(base))) for k in range(5000)]
@@ -490,6 +496,16 @@ def test_solved_share_and_threshold_reach_their_targets(spark, pairs, lists):
     assert rows_of(spark, "calibrated_threshold")[0]["mean"] == pytest.approx(10, abs=0.15)
 
 
+def test_threshold_on_a_grid(spark):
+    rng = random.Random(8)
+    scores = {q: [round(rng.random(), 3) for _ in range(40)] for q in range(20)}
+    df = spark.createDataFrame([(q, d, s) for q, ss in scores.items() for d, s in enumerate(ss)], "query_id long, doc_id long, s double")
+    mean = lambda t: sum(min(max(min(3, len(ss)), sum(s >= t for s in ss)), 25) for ss in scores.values()) / len(scores)
+    tau = fusion.calibrate_threshold(df, "s", 12, 3, 25, decimals=2)
+    around = [round(tau + k / 100, 2) for k in range(-2, 3)]
+    assert tau == round(tau, 2) and abs(mean(tau) - 12) == min(abs(mean(t) - 12) for t in around)
+
+
 def test_lanes_merge_without_reordering_the_first(spark, pairs):
     base, extra = defaultdict(list), defaultdict(list)
     for r in pairs:
