@@ -25,6 +25,7 @@ languages are not learned; other columns are not read.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,11 +49,11 @@ _LETTER: np.ndarray | None = None
 
 
 def _letters(codes: np.ndarray) -> np.ndarray:
-    """Which code points are letters (categories L*)."""
+    """Which code points, of all planes, are letters (categories L*)."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)])
-    return _LETTER[np.minimum(codes, len(_LETTER) - 1)]
+        _LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    return _LETTER[codes]
 
 
 #: Characters of a text that are counted at a time; results do not depend on it.
@@ -148,21 +149,22 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     df = df.select(key, text, lang)
     scratch = Scratch(df.sparkSession, "langid")
     usable = df.where(F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    ids = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"))
+    said = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    ids = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.lit("langid"), F.col(key)).alias("h"), said.alias("t"))
     # the smallest hashes of each language lie below a bound that its count gives; only those few are ranked
     share = F.lit(2.0 * per_language + 200) / F.col("of")
     small = (F.col("h").cast("double") / 2.0**64 + 0.5) < share
-    ids = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(bound)), "lang").where(small).drop("of")
+    ids = ids.join(F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("of")).orderBy(F.desc("of"), "lang").limit(bound)), "lang").where(small).groupBy("key", "lang", "h").agg(F.min("t").alias("t"))  # one text of each id
     ranked = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "key"))).where(F.col("n") <= per_language)
-    chosen = scratch.save(ranked.orderBy("n", "lang").limit(bound).select(F.col("key").alias("chosen"), F.col("lang").alias("of")).distinct(), "chosen")
-    texts = df.join(F.broadcast(chosen), (F.col(key) == F.col("chosen")) & (F.col(lang) == F.col("of")))
+    chosen = scratch.save(ranked.orderBy("n", "lang").limit(bound).select(F.col("key").alias("chosen"), F.col("lang").alias("of"), F.col("t").alias("said")), "chosen")
+    texts = df.join(F.broadcast(chosen), (F.col(key) == F.col("chosen")) & (F.col(lang) == F.col("of")) & (said == F.col("said")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [c.tobytes() if (c := counts(t)) is not None else None for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(made, pa.binary())], ["key", "lang", "v"])
 
-    rows = texts.select(key, lang, text).mapInArrow(run, "key string, lang string, v binary").where("v IS NOT NULL").toArrow().to_pylist()
+    rows = texts.select(key, lang, text).mapInArrow(run, "key string, lang string, v binary").where("v IS NOT NULL").dropDuplicates(["key", "lang"]).toArrow().to_pylist()
     rows = sorted(rows, key=lambda r: (r["lang"], r["key"], r["v"]))
     if not rows:
         return Model((), UNKNOWN, np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, langid, queries, toxicity, urlgraph
 
@@ -395,3 +396,13 @@ def test_nearest_few_distinct_vectors_lose_no_rows(spark, monkeypatch, least):
         assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in exact.items()}
         if least > 1:
             assert got == {q: {i for i, _ in v} for q, v in exact.items()}
+
+
+def test_letters_of_all_planes_are_letters_and_an_id_gives_one_text(spark):
+    assert langid.counts(chr(0x30000) + chr(0x30001)) is not None and langid.counts(chr(0x31350)) is not None
+    assert langid.counts(chr(0x1F600) + chr(0xE0001) + chr(0x10FFFD)) is None
+    rows = [(k, f"the word number {k} and the rest of it", "en") for k in range(60)] + [(k, f"das wort nummer {k} und der rest davon", "de") for k in range(100, 160)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = once.unionByName(once.where("doc_id IN (0, 2, 100, 101)").withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(200)]))).drop("k"))
+    a, b = langid.train(once), langid.train(often)
+    assert a.languages == b.languages == ("de", "en") and (a.idf == b.idf).all() and (a.centres == b.centres).all()

@@ -33,7 +33,9 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
     before, after = {r.doc_id for r in stages[0][3]}, {r.doc_id for r in stages[0][4]}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = before - after
+    toxic = {i for i in before if labels.get(i) == 1}
     assert all(labels.get(i, 1) for i in gone)
+    assert len(toxic) >= 5 and len(toxic & gone) >= 0.9 * len(toxic)
 
 
 def test_lines(stages):
