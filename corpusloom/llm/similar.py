@@ -136,14 +136,15 @@ def _sets(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "node long, grams array<long>")
 
 
-def _entries(nodes: DataFrame, deals: list[int], blocks: int = BLOCKS, sketched: bool = False) -> DataFrame:
-    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, the sketch."""
-    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else [])]
+def _entries(nodes: DataFrame, deals: list[int], blocks: int = BLOCKS, more: str = "") -> DataFrame:
+    """One row for each node and block of ``deals``: slot (table, block, and the next two blocks for order), node, its root, the words to compare, and the sketch (``more`` = odd) or known."""
+    sketched = more == "odd"
+    names = ["slot", "node", "root", *(f"w{k}" for k in range(WORDS)), *(ODD_NAMES if sketched else [more] if more else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(2).flatten().to_numpy().reshape(-1, BITS // 64)
-            odd = batch.column(3).flatten().to_numpy().reshape(-1, len(ODD_NAMES)).T if sketched else []
+            odd = batch.column(3).flatten().to_numpy().reshape(-1, len(ODD_NAMES)).T if sketched else [batch.column(3).to_numpy()] if more else []
             bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
             same = [*(batch.column(k).to_numpy() for k in range(2)), *prints.T[:WORDS], *odd]
             for deal in deals:
@@ -153,7 +154,7 @@ def _entries(nodes: DataFrame, deals: list[int], blocks: int = BLOCKS, sketched:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slot.ravel(), *(np.repeat(c, blocks) for c in same))], names)
 
     root = "root" if "root" in nodes.columns else F.col("node").alias("root")
-    return nodes.select("node", root, "bands", *(["odd"] if sketched else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return nodes.select("node", root, "bands", *([more] if more else [])).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _starts(bucket: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -237,7 +238,8 @@ def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Ite
             if how == "ends":
                 if len(named) > NAMED:
                     named = set()
-                new = {x for pair in pairs for of in pair for x in node[of].tolist()} - named
+                told = small[3 + WORDS] == 0 if len(small) > 3 + WORDS else np.ones(len(node), bool)  # known nodes are not named again
+                new = {x for pair in pairs for of in pair for x in node[of[told[of]]].tolist()} - named
                 named |= new
                 a = np.concatenate([np.fromiter(new, np.int64, len(new)), crowded])
                 b = np.concatenate([np.zeros(len(new), np.int64), np.ones(len(crowded), np.int64)])
@@ -250,7 +252,7 @@ def _meet(batches: Iterator[pa.RecordBatch], how: str, similarity: float) -> Ite
 
 
 def candidates(nodes: DataFrame, deals: list[int] | None = None, how: str = "pairs", similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it).
+    """Distinct (a, b) of ``nodes`` (node, bands: the fingerprint, root if known, odd: the sketch if pairs have to pass it, known: 1 for ends that need not be named).
 
     ``pairs``: nodes of two roots that are near and share a bucket of at most ``LIMIT``.  ``ends``: (node, 0) of each node in such a pair,
     and (bucket, 1) for each larger bucket of several roots.  ``chain``: of each node and bucket the first near one behind it.
@@ -258,7 +260,8 @@ def candidates(nodes: DataFrame, deals: list[int] | None = None, how: str = "pai
     bucket = F.shiftright("slot", 32)
     order = ["slot", "node"] if how == "chain" else [bucket, "root", "node"]
     blocks = CHAINED if how == "chain" else BLOCKS
-    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, blocks, how == "pairs" and "odd" in nodes.columns)
+    more = {"pairs": "odd", "ends": "known"}.get(how, "")
+    entries = _entries(nodes, list(range(DEALS)) if deals is None else deals, blocks, more if more in nodes.columns else "")
     return entries.repartition(bucket).sortWithinPartitions(*order).mapInArrow(partial(_meet, how=how, similarity=similarity), "a long, b long").distinct()
 
 
@@ -296,6 +299,16 @@ def _pairs(nodes: DataFrame, scratch: Scratch, name: str, deals: list[int], how:
         return reduce(DataFrame.unionByName, [scratch.save(candidates(nodes, [deal], how, similarity), f"{name}{deal}") for deal in deals])
 
 
+def _marks(rooted: DataFrame, scratch: Scratch, deals: list[int], similarity: float) -> DataFrame:
+    """The ends and crowded buckets of all ``deals``, one after the other; nodes that one dealing has named are not named by the next."""
+    found, asked = [], rooted
+    for deal in deals:
+        found.append(_pairs(asked, scratch, "met", [deal], "ends", similarity))
+        known = reduce(DataFrame.unionByName, found).where("b = 0").select(F.col("a").alias("node")).distinct().withColumn("known", F.lit(1).cast("long"))
+        asked = rooted.join(known, "node", "left").withColumn("known", F.coalesce("known", F.lit(0).cast("long")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The distinct ``pairs`` (a, b) whose fingerprints differ in at most ``FAR_ALL`` bits and whose sketches allow a link."""
     left, right = (nodes.select(F.col("node").alias(end), F.struct("bands", "odd").alias(of)) for end, of in (("a", "x"), ("b", "y")))
@@ -334,7 +347,7 @@ def links(df: DataFrame, rows: DataFrame, key: str, text: str, scratch: Scratch,
     sets = sets_of(_ends(chains), 0)
     roots = components(scratch.save(_alike(chains, sets, similarity), "links0"), Scratch(df.sparkSession, "similar"))
     rooted = scratch.save(nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    marks = _pairs(rooted, scratch, "met", deals, "ends", similarity)
+    marks = _marks(rooted, scratch, deals, similarity)
     met = scratch.save(rooted.join(marks.where("b = 0").select(F.col("a").alias("node")).distinct(), "node"), "met")
     rest = scratch.save(_close(_pairs(met, scratch, "pairs", deals, "pairs", similarity), met, similarity), "rest")
     many = scratch.save(nodes_of_buckets(rooted, marks.where("b = 1").select(F.col("a").alias("bucket")).distinct()), "crowd")

@@ -42,6 +42,8 @@ def test_every_pair_of_a_small_bucket_is_found_but_those_of_one_root(spark):
     apart = {(a, b) for a, b in every if a // 2 != b // 2}
     assert {tuple(r) for r in similar.candidates(nodes, [0]).collect()} == apart
     assert {tuple(r) for r in similar.candidates(nodes, [0], "ends").collect()} == {(k, 0) for k in range(n)}
+    some = nodes.withColumn("known", (nodes.node % 3).cast("long"))
+    assert {tuple(r) for r in similar.candidates(some, [0], "ends").collect()} == {(k, 0) for k in range(0, n, 3)}
     assert similar.candidates(nodes, [0], "chain").count() <= n * similar.CHAINED
 
 
