@@ -3,10 +3,13 @@
 import html
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,27 @@ def test_query_detect_language(spark):
     assert sum(r.lang == docs[r.doc_id].lang for r in some) >= 0.97 * len(some)
 
 
+def test_language_holds_the_grams_of_few_texts():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdeé  1İ𝒜ß") for _ in range(rng.randrange(1600))) for _ in range(600)] + ["", "1", None]
+    numbers, row = language.numbered(texts)
+    for k in (0, 1, 255, 256, 599, 600, 601, 602):
+        assert sorted(language.gram_of(int(g)) for g in numbers[row == k]) == sorted(language.grams_of(texts[k]))
+    texts, n = texts * 2, 0
+    model = language.Model(("de", "en"), ("a", "ab", "é"), np.log([[0.1, 0.2], [0.3, 0.1], [0.2, 0.2]]), np.log([0.5, 0.5]))
+    known = np.array([language.number_of(g) for g in model.grams], np.int64)
+    order = np.argsort(known)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    tracemalloc.start()
+    for keys, langs, _ in language.judge(batch, model, order, known[order]):
+        for doc, lang in zip(keys.to_pylist(), langs, strict=True):
+            hits = [model.grams.index(g) for g in language.grams_of(texts[doc]) if g in model.grams] if len(texts[doc] or "") > language.LEAST else []
+            assert lang == (model.langs[int((model.prior + model.log_p[hits].sum(0)).argmax())] if hits else "")
+            n += 1
+    assert n == len(texts) and tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 # -- search phrases
 
 
