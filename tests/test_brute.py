@@ -648,3 +648,29 @@ def test_streams_resume_and_replay(spark, tmp_path):
     assert run() == (latest, once, closed, longest, totals)
     # a batch that is replayed finds the version before its own, and writes the same again
     assert len(flows.numbers(spark, f"{out}/latest", "version")) <= 2
+
+
+@pytest.mark.parametrize("high", [False, True])
+def test_best_of_tiles_holds_one_tile_and_keeps_ties(high):
+    rng = np.random.default_rng(3)
+    scores, ids = rng.integers(0, 40, (70, 3000)).astype(float), rng.permutation(3000)
+    best = retrieval._Best(70, 7, high)
+    for at in retrieval._tiles(3000, 128):
+        for some in retrieval._tiles(70, 32):
+            best.add(some.start, scores[some, at], ids[at])
+    got_scores, got = best.found(3000)
+    for row, (s, d) in enumerate(zip(got_scores, got, strict=True)):
+        want = sorted(zip(-scores[row], -ids if high else ids))[:7]
+        assert [(-a, -b if high else b) for a, b in want] == list(zip(s, d))
+    few = retrieval._Best(2, 5)
+    few.add(0, np.array([[1.0, 2.0], [2.0, 2.0]]), np.array([8, 9]))
+    assert few.found(2)[1].tolist() == [[9, 8], [8, 9]] and few.found(0)[0].shape == (2, 0)
+
+
+def test_vector_searches_hold_tiles_of_rows_and_queries(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id AS vec_id", "array(id % 7 - 3.5D, id % 11 - 5D, 1D) AS embedding").coalesce(1)
+    runs = [lambda: retrieval.dense_topk(rows, rows, 4), lambda: retrieval.dense_topk(rows, rows, 4, high_ids_first=True), lambda: retrieval.best_queries(rows, rows, 4), lambda: retrieval.quantised_topk(rows, rows, 4)]
+    whole = [sorted(run().collect()) for run in runs]
+    for name, size in (("ROW_TILE", 7), ("QUERY_TILE", 11)):
+        monkeypatch.setattr(retrieval, name, size)
+    assert [sorted(run().collect()) for run in runs] == whole and all(len(w) == 240 for w in whole)
