@@ -674,3 +674,15 @@ def test_vector_searches_hold_tiles_of_rows_and_queries(spark, monkeypatch):
     for name, size in (("ROW_TILE", 7), ("QUERY_TILE", 11)):
         monkeypatch.setattr(retrieval, name, size)
     assert [sorted(run().collect()) for run in runs] == whole and all(len(w) == 240 for w in whole)
+
+
+def test_dedup_gives_python_few_texts_at_a_time(spark, monkeypatch):
+    """Whole texts and their sets come in small batches, however many rows a partition has; the session's setting stays."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, save = spark.conf.get(name), Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, table: seen.append((table, int(spark.conf.get(name)))) or save(self, df, table))
+    docs = spark.range(200).selectExpr("id AS doc_id", "'s' AS source", "concat_ws(' ', transform(sequence(1, 60), i -> i * (id % 20))) AS text").coalesce(1)
+    table = {r.cluster_id: (r["size"], r["classes"]) for r in dedup.cluster_table(docs, dedup.clusters(docs)).collect()}
+    assert table == {k: (10, 1) for k in range(20)} and spark.conf.get(name) == before
+    whole = {"keys", "bands", "sets", "facts"}
+    assert whole <= {t for t, _ in seen} and all(n <= 64 for t, n in seen if t in whole)
