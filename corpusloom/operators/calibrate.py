@@ -7,11 +7,14 @@ driver are a few numbers for each value tried.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
@@ -19,6 +22,9 @@ from ..sources.scratch import Scratch
 from . import fusion, ranking
 from .fusion import RUNNING, per_query
 
+#: Lists that are looked at together.
+LISTS = 1024
+
 
 def solve(evaluate: Callable[[list[float]], list[float]], target: float, low: float, high: float, passes: int = 5, tries: int = 24, geometric: bool = False, grows: bool = True) -> float:
     """Of the values that bracket the place where a monotone function meets ``target``, the one whose value is closest to it (the smaller on ties)."""
@@ -41,9 +47,71 @@ def cumulated(pool: DataFrame, p: str, floor: int, gold: Column, scratch: Scratc
     return scratch.save(rows.where(F.col("k") >= F.least(F.lit(floor), F.col("n"))).drop("n"), "cumulated")
 
 
-def _first_best(value: Column) -> Column:
-    """The smallest k of largest value, as an aggregate."""
-    return -F.max(F.struct(F.round(value, 9).alias("v"), (-F.col("k")).alias("neg")))["neg"]
+def _rounded(x: float) -> float:
+    """As Spark rounds to nine places."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) if np.isfinite(x) else x
+
+
+def first_best(value: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each list the smallest k of largest value to nine places; only values so close that rounding may decide are rounded."""
+    value = np.where(np.isnan(value), -np.inf, value)
+    sizes = np.diff(np.append(starts, len(value)))
+    top = np.repeat(np.maximum.reduceat(value, starts), sizes)
+    near = np.flatnonzero(value >= top - 1.5e-9)
+    of = np.repeat(np.arange(len(starts)), sizes)[near]
+    first = np.searchsorted(of, np.arange(len(starts)))
+    out = k[near[first]]
+    ends = np.append(first[1:], len(near))
+    for i in np.flatnonzero(ends - first > 1):
+        some = near[first[i] : ends[i]]
+        out[i] = min((-_rounded(v), place) for v, place in zip(value[some].tolist(), k[some].tolist(), strict=True))[1]
+    return out
+
+
+def _listed(rows: DataFrame, scratch: Scratch, *facts: str) -> DataFrame:
+    """Written (query_id, k, cum, and the facts of a query): one row for each list, so that no pass sorts or shuffles."""
+    pairs = F.sort_array(F.collect_list(F.struct("k", "cum")))
+    lists = rows.groupBy("query_id").agg(pairs.alias("x"), *[F.first(c).cast("double").alias(c) for c in facts])
+    return scratch.save(lists.select("query_id", F.col("x.k").cast("array<long>").alias("k"), F.col("x.cum").cast("array<double>").alias("cum"), *facts), "lists")
+
+
+def _cuts(lists: DataFrame, value: Callable, values: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]]:
+    """For each batch of lists, by slices, the best places under each of ``values``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LISTS):
+                some = batch.slice(at, LISTS)
+                n = some.column(1).value_lengths().to_numpy()
+                k, cum = some.column(1).flatten().to_numpy(), some.column(2).flatten().to_numpy(zero_copy_only=False)
+                facts = [np.repeat(c.to_numpy(zero_copy_only=False), n) for c in some.columns[3:]]
+                yield some, [first_best(value(s, k, cum, *facts), k, np.cumsum(n) - n) for s in values]
+
+    return run
+
+
+def _totals(lists: DataFrame, value: Callable, values: list[float]) -> tuple[list[float], int]:
+    """The sums of the best places under each value, and the number of lists; a task sends one row for each value."""
+    cuts = _cuts(lists, value, values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(values), np.int64), 0
+        for some, found in cuts(batches):
+            total, n = total + [int(f.sum()) for f in found], n + some.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(total), pa.array(np.full(len(values), n))], ["i", "total", "n"])
+
+    rows = lists.mapInArrow(run, "i long, total long, n long").groupBy("i").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).orderBy("i").collect()
+    return [float(r.total) for r in rows], rows[0].n if rows else 0
+
+
+def _cut(lists: DataFrame, value: Callable, s: float) -> DataFrame:
+    cuts = _cuts(lists, value, [s])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, (found,) in cuts(batches):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found)], ["query_id", "k"])
+
+    return lists.mapInArrow(run, T.StructType([lists.schema["query_id"], T.StructField("k", T.LongType())]))
 
 
 def solve_marginal_scale(pool: DataFrame, p: str, floor: int, gold: Column, mean: float) -> tuple[float, DataFrame]:
@@ -51,28 +119,25 @@ def solve_marginal_scale(pool: DataFrame, p: str, floor: int, gold: Column, mean
     scratch = Scratch(pool.sparkSession, "lambda")
     rows = cumulated(pool, p, floor, gold, scratch)
     best = F.max(5 * F.col("cum") / (4 * F.col("g") + F.col("k"))).over(W.partitionBy("query_id"))
-    rows = scratch.save(rows.withColumn("f", best), "best")
-    value = lambda s: F.col("cum") - F.lit(s) * F.col("f") / 5 * F.col("k")
+    rows = rows.withColumn("f", best)
+    lists = _listed(rows, scratch, "f")
+    value = lambda s, k, cum, f: cum - s * f / 5 * k
 
     def means(values: list[float]) -> list[float]:
-        per = rows.groupBy("query_id").agg(*[_first_best(value(s)).alias(f"k{i}") for i, s in enumerate(values)])
-        return list(per.agg(*[F.avg(f"k{i}") for i in range(len(values))]).first())
+        totals, n = _totals(lists, value, values)
+        return [t / n for t in totals]
 
     s = solve(means, mean, 0.05, 50.0, geometric=True, grows=False)
-    return s, rows.groupBy("query_id").agg(_first_best(value(s)).cast("long").alias("k"))
+    return s, _cut(lists, value, s)
 
 
 def solve_gold_scale(pool: DataFrame, p: str, gold: Column, target: int) -> tuple[float, DataFrame]:
     """The factor on expected hits whose best cuts argmax sum(p) / (4 s G + n) add up to ``target``, and the cuts (query_id, k)."""
-    rows = cumulated(pool, p, 1, gold, Scratch(pool.sparkSession, "scale"))
-    value = lambda s: F.col("cum") / (4 * F.lit(s) * F.col("g") + F.col("k"))
-
-    def totals(values: list[float]) -> list[float]:
-        per = rows.groupBy("query_id").agg(*[_first_best(value(s)).alias(f"k{i}") for i, s in enumerate(values)])
-        return list(per.agg(*[F.sum(f"k{i}").cast("double") for i in range(len(values))]).first())
-
-    s = solve(totals, target, 1e-4, 1e4, passes=6, geometric=True)
-    return s, rows.groupBy("query_id").agg(_first_best(value(s)).cast("long").alias("k"))
+    scratch = Scratch(pool.sparkSession, "scale")
+    lists = _listed(cumulated(pool, p, 1, gold, scratch), scratch, "g")
+    value = lambda s, k, cum, g: cum / (4 * s * g + k)
+    s = solve(lambda values: _totals(lists, value, values)[0], target, 1e-4, 1e4, passes=6, geometric=True)
+    return s, _cut(lists, value, s)
 
 
 def fit_gold_scale(cuts: DataFrame, target: float) -> float:

@@ -5,13 +5,14 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import urls as U
-from corpusloom.operators import compose, dedup, fusion, graph, passages, retrieval, scoring, skew, structure
+from corpusloom.operators import calibrate, compose, dedup, fusion, graph, passages, retrieval, scoring, skew, structure
 from corpusloom.plans import catalogue
 from corpusloom.plans.fusion import pool
 from corpusloom.plans.solved import query_features
@@ -686,3 +687,22 @@ def test_dedup_gives_python_few_texts_at_a_time(spark, monkeypatch):
     assert table == {k: (10, 1) for k in range(20)} and spark.conf.get(name) == before
     whole = {"keys", "bands", "sets", "facts"}
     assert whole <= {t for t, _ in seen} and all(n <= 64 for t, n in seen if t in whole)
+
+
+def test_first_best_takes_the_smallest_place_of_equal_rounded_values():
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 9, 300)
+    starts, k = np.cumsum(sizes) - sizes, np.concatenate([np.arange(1, n + 1) for n in sizes])
+    value = np.round(rng.random(len(k)), 1) + rng.choice([0.0, 4e-10, 5e-10, 1e-9, 6e-10], len(k))
+    value[starts[0]] = np.nan
+    got = calibrate.first_best(value, k, starts)
+    for s, n, place in zip(starts, sizes, got, strict=True):
+        rounded = [-math.inf if v != v else float(Decimal(repr(float(v))).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in value[s : s + n]]
+        assert place == 1 + rounded.index(max(rounded))
+
+
+def test_solved_cuts_pass_over_lists_without_a_shuffle(spark, monkeypatch):
+    seen, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: seen.append(name) or save(self, df, name))
+    cuts = catalogue.QUERIES["ef2_counts_solved"](spark, SF)
+    assert "lists" in seen and "Exchange" not in cuts._jdf.queryExecution().executedPlan().toString()
