@@ -63,6 +63,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, of a block; blocks of a dealing, dealings; buckets that a node enters.
 BITS, BLOCK = 512, 16
 BLOCKS, DEALS = BITS // BLOCK, 6
+#: Dealings that lie in the shuffle at once.
+AT_ONCE = 2
 BANDS = DEALS * BLOCKS
 #: Words of the fingerprint that are compared in a bucket, the most bits that may differ there, and of all bits.
 WORDS, FAR, FAR_ALL = 3, 61, 128
@@ -294,16 +296,22 @@ def _setting(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def _pairs(nodes: DataFrame, scratch: Scratch, name: str, deals: list[int], how: str, similarity: float) -> DataFrame:
-    """The candidates of ``deals``, one dealing after the other, so that only one lies in the shuffle."""
+    """The candidates of ``deals``, ``AT_ONCE`` after the other, so that no more lie in the shuffle."""
     with _setting(nodes.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(ENTRY_ROWS)):
-        return reduce(DataFrame.unionByName, [scratch.save(candidates(nodes, [deal], how, similarity), f"{name}{deal}") for deal in deals])
+        return reduce(DataFrame.unionByName, [scratch.save(candidates(nodes, some, how, similarity), f"{name}{some[0]}") for some in _parts(deals)])
+
+
+def _parts(deals: list[int]) -> list[list[int]]:
+    return [deals[k : k + AT_ONCE] for k in range(0, len(deals), AT_ONCE)]
 
 
 def _marks(rooted: DataFrame, scratch: Scratch, deals: list[int], similarity: float) -> DataFrame:
-    """The ends and crowded buckets of all ``deals``, one after the other; nodes that one dealing has named are not named by the next."""
+    """The ends and crowded buckets of all ``deals``, ``AT_ONCE`` after the other; nodes that one job has named are not named by the next."""
     found, asked = [], rooted
-    for deal in deals:
-        found.append(_pairs(asked, scratch, "met", [deal], "ends", similarity))
+    for some in _parts(deals):
+        found.append(_pairs(asked, scratch, "met", some, "ends", similarity))
+        if some[-1] == deals[-1]:
+            break
         known = reduce(DataFrame.unionByName, found).where("b = 0").select(F.col("a").alias("node")).distinct().withColumn("known", F.lit(1).cast("long"))
         asked = rooted.join(known, "node", "left").withColumn("known", F.coalesce("known", F.lit(0).cast("long")))
     return reduce(DataFrame.unionByName, found)

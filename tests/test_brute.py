@@ -380,6 +380,25 @@ def test_components_of_long_chains_and_hubs(spark):
     assert graph.components(df.limit(0), Scratch(spark, "none")).count() == 0
 
 
+def test_rounds_of_few_edges_are_few_tasks(spark):
+    """The records of tasks stay with the driver: a round of 1,787 tasks on 211 partitions, many times in a pipeline, was too much for it."""
+    df = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stages = lambda: {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup("stars") for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    spark.sparkContext.setJobGroup("stars", "stars")
+    try:
+        got = {r.node: r.root for r in graph.components(df, Scratch(spark, "few")).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    tasks = [spark.sparkContext.statusTracker().getStageInfo(s) for s in stages()]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds = sum(t is not None and t.numTasks == partitions and t.numCompletedTasks > 0 for t in tasks)
+    assert got == {n: 0 for n in range(1, 51)}
+    assert rounds <= 50
+
+
 def test_counted_join_equals_a_join(spark):
     rows = spark.createDataFrame([(k % 7 if k < 90 else 1, k) for k in range(120)], "k long, v long")
     per = rows.where("k <> 3").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
