@@ -2,7 +2,8 @@
 
 An index is a folder of segments.  A segment holds the words of some source
 files as postings (term, doc_id, row, tf, dl) in ``BUCKETS`` folders by the hash of the term, sorted by term, so a
-search reads the buckets of its terms only.  The
+search reads the buckets of its terms only.  Words are counted where their text lies, so each posting is
+shuffled once.  The
 catalogue says for each source file its length, time of change and segment.
 ``refresh`` compares it with the files that are there: files that agree are not
 read again; new ones become a segment of their own; where a file has changed or
@@ -19,20 +20,44 @@ which count for the mean length; equal ids are separate documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import few_rows
 from . import retrieval
 from .skew import spread
 
 BUCKETS, MAX_SEGMENTS = 32, 8
+#: Texts whose words are counted at a time.
+TEXTS = 256
 _CATALOGUE = "file string, length long, changed timestamp, segment string, docs long, words long"
 _POSTINGS = "term string, doc_id long, row long, tf long, dl long, bucket int"
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, row, dl, tf) of the words ``w`` of each row, counted where it lies, and for each row one without term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, dl = batch.column(2), batch.column(2).value_lengths().to_numpy().astype(np.int64)
+            held = words.flatten()
+            of = np.repeat(np.arange(batch.num_rows), dl)[held.is_valid().to_numpy(zero_copy_only=False)]
+            coded = held.drop_null().dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            found, tf = np.unique(of * many + coded.indices.to_numpy(), return_counts=True)
+            row, every = np.concatenate([found // many, np.arange(batch.num_rows)]), batch.num_rows
+            terms = pa.concat_arrays([coded.dictionary.take(pa.array(found % many)), pa.nulls(every, coded.dictionary.type)])
+            tf = np.concatenate([tf.astype(np.int64), np.zeros(every, np.int64)])
+            yield pa.RecordBatch.from_arrays([terms, *(batch.column(k).take(pa.array(row)) for k in range(2)), pa.array(dl[row]), pa.array(tf)], ["term", "doc_id", "row", "dl", "tf"])
+
+    return docs.select("doc_id", "row", "w").mapInArrow(run, "term string, doc_id long, row long, dl long, tf long")
+
+
 class TextIndex:
     """The stored postings of ``source`` (a folder of Parquet files) under ``root``, a folder that driver and executors share."""
 
@@ -78,11 +103,9 @@ class TextIndex:
         segment = uuid.uuid4().hex
         docs = spread(self.spark.read.parquet(*files).select(F.col(self.key).cast("long").alias("doc_id"), F.col(self.text).alias("_text")).where("doc_id IS NOT NULL"))
         words = F.coalesce(self.tokens(F.col("_text")), F.array().cast("array<string>"))
-        path = f"{self.root}/documents/segment={segment}"
-        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words.alias("w"), F.size(words).cast("long").alias("dl")).write.parquet(path)
-        written = self.spark.read.parquet(path)
-        self._write_postings(written.select("doc_id", "row", "dl", F.explode("w").alias("term")).groupBy("term", "doc_id", "row", "dl").agg(F.count("*").alias("tf")), segment)
-        n, total = written.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        with few_rows(self.spark, TEXTS):
+            self._write_postings(_counted(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words.alias("w"))), segment)
+        n, total = self._rows([segment]).where("term IS NULL").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         first = F.col("file") == files[0]  # the totals of a segment stand beside its first file
         numbers = [F.when(first, F.lit(x)).otherwise(0).cast("long").alias(c) for c, x in (("docs", n), ("words", total))]
         return self.files().where(F.col("file").isin(*files)).select("file", "length", "changed", F.lit(segment).alias("segment"), *numbers)
@@ -91,7 +114,10 @@ class TextIndex:
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
         rows = counted.select("term", "doc_id", "row", "tf", "dl").withColumn("bucket", bucket)
         part = F.pmod(F.xxhash64("row"), F.lit(8))  # a bucket of common words is cut over several files
-        rows.repartition("bucket", part).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
+        self._write_sorted(rows.repartition("bucket", part), segment)
+
+    def _write_sorted(self, rows: DataFrame, segment: str) -> None:
+        rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
 
     def _commit(self, kept: DataFrame, made: list[DataFrame]) -> None:
         out = kept
@@ -101,18 +127,18 @@ class TextIndex:
         out.coalesce(1).write.parquet(f"{self.root}/catalogue/{(found[-1] if found else 0) + 1}")
 
     def merge(self, at_most: int = MAX_SEGMENTS) -> bool:
-        """If there are more than ``at_most`` segments, their postings become one; texts are not read."""
+        """If there are more than ``at_most`` segments, their postings become one; texts are not read, and nothing is shuffled, for all are cut by the same buckets."""
         old = self.catalogue()
         names = [r.segment for r in old.select("segment").distinct().collect()]
         if len(names) <= at_most:
             return False
         segment = uuid.uuid4().hex
-        rows = self._postings(names).select("term", "doc_id", F.xxhash64("row", "segment").alias("row"), "tf", "dl")
-        self._write_postings(rows, segment)
+        self._write_sorted(self._rows(names).select("term", "doc_id", F.xxhash64("row", "segment").alias("row"), "tf", "dl", "bucket"), segment)
         self._commit(old.withColumn("segment", F.lit(segment)), [])
         return True
 
-    def _postings(self, segments: list[str]) -> DataFrame:
+    def _rows(self, segments: list[str]) -> DataFrame:
+        """The postings of segments; a row without term stands for each document."""
         parts = [self.spark.read.schema(_POSTINGS).parquet(f"{self.root}/postings/segment={s}").withColumn("segment", F.lit(s)) for s in segments]
         out = parts[0]
         for p in parts[1:]:
@@ -124,11 +150,11 @@ class TextIndex:
         segments = sorted(r.segment for r in self.catalogue().select("segment").distinct().collect())
         if not segments:
             return self.spark.createDataFrame([], _POSTINGS).drop("bucket").withColumn("segment", F.lit(""))
-        rows = self._postings(segments)
+        rows = self._rows(segments).where("term IS NOT NULL")
         if terms is not None:
             asked = self.spark.createDataFrame([(t,) for t in terms], "term string")
             buckets = [r.b for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(*buckets)).join(asked, "term", "left_semi")
+            rows = rows.where(F.col("bucket").isin(*buckets)).join(F.broadcast(asked), "term", "left_semi")
         return rows.drop("bucket")
 
     def totals(self) -> tuple[int, float]:
@@ -160,5 +186,6 @@ class TextIndex:
         number = self.spark.createDataFrame(list(enumerate(terms)), "id int, term string")
         rows = self.postings(terms).join(F.broadcast(number), "term")  # the terms of one block of queries
         pairs = F.array_sort(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"))))
-        return rows.groupBy("segment", "row", "doc_id").agg(F.max("dl").alias("dl"), pairs.alias("p")).select("doc_id", "dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"))
+        dealt = rows.select("doc_id", F.col("row"), F.xxhash64("segment").alias("segment"), "dl", "id", "tf").repartition("segment", "row")  # else lists are begun, sorted and spilled before the shuffle too
+        return dealt.groupBy("segment", "row").agg(F.max("doc_id").alias("doc_id"), F.max("dl").alias("dl"), pairs.alias("p")).select("doc_id", "dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"))
 

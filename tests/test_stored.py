@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import retrieval, sketches
+from corpusloom.operators import retrieval, sketches, textindex
 from corpusloom.operators.textindex import TextIndex
 from corpusloom.operators.versions import Stale, VersionedTable
 from corpusloom.plans import catalogue
@@ -84,6 +84,20 @@ def test_an_index_is_reused_extended_and_merged(spark, tmp_path):
     assert TextIndex(spark, f"{tmp_path}/index", f"{tmp_path}/source").refresh() == {"reused": 3, "read": 0, "gone": 0}
 
 
+def test_words_are_counted_where_they_lie_and_looked_up_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 10, ["b", "a", "b", None]), (1, 11, []), (2, 12, ["a"])], "doc_id long, row long, w array<string>")
+    counted = textindex._counted(docs)
+    want = {("a", 1, 10, 4, 1), ("b", 1, 10, 4, 2), (None, 1, 10, 4, 0), (None, 1, 11, 0, 0), ("a", 2, 12, 1, 1), (None, 2, 12, 1, 0)}
+    assert {tuple(r) for r in counted.collect()} == want and counted.count() == len(want)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([(1, "b a b"), (2, "a c")], "doc_id long, text string").write.parquet(f"{tmp_path}/source")
+    index = TextIndex(spark, f"{tmp_path}/index", f"{tmp_path}/source")
+    index.refresh()
+    found = index.postings(["a", "b"])
+    assert {(r.term, r.doc_id, r.tf, r.dl) for r in found.collect()} == {("a", 1, 1, 3), ("b", 1, 2, 3), ("a", 2, 1, 2)}
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and index.totals() == (2, 2.5)
+
+
 def test_changed_and_removed_files_are_indexed_anew(spark, tmp_path):
     rows = [(k, f"word{k} common") for k in range(8)]
     for k in range(4):
