@@ -5,7 +5,11 @@ then folded in the order of their times.  So the events that come out do not dep
 on how the log is cut into files and batches; rows behind the watermark are
 dropped by Spark and counted in the progress of the query.
 
-A domain's state is one row (rate, baseline, counters, end of the pause) and two bounded
+Each call of the state store and each timer is a message between Python and the JVM, so
+their number goes by keys and batches, not by rows: the rows of a batch wait packed in one
+value, and a key has a timer for its first waiting row, not one for each.
+
+A domain's state is one row: rate, baseline, counters, end of the pause, and two bounded
 lists (latencies of the window, errors of the last requests).  A pause ends by an
 event-time timer, whether or not further requests come.
 """
@@ -16,6 +20,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,8 +33,12 @@ RATE_LIMITED = (428, 429, 503)
 NOT_ERRORS = (404, 410)
 
 
-#: Timers stand at whole ticks, so a key has at most one for each; the log is folded up to the last tick that the watermark has passed.
+#: Timers stand at whole ticks; the log is folded up to the last tick that the watermark has passed.
 TICK_MS = 1000
+#: A waiting row; no status is NO_STATUS.
+WAITS, NO_STATUS = np.dtype([("at", "<i8"), ("id", "<i8"), ("latency", "<f8"), ("status", "<i4")]), -(2**31)
+#: So many rows are Python values at once.
+UNPACKED = 1 << 16
 
 
 def tick(at: int) -> int:
@@ -115,42 +124,57 @@ def resume(c: Control, now: int) -> list[tuple[int, str, float]]:
     return [(ended, "resume", c.rate)]
 
 
-_CONTROL = "rate double, baseline double, in_window long, limited boolean, in_a_row long, paused_until long, halted boolean"
+_CONTROL = "rate double, baseline double, in_window long, limited boolean, in_a_row long, paused_until long, halted boolean, latencies array<double>, errors array<boolean>"
+
+
+def packed(rows: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(rows), WAITS)
+    for name in WAITS.names:
+        out[name] = rows[name].to_numpy()
+    return out
+
+
+def unpacked(rows: np.ndarray) -> Iterator[tuple]:
+    for k in range(0, len(rows), UNPACKED):
+        yield from rows[k : k + UNPACKED].tolist()
 
 
 class _Ordered(StatefulProcessor):
     """Holds rows until the watermark has passed them; ``fold`` sees them in the order of time and id."""
 
     key_name: str
-    waits = "at long, id long, latency double, status int"
     result: tuple[str, ...]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waits)
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(None if x is None or x != x else x for x in r) for batch in rows for r in batch[["at", "id", "latency", "status"]].itertuples(index=False)]
-        if new:
-            self.waiting.appendList([(int(a), int(i), 0.0 if x is None else float(x), None if s is None else int(s)) for a, i, x, s in new])
-            for at in {tick(int(r[0])) for r in new}:
-                self.handle.registerTimer(at)
+        first = None
+        for batch in rows:
+            new = packed(batch)
+            self.waiting.appendValue((new.tobytes(),))
+            first = int(new["at"].min()) if first is None else min(first, int(new["at"].min()))
+        if first is not None:
+            self.handle.registerTimer(tick(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() // TICK_MS * TICK_MS
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, later = sorted((r for r in held if r[0] <= now), key=lambda r: r[:2]), [r for r in held if r[0] > now]
-        if ready:
-            if later:
-                self.waiting.put(later)
+        held = np.concatenate([np.empty(0, WAITS), *(np.frombuffer(r[0], WAITS) for r in self.waiting.get())])
+        ready, later = held[held["at"] <= now], held[held["at"] > now]
+        if len(later):
+            self.handle.registerTimer(tick(int(later["at"].min())))
+        if len(ready):
+            if len(later):
+                self.waiting.put([(later.tobytes(),)])
             else:
                 self.waiting.clear()
-        made = self.fold(ready, now)
+        made = self.fold(ready[np.lexsort((ready["id"], ready["at"]))], now)
         if made:
             yield pd.DataFrame([(*key, *e) for e in made], columns=[self.key_name, *self.result])
 
-    def fold(self, ready: list[tuple], now: int) -> list[tuple]:
+    def fold(self, ready: np.ndarray, now: int) -> list[tuple]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -166,25 +190,21 @@ class _RateControl(_Ordered):
     def init(self, handle) -> None:
         super().init(handle)
         self.control = handle.getValueState("control", _CONTROL)
-        self.latencies, self.errors = handle.getListState("latencies", "x double"), handle.getListState("errors", "x boolean")
 
-    def fold(self, ready: list[tuple], now: int) -> list[tuple]:
-        held = self.control.get() if self.control.exists() else None
-        c = Control(**{f.name: held[k] for k, f in enumerate(fields(Control))}) if held is not None else Control(rate=min(1.0, self.rule.cap))
-        latencies, errors = ([r[0] for r in s.get()] if s.exists() else [] for s in (self.latencies, self.errors))
+    def fold(self, ready: np.ndarray, now: int) -> list[tuple]:
+        held, n = self.control.get(), len(fields(Control))
+        c = Control(rate=min(1.0, self.rule.cap)) if held is None else Control(*held[:n])
+        latencies, errors = ([], []) if held is None else map(list, held[n:])
         out: list[tuple] = []
-        for at, _, latency, status in ready:
-            paused = c.paused_until
-            out += step(self.rule, c, latencies, errors, at, latency, status)
-            if c.paused_until and c.paused_until != paused:
-                self.handle.registerTimer(tick(c.paused_until))
+        for at, _, latency, status in unpacked(ready):
+            if c.halted:
+                break
+            out += step(self.rule, c, latencies, errors, at, latency, None if status == NO_STATUS else status)
         out += resume(c, now)
-        self.control.update(tuple(asdict(c).values()))
-        for state, values in ((self.latencies, latencies), (self.errors, errors)):
-            if values:
-                state.put([(v,) for v in values])
-            else:
-                state.clear()
+        if len(ready) or out:
+            self.control.update((*asdict(c).values(), latencies, errors))
+        if c.paused_until:
+            self.handle.registerTimer(tick(c.paused_until))
         return out
 
 
@@ -198,10 +218,10 @@ class _Liveness(_Ordered):
         super().init(handle)
         self.last = handle.getValueState("last", "at long")
 
-    def fold(self, ready: list[tuple], now: int) -> list[tuple]:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for at, *_ in ready:
+    def fold(self, ready: np.ndarray, now: int) -> list[tuple]:
+        held = self.last.get()
+        last, out = None if held is None else held[0], []
+        for at, *_ in unpacked(ready):
             if last is not None and at - last >= self.silence_ms:
                 out.append((last + self.silence_ms, "DEAD"))
                 last = None
@@ -252,8 +272,10 @@ def _use_rocksdb(rows: DataFrame) -> None:
 
 
 def _prepared(rows: DataFrame, key: str, late: str, latency: str, status: str) -> DataFrame:
-    at = "CAST(unix_millis(ts) AS long) AS at"
-    return rows.where(f"{key} IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).selectExpr(key, "ts", at, "event_id AS id", f"{latency} AS latency", f"{status} AS status")
+    """The columns of WAITS, none of them null: no latency is 0, no status is NO_STATUS, rows without an id come first."""
+    at, number = "CAST(unix_millis(ts) AS long) AS at", f"coalesce(CAST({status} AS int), {NO_STATUS}) AS status"
+    seconds = f"coalesce(nanvl(CAST({latency} AS double), 0D), 0D) AS latency"
+    return rows.where(f"{key} IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).selectExpr(key, "ts", at, f"coalesce(CAST(event_id AS long), {-(2**63)}) AS id", seconds, number)
 
 
 def rate_control(requests: DataFrame, key: str, key_type: str, late: str, rule: Rule = Rule(), latency: str = "latency", status: str = "status") -> DataFrame:  # noqa: B008

@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from corpusloom.plans import catalogue
+from corpusloom.sources.scratch import few_rows
 from corpusloom.streaming import control, flows
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +97,24 @@ def test_late_rows_change_nothing_and_are_counted(spark, tmp_path):
     assert collected(flows.written(spark, str(tmp_path / "out"), "batch", run().schema)) == first
 
 
+def test_timers_and_state_go_by_keys_and_not_by_rows(spark, tmp_path):
+    nothing = {3: None, 5: float("nan")}
+    rows = [(k, *r[1:3], nothing.get(k % 7, r[3]), r[4]) for k, r in enumerate(log(3))]
+    want = plain([(*r[:3], 0.0 if r[0] % 7 in nothing else r[3], r[4]) for r in rows], (millis(max(r[2] for r in rows)) - 10_000) // control.TICK_MS * control.TICK_MS)
+    rows[11] = (None, *rows[11][1:])
+    folder = str(tmp_path / "in")
+    write(spark, folder, 0, rows)
+    rates, alive = control.rate_control(stream(spark, folder), "domain", "string", "10 seconds", RULE), control.liveness(stream(spark, folder), "domain", "string", "10 seconds", 60_000)
+    for name, made in (("rates", rates), ("alive", alive)):
+        out = str(tmp_path / name)
+        with few_rows(spark, 50):  # a key's rows come in more than one batch of Arrow
+            query = made.writeStream.outputMode("append").option("checkpointLocation", f"{out}-check").foreachBatch(lambda b, n, out=out: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        timers = [s["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for s in p["stateOperators"]]
+        assert timers[0] == 3 and max(timers) <= 6, timers
+    assert collected(flows.written(spark, str(tmp_path / "rates"), "batch", rates.schema)) == want
+
+
 def test_silence_is_noticed_by_event_time(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     folder = str(tmp_path / "in")
