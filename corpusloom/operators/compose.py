@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,13 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..functions.normal import metric_normal
-from ..sources.scratch import Scratch, few_rows
-from . import setjoin
+from ..sources.scratch import Scratch
+from . import wordjoin
 from .fusion import bisect, per_query
 from .ranking import place
 
-#: Rows whose 2-grams Python takes at a time.
-GRAM_ROWS = 1024
+#: Rows with a candidate partner whose keys are broadcast, so that only their texts are shuffled.
+MAX_ENDS = 1_000_000
 
 
 def join_complete(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,13 +180,11 @@ def merge_keeping_order(base: DataFrame, extra: DataFrame, k: int) -> DataFrame:
 def lcs_pairs(rows: DataFrame, key: str, tokens: Column, share: float = 0.8, copies: bool = True) -> DataFrame:
     """(a, b, lcs), a < b: rows that share a 2-gram and whose longest common subsequence covers ``share`` of the longer.
 
-    An LCS of L of n and m words has L - 1 neighbours, and each word outside it
-    parts one of them at most, so 3 L - n - m - 1 of the 2-grams are shared,
-    counted as often as they occur: 0.4 n - 1 at a share of 0.8.  So pairs are
-    sought only through the rarest 2-grams of each row, as many as cannot all be
-    missing; frequent ones are not joined on.  Rarity comes from hashed counts
-    (``setjoin.rarity``), so a row's 2-grams are chosen where it lies and only these are
-    shuffled, once.  The ratio of lengths and the words shared as multisets bound the LCS before it is worked out.
+    No LCS is longer than what two rows share as multisets of words, so pairs are
+    sought by the rarest words of each row (``wordjoin``), which makes rows only for pairs
+    that lengths, places and sketches allow.  Only texts of such pairs are
+    written and shuffled.  From a share of 0.8 on the LCS implies a shared 2-gram: of an LCS of L of n and m words
+    3 L - n - m - 1 are shared at least, and up to four words only equal lists reach the share.
 
     Equal word lists are one class, for which its smallest key stands.  Without
     ``copies`` the pairs are those of these representatives, and (representative, member, number of words) for each
@@ -194,21 +192,23 @@ def lcs_pairs(rows: DataFrame, key: str, tokens: Column, share: float = 0.8, cop
     """
     from .evaluate import lcs, overlap
 
-    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "lcs")
+    scratch = Scratch(rows.sparkSession, "lcs")
     whole = rows.select(F.col(key).alias("id"), tokens.alias("w")).where("id IS NOT NULL").where(F.size("w") >= 2)
     whole = whole.withColumn("k", F.unhex(F.sha2(F.to_json("w"), 256)))
-    words = scratch.save(whole.groupBy("k").agg(F.min_by("w", "id").alias("w"), F.min("id").alias("id"), F.count("*").alias("many")).withColumn("n", F.size("w")), "words")
-    pairs_of = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, 2))))
-    with few_rows(spark, GRAM_ROWS):
-        numbered = _numbered(words.select("id", "n", pairs_of.alias("grams")))
-        rare = scratch.save(_rarest(numbered, setjoin.rarity(numbered), share), "rare")
-    left, right = (rare.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "g") for x in ("a", "b"))
-    longer, shorter = F.greatest("na", "nb"), F.least("na", "nb")
-    found = left.join(right, "g").where((F.col("a") < F.col("b")) & (shorter >= F.lit(share) * longer - 1e-9)).select("a", "b", "na", "nb").distinct()
+    lists = wordjoin.distinct_lists(whole, share, scratch)
+    found = wordjoin.candidates(lists, share, scratch)
+    ends = scratch.save(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    asked = whole.join(F.broadcast(ends), "id", "left_semi") if ends.count() <= MAX_ENDS else whole
+    named = lists.select("id", "k").join(ends, "id", "left_semi")
+    words = scratch.save(asked.join(named, ["id", "k"], "left_semi").groupBy("id", "k").agg(F.first("w").alias("w")).select("id", "w"), "words")
     of = lambda x: words.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"))
+    longer = F.greatest(F.size("wa"), F.size("wb"))
     both = found.join(of("a"), "a").join(of("b"), "b").where(overlap("wa", "wb") >= F.lit(share) * longer - 1e-9)
+    if share < 0.8:
+        grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.slice(w, i, 2))
+        both = both.where(F.arrays_overlap(grams("wa"), grams("wb")))
     pairs = both.withColumn("lcs", lcs("wa", "wb")).where(F.col("lcs") >= F.lit(share) * longer - 1e-9).select("a", "b", "lcs")
-    member = whole.select("k", F.col("id").alias("member")).join(words.where("many > 1").select("k", "id", "n"), "k").select("id", "member", "n")
+    member = whole.select("k", F.col("id").alias("member")).join(lists.where("many > 1").select("k", "id", "n"), "k").select("id", "member", "n")
     if not copies:
         return pairs.unionByName(member.where("id <> member").select(F.col("id").alias("a"), F.col("member").alias("b"), F.col("n").alias("lcs")))
     for end in "ab":
@@ -218,45 +218,6 @@ def lcs_pairs(rows: DataFrame, key: str, tokens: Column, share: float = 0.8, cop
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lcs").unionByName(same)
 
 
-def _numbered(grams: DataFrame) -> DataFrame:
-    """``grams`` (id, n, grams) with what occurs again in a row told apart by the number of the occurrence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(2)
-            every = held.flatten().to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), held.value_lengths().to_numpy())
-            order = np.lexsort((every, row))
-            again = np.zeros(len(every), bool)
-            again[1:] = (every[order][1:] == every[order][:-1]) & (row[order][1:] == row[order][:-1])
-            at = np.arange(len(every))
-            occurrence = at - np.maximum.accumulate(np.where(again, 0, at))
-            own = every[order].view(np.uint64) + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.view(np.int64)))], ["id", "n", "grams"])
-
-    return grams.mapInArrow(run, "id long, n int, grams array<long>")
-
-
-def _rarest(grams: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
-    """(id, n, g): of each row the rarest 2-grams, as many as cannot all be missing in a partner."""
-    sent = grams.sparkSession.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            n, held = batch.column(1).to_numpy(), batch.column(2)
-            size = held.value_lengths().to_numpy()
-            every, row = held.flatten().to_numpy(), np.repeat(np.arange(len(n)), size)
-            order = np.lexsort((every, known[setjoin.counter_of(every)], row))
-            place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
-            keep = place < np.repeat(n - np.maximum(1, np.ceil((3 * share - 2) * n - 1e-9).astype(np.int64) - 1), size)
-            row, every = row[order][keep], every[order][keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(every)], ["id", "n", "g"])
-
-    return grams.mapInArrow(run, "id long, n int, g long")
-
-
 def cluster_impact(lists: DataFrame, clusters: DataFrame) -> DataFrame:
     """(query_id, docs, drops, adds): what folding clusters would take from each list, and what naming every member of theirs would add.
 
