@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import corpus, fusion
+from ..operators import corpus, fusion, ranking
 from .registry import query, table
 
 _REV = "l_extendedprice * (1 - l_discount)"
@@ -292,8 +292,9 @@ def approx_distinct(spark, sf):
 
 @query("band_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(median(l_extendedprice), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(avg((l_extendedprice > 50000)::INT), 6) AS share FROM lineitem GROUP BY 1")
 def band_quantiles(spark, sf):
-    p = lambda q, n: F.round(F.percentile("l_extendedprice", q), 6).alias(n)
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(p(0.1, "p10"), p(0.5, "p50"), p(0.9, "p90"), F.round(F.avg((F.col("l_extendedprice") > 50000).cast("int")), 6).alias("share"))
+    share = {"share": F.round(F.avg((F.col("l_extendedprice") > 50000).cast("int")), 6)}
+    per = ranking.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, share)
+    return per.withColumns({n: F.round(n, 6) for n in ("p10", "p50", "p90")})
 
 
 @query("lane_budget", """WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s_suppkey) AS i, s_suppkey, n, 50.0::DOUBLE + s_suppkey % 7 AS rate FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey),
